@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, secrets
-from .shared import table
+from . import chat, counts, idfiles, langid, mixing, packing, search, secrets
+from .shared import WORD, shared_dir, stash, table, text_of
+from .tokens import public_path
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,52 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+#: Lines that the revision of op4's last batch takes out of the texts, and what a token of the second tokenizer is.
+BOILERPLATE = r"(Licensed under|All rights reserved)[^\n]*"
+PIECES = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches: all documents with words-1, all with pieces-2, all but one of each exact copy deleted, boilerplate
+    lines taken out of the kept texts (revised counts). Batches 2 and 4 are delivered twice."""
+    path = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
+    count = lambda text, token: F.regexp_count(text, F.lit(token)).cast("long")
+    text = text_of()
+    new = F.regexp_replace(text, BOILERPLATE, "")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.sha2(text, 256).alias("key"), count(text, WORD).alias("w"), count(text, PIECES).alias("p"), count(new, WORD).alias("new_w"), count(new, PIECES).alias("new_p")
+    )
+    rows = stash(rows, "counted")
+    per_doc = F.struct("doc_id", "source", "lang", "w", "p", "new_w", "new_p")
+    kept = stash(rows.groupBy("key").agg(F.min(per_doc).alias("d")).select("d.*"), "kept")
+    both = lambda df, sign, w="w", p="p": counts.changes(df, sign, "words-1", F.col(w)).unionByName(counts.changes(df, sign, "pieces-2", F.col(p)))
+    batches = {
+        1: counts.changes(rows, 1, "words-1", F.col("w")),
+        2: counts.changes(rows, 1, "pieces-2", F.col("p")),
+        3: both(rows, -1).unionByName(both(kept, 1)),
+        4: both(kept, -1).unionByName(both(kept, 1, "new_w", "new_p")),
+    }
+    for batch in (1, 2, 2, 3, 4, 4):
+        counts.commit(batches[batch], path, batch)
+    return counts.totals(spark, path)
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out()).select("text", "lang"))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,11 +87,41 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    idfiles.write_ids(table(spark, sf_dir, "documents"), path, public_path("word_bpe_49k.json"))
+    return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op8_source_mixing, op9_chat_format)
+    f.__name__: f for f in (op1_secret_scan, op3_packing, op4_token_counts, op6_top_k, op7_language_id, op8_source_mixing, op9_chat_format, op10_token_ids)
 }
 
 SQL: dict[str, str] = {
+    "op4_token_counts": r"""
+WITH d AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id NULLS FIRST, source NULLS FIRST, lang NULLS FIRST) AS copy FROM documents
+), r AS (
+  SELECT source, lang, regexp_replace(text, '(Licensed under|All rights reserved)[^\n]*', '', 'g') AS text FROM d WHERE copy = 1
+), c AS (
+  SELECT source, lang, 'words-1' AS tokenizer_version, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM r
+  UNION ALL
+  SELECT source, lang, 'pieces-2', len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) FROM r
+)
+SELECT source, lang, tokenizer_version, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM c GROUP BY ALL
+""",
+    "op6_top_k": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+""",
     "op8_source_mixing": """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
