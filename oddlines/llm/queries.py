@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, idfiles, langid, mixing, packing, search, secrets
+from . import chat, counts, idfiles, langid, mixing, packing, search, secrets, syncmers
 from .shared import WORD, shared_dir, stash, table, text_of
 from .tokens import public_path
 
@@ -55,6 +55,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.totals(spark, path)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.compare_with_edits(table(spark, sf_dir, "documents"))
+    prints = [syncmers.shown(F.col(c)).alias(n) for c, n in (("prints", "fingerprint"), ("edited_prints", "edited_fingerprint"))]
+    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -94,7 +100,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_packing, op4_token_counts, op6_top_k, op7_language_id, op8_source_mixing, op9_chat_format, op10_token_ids)
+    f.__name__: f for f in (op1_secret_scan, op3_packing, op4_token_counts, op5_fingerprints, op6_top_k, op7_language_id, op8_source_mixing, op9_chat_format, op10_token_ids)
 }
 
 SQL: dict[str, str] = {
