@@ -23,6 +23,7 @@ from .shared import let, stash, text_of
 
 SYMBOL = r"[^\x20\x09-\x0D]{1,12}"
 _POS_BITS = 31
+_NULL_ID = -(2**63)
 _LOW = (1 << _POS_BITS) - 1
 
 
@@ -92,22 +93,19 @@ def compare_with_edits(docs: DataFrame, anchors: int = 64, id_col: str = "doc_id
     next document's by descending id; after the last id comes the first. Of rows with one id, the next document's text
     is that with the smallest hash; null ids come last.
     """
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "doc_id", "text", F.length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"))
-    sizes = rows.groupBy("k").agg(F.max("n").alias("n_max"), F.min("h").alias("pick"))
-    links = stash(next_ids(sizes), "next-ids")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), text_of(text_col).alias("text"))
+    size, own_hash = F.length("text").cast("long"), F.xxhash64("text")
+    links = stash(next_ids(rows.groupBy("k").agg(F.max(size).alias("n_max"), F.min(own_hash).alias("pick"))), "next-ids")
     wanted = links.select(F.col("next_k").alias("k"), F.col("k").alias("by"), F.floor(F.col("n_max") / 3).cast("int").alias("cut")).join(links.select("k", "pick"), "k")
-    # both uses of held read all its columns, so that they share one exchange of the texts
+    # both uses of held read just its columns, so that they share one exchange of the texts
     held = rows.withColumn("prints", fingerprint(F.col("text"), anchors)).repartition("k")
-    given = held.join(wanted, "k").filter((F.col("h") == F.col("pick")) & (F.coalesce("doc_id", "n") <= 2**63 - 1))
+    given = held.join(wanted, "k").filter(own_hash.bitwiseXOR(F.col("pick")) == 0)  # not a join key
     given = given.select(F.col("by").alias("k"), F.substr(F.col("text"), F.lit(1), F.col("cut")).alias("lent"), F.col("prints").alias("next_prints")).dropDuplicates(["k"])
-    own = held.join(given, "k").withColumn("cut", F.floor(F.col("n") / 3).cast("int"))
+    own = held.join(given, "k").withColumn("n", size).withColumn("cut", F.floor(F.col("n") / 3).cast("int"))
     kept = F.substr(F.col("text"), F.lit(1), (F.col("n") - F.col("cut")).cast("int"))
     own = own.withColumn("edited", F.concat(kept, F.substr(F.col("lent"), F.lit(1), F.col("cut")))).withColumn("edited_prints", fingerprint(F.col("edited"), anchors))
     return own.select(
-        "doc_id", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "prints", "edited_prints",
+        F.nullif("k", F.lit(_NULL_ID)).alias("doc_id"), F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "prints", "edited_prints",
         likeness(F.col("prints"), F.col("edited_prints"), anchors).alias("near_edited"),
         likeness(F.col("prints"), F.col("next_prints"), anchors).alias("near_next"),
-        (F.col("h") <= 2**63 - 1).alias("_"),
-    ).drop("_")
+    )
