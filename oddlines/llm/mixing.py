@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stash, word_count
+from .shared import WORD, stash, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -121,12 +121,17 @@ def mix(
 
 
 def mixed_rows(mixed: DataFrame, seed: int = 11) -> DataFrame:
-    """The draws of mix(): doc_id, pass, take, shard and the key that shuffles a shard locally."""
+    """The draws of mix(): doc_id, size, pass, take, shard and the key that shuffles a shard locally."""
     parts = F.array(*[F.struct(F.lit(p).alias("pass"), F.col(f"take_{p}").alias("take"), F.col(f"shard_{p}").alias("shard")) for p in (0, 1)])
-    rows = mixed.select("doc_id", F.explode(parts).alias("d")).select("doc_id", "d.*").filter("take > 0")
+    rows = mixed.select("doc_id", "size", F.explode(parts).alias("d")).select("doc_id", "size", "d.*").filter("take > 0")
     return rows.withColumn("order_key", _permuted(F.lit(seed + 2), F.col("doc_id"), F.col("pass")))
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
     """Writes draws as one folder per shard, each shuffled locally."""
     rows.repartition("shard").sortWithinPartitions("shard", "order_key").write.partitionBy("shard").parquet(path)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), 1, n.cast("int")), "")

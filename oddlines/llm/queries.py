@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, idfiles, langid, mixing, packing, search, secrets, syncmers
+from . import chat, counts, idfiles, langid, mixing, neardup, packing, search, secrets, syncmers
 from .shared import WORD, shared_dir, stash, table, text_of
 from .tokens import public_path
 
@@ -20,6 +20,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -100,7 +104,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_packing, op4_token_counts, op5_fingerprints, op6_top_k, op7_language_id, op8_source_mixing, op9_chat_format, op10_token_ids)
+    f.__name__: f for f in (op1_secret_scan, op2_near_duplicates, op3_packing, op4_token_counts, op5_fingerprints, op6_top_k, op7_language_id, op8_source_mixing, op9_chat_format, op10_token_ids)
 }
 
 SQL: dict[str, str] = {

@@ -131,18 +131,19 @@ def _entropy_spans(text: Column, cls: CharClass, allowed: tuple[str, ...]) -> Co
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """One row per row of docs: doc_id, text, base and spans, each array<struct<start, kind, end>> by start, then kind."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, text, base and spans, each array<struct<start, kind, end>> by start, then kind;
+    and the columns named in keep."""
     text = F.col("text")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), *keep)
     # the value's length is that of what is left of a match without its keyword and signs
     value = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
     assign = F.filter(_matches(text, ASSIGN, ASSIGN_HINT), lambda m: F.length(F.regexp_replace(m["text"], value, "")) >= 6)
     base = F.concat(_spans(assign, "assign"), _spans(_matches(text, ACCESS), "access"), _spans(_matches(text, HEX), "hex"))
-    rows = rows.select("doc_id", "text", F.array_sort(base).alias("base"), F.concat(*[_entropy_spans(text, c, allowed) for c in classes]).alias("more"))
+    rows = rows.select("doc_id", "text", F.array_sort(base).alias("base"), F.concat(*[_entropy_spans(text, c, allowed) for c in classes]).alias("more"), *keep)
     kinds = F.array(*[F.lit(k) for k in KINDS])
     named = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.element_at(kinds, s["ord"] + 1).alias("kind"), s["end"].alias("end")))
-    return rows.select("doc_id", "text", named(F.col("base")).alias("base"), named(F.array_sort(F.concat("base", "more"))).alias("spans"))
+    return rows.select("doc_id", "text", named(F.col("base")).alias("base"), named(F.array_sort(F.concat("base", "more"))).alias("spans"), *keep)
 
 
 def joined(spans: Column) -> Column:
