@@ -99,7 +99,7 @@ SQL: dict[str, str] = {
     "ecdf": f"WITH {FEATURES}, a AS (SELECT {_SCORE} AS score FROM f) SELECT score, sum(count(*)) OVER (ORDER BY score)::BIGINT AS n_le, (SELECT count(*) FROM a) AS n FROM a GROUP BY score",
     "team_weights": f"WITH {SCORED}, w AS (SELECT file_id, CASE WHEN length(repo) % 3 = 2 OR {_STRENGTH} <= 1e-6 THEN raw_score ELSE least(greatest(raw_score * ({_TEAM}) / {_STRENGTH}, 0), 1) END AS v FROM s) SELECT file_id, round(max(v), 6) AS top_weighed, round(avg(v), 6) AS mean_weighed FROM w GROUP BY file_id",
     "axis_p95": f"WITH {FEATURES} SELECT repo, {', '.join(f'round(quantile_cont({_mean(a)}, 0.95), 6) AS {a}' for a in ('complexity', 'tangled_state', 'naming'))} FROM f GROUP BY repo",
-    "feature_correlations": f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS r FROM f" for a, b in _PAIRS if a != b),
+    "feature_correlations": f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", nullif(round(corr({a}, {b}), 6), 'nan'::DOUBLE) AS r FROM f" for a, b in _PAIRS if a != b),
     "moments": f"WITH {FEATURES} SELECT {', '.join(f'round(avg({x}), 6) AS mean_{x}' for x in _LEXICAL)}, {', '.join(f'round(covar_samp({a}, {b}), 5) AS cov_{a}_{b}' for a, b in _PAIRS)} FROM f",
     "file_summaries": f"WITH {SUMMARY} SELECT *, CASE WHEN n_flagged = 0 THEN 'no suspicious spikes detected' ELSE CASE WHEN n_flagged = 1 THEN '1 high-intensity spike detected' ELSE n_flagged || ' high-intensity spikes detected' END || ' — dominant axis: ' || dominant_axis END AS verdict FROM y",
     "file_analyses": f"""WITH {SUMMARY},
@@ -185,7 +185,30 @@ SQL["streamed_drift"] = SQL["event_drift"]
 
 _CODE = """
 o AS (SELECT l_orderkey, count(*)::BIGINT AS n, l_orderkey % 9 = 0 AS bad FROM lineitem GROUP BY l_orderkey)"""
+# Of a file that parses, lines 1 (docstring) and 2 (import) are left out; 4, 7-11, 14 and 15 hold code, then come two lines
+# for each of n items and the return. Of one that does not, lines 1 and 2 count, and nothing but indents and line 14's error.
+SQL["code_line_features"] = f"""WITH {_CODE}
+SELECT l_orderkey AS file_id, CASE WHEN bad THEN 11 + 2 * n ELSE 9 + 2 * n END::BIGINT AS n_lines,
+  round(0.7::DOUBLE * (16 + 6 * n) + CASE WHEN bad THEN 0 ELSE 0.3::DOUBLE * (15 + 2 * (3 + 2 * n)) END, 6)::DOUBLE AS nesting_depth,
+  CASE WHEN bad THEN 0 ELSE 2 + n END::DOUBLE AS cyclomatic_proxy,
+  CASE WHEN bad THEN 0 ELSE n * n + 4 * n + 3 END::DOUBLE AS use_def_distance,
+  CASE WHEN bad THEN 0 ELSE 2.5 * n END::DOUBLE AS call_graph_shape,
+  CASE WHEN bad THEN 0 ELSE 0.75 END::DOUBLE AS exception_density,
+  bad::INT::DOUBLE AS parse_error,
+  CASE WHEN bad THEN 0 ELSE n * n + 9 * n + 5 END::DOUBLE AS global_reach,
+  0.0::DOUBLE AS attr_reach,
+  CASE WHEN bad THEN 0 ELSE 3 + 2 * n END::DOUBLE AS call_graph_depth
+FROM o"""
 SQL["code_function_features"] = f"""WITH {_CODE}
-SELECT l_orderkey AS file_id, 'helper' AS name, 7::INT AS line, 11::INT AS end_line, 2.0::DOUBLE AS nesting_depth, 19.0::DOUBLE AS length, 3.0::DOUBLE AS cyclomatic_proxy, 0.0::DOUBLE AS call_graph_shape, round(3 / 19.0::DOUBLE, 6) AS exception_density FROM o WHERE NOT bad
+SELECT l_orderkey AS file_id, 'helper' AS name, 7::INT AS line, 11::INT AS end_line, 3.0::DOUBLE AS nesting_depth, 20.0::DOUBLE AS length, 3.0::DOUBLE AS cyclomatic_proxy, 0.0::DOUBLE AS call_graph_shape, 0.15::DOUBLE AS exception_density FROM o WHERE NOT bad
 UNION ALL
-SELECT l_orderkey, 'total_of', 14::INT, (16 + 2 * n)::INT, 1.0, (3 + 4 + 3 + 18.0 * n), 1.0 + n, 2.5 * n, 0.0 FROM o WHERE NOT bad"""
+SELECT l_orderkey, 'total_of', 14::INT, (16 + 2 * n)::INT, 2.0, 10 + 19.0 * n, 1.0 + n, 2.5 * n, 0.0 FROM o WHERE NOT bad"""
+SQL["code_lineage"] = f"""WITH {_CODE},
+ln AS (SELECT *, unnest(range(1, 17 + 2 * n)) AS line FROM o)
+SELECT l_orderkey AS file_id, line::INT AS line,
+  CASE WHEN bad THEN NULL WHEN line BETWEEN 7 AND 11 THEN 'helper' WHEN line >= 14 THEN 'total_of' END AS function,
+  CASE WHEN bad OR line < 7 THEN '' WHEN line = 7 THEN 'function `helper`@7' WHEN line IN (8, 9) THEN '`try` block@8 < function `helper`@7'
+    WHEN line IN (10, 11) THEN '`except ValueError`@10 < `try` block@8 < function `helper`@7' WHEN line <= 15 OR line = 16 + 2 * n THEN 'function `total_of`@14'
+    ELSE '`if part' || i.l_linenumber || ' > ' || i.l_partkey || '`@' || (16 + 2 * ((line - 16) // 2)) || ' < function `total_of`@14' END AS lineage
+FROM ln LEFT JOIN (SELECT l_orderkey AS k, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey || ':') AS r FROM lineitem) i ON i.k = l_orderkey AND i.r = (line - 16) // 2 + 1 AND line >= 16
+WHERE line NOT IN (3, 5, 6, 12, 13) AND (bad OR line NOT IN (1, 2))"""

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -328,8 +329,11 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    parsed = parse.parse_files(code_files(spark, sf_dir)).persist()
-    return parsed, parse.nodes(parsed), parse.tokens(parsed)
+    # joins on (file_id, more) then keep to one partitioning by file_id
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    parsed = parse.parse_files(code_files(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    nodes, tokens = (f(parsed).repartition("file_id").persist(StorageLevel.MEMORY_AND_DISK) for f in (parse.nodes, parse.tokens))
+    return parsed, nodes, tokens
 
 
 def code_line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
