@@ -35,7 +35,7 @@ def carry_membranes(events: DataFrame, net: Net, key: str, at: str, order: str,
         mark = state.getCurrentWatermarkMs()
         for frame in frames:
             times = frame["at"].astype("datetime64[us]").astype("int64") // 1000
-            held["wait"] += [(int(t), int(o), list(map(float, v))) for t, o, v in zip(times, frame["order"], frame["vector"]) if t >= mark]
+            held["wait"] += [[int(t), int(o), list(map(float, v))] for t, o, v in zip(times, frame["order"], frame["vector"]) if t >= mark]
         held["wait"].sort(key=lambda e: e[:2])
         cells = Cells(net)
         if held["mem1"] is not None:
