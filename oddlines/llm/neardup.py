@@ -9,8 +9,9 @@ minimum: with x_j the least of the set's exponential hashes of rate ``RATE``, K_
    them with probability below 1e-5, a likelier pair more rarely.
 3. Hub rounds: every class is tried with one hub, the most crowded class of its buckets. After verified links have been
    joined to components, buckets that lie within one component are done; the rest goes into the next round.
-4. What is left after the rounds is compared pair by pair, within buckets, between blocks of at most ``BLOCK`` classes,
-   inside tasks; only pairs of different components that the likelihood test does not rule out are given out.
+4. What is left after the rounds is compared pair by pair within buckets, between blocks of at most ``BLOCK`` classes and
+   inside tasks: pairs of different components that the likelihood test does not rule out are verified on the spot, and
+   only links that join two components are given out.
 
 The likelihood test maximises the joint likelihood of the similarity given how many registers are greater, less and equal
 and the known set sizes; it rules a pair out if 0.75 is ``RULED_OUT`` worse in log-likelihood than the best lower value.
@@ -148,10 +149,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar; docs has id and text."""
     pairs = stash(pairs, "likely-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    n = ids.count()
-    if n <= MAX_SENT_IDS:
-        docs = docs.join(F.broadcast(ids), "id", "left_semi")
+    docs = _held_ids(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, np.zeros(0, np.uint64)
@@ -204,47 +202,100 @@ def _hub_pairs(rows: DataFrame) -> DataFrame:
     return tried.groupBy(F.col("id").alias("a")).agg(F.max("hub").alias("hub")).select("a", (-F.col("hub.minus")).alias("b"))
 
 
-def _block_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different components within buckets that the likelihood test leaves, by blocks of the buckets."""
-    rows = rows.join(classes.select("id", "n", "registers"), "id")
-    rows = rows.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "root", "n", "registers")
-
-    def compare(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        own, ids, roots, sizes = (np.array([r[i] for r in group]) for i in (3, 4, 5, 6))
-        registers = np.frombuffer(b"".join(r[7] for r in group), "<u2").reshape(-1, _M)
-        low, high = group[0][1], group[0][2]
-        left = np.flatnonzero(own == low)
-        a_out, b_out = [], []
-        for i in left:
-            right = np.flatnonzero((own == high) & (roots != roots[i]) & (ids > ids[i] if low == high else True))
-            if len(right):
-                a, b = registers[i], registers[right]
-                right_ok = not_ruled_out((a > b).sum(axis=1), (a < b).sum(axis=1), np.full(len(right), sizes[i]), sizes[right])
-                a_out.append(np.full(right_ok.sum(), ids[i]))
-                b_out.append(ids[right[right_ok]])
-        return np.concatenate(a_out or [np.zeros(0, np.int64)]), np.concatenate(b_out or [np.zeros(0, np.int64)])
+def _held_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without rows that ids do not name, where the ids are few enough to be sent to every task; else docs."""
+    ids = stash(ids.select("id").distinct(), "wanted-ids")
+    return docs.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= MAX_SENT_IDS else docs
+
+
+def _dealt_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, id, root) of open buckets in groups (bucket, kind, low, high) of at most two blocks.
+
+    A bucket's most common component is its major one. Pairs within it need no look, so that major blocks meet minor
+    blocks (kind 0: low is the major's, high the minor's) and minor blocks each other (kind 1)."""
+    counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    modes = counts.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("held"))
+    modes = modes.select("bucket", F.col("m.root").alias("mode"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("held") - F.col("m.c")) / BLOCK).cast("int").alias("minors"))
+    rows = rows.select("bucket", "id", "root").join(modes, "bucket").withColumn("major", F.col("root") == F.col("mode"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
+    group = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+    own = F.col("own")
+    to_minors = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda j: group(0, own, j))
+    to_majors = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda i: group(0, i, own))
+    among = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda j: group(1, F.least(own, j), F.greatest(own, j)))
+    rows = rows.withColumn("g", F.explode(F.when(F.col("major"), to_minors).otherwise(F.concat(to_majors, among))))
+    return rows.select("bucket", "g.*", "major", "own", "id", "root")
+
+
+def _link_group(group: list[tuple]) -> list[tuple[int, int]]:
+    """Confirmed links of a group's rows (bucket, kind, low, high, major, own, id, root, n, registers, text) that join
+    different components. A pair is looked at only in the first bucket that it shares, likelier pairs first, and not at
+    all once its components are joined."""
+    bucket, kind, low, high = group[0][:4]
+    registers = np.frombuffer(b"".join(r[9] for r in group), "<u2").reshape(-1, _M)
+    bands = registers.reshape(-1, BANDS, ROWS)
+    sizes = np.array([r[8] for r in group])
+    joined: dict[int, int] = {}
+    sets: dict[int, np.ndarray] = {}
+
+    def root(i: int) -> int:
+        x = group[i][7]
+        while x in joined:
+            x = joined[x]
+        return x
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_hashes(group[i][10])
+        return sets[i]
+
+    left = [i for i, r in enumerate(group) if (not r[4] if kind == 0 else r[5] == low)]
+    right = np.array([i for i, r in enumerate(group) if (r[4] if kind == 0 else r[5] == high)], np.int64)
+    links = []
+    for i in left:
+        others = right[right > i] if kind == 1 and low == high else right
+        if not len(others):
+            continue
+        a, b = registers[i], registers[others]
+        ok = not_ruled_out((a > b).sum(axis=1), (a < b).sum(axis=1), np.full(len(others), sizes[i]), sizes[others])
+        others = others[ok]
+        if not len(others):
+            continue
+        first = (bands[i] == bands[others]).all(axis=2).argmax(axis=1)
+        others = others[np.array(buckets(a))[first] == bucket]
+        for j in others[np.argsort(-(a == registers[others]).sum(axis=1), kind="stable")]:
+            if root(i) != root(j) and similar(full(i), full(j)):
+                links.append((group[i][6], group[j][6]))
+                joined[max(root(i), root(j))] = min(root(i), root(j))
+    return links
+
+
+def _block_links(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between components that still share a bucket."""
+    rows = stash(_dealt_blocks(rows), "blocks")
+    texts = _held_ids(docs, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
+
+        def found(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            a_out, b_out = [], []
+            links = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if group and row[:3] != group[0][:3]:
-                    a, b = compare(group)
-                    a_out.append(a)
-                    b_out.append(b)
+                if group and row[:4] != group[0][:4]:
+                    links += _link_group(group)
                     group = []
                 group.append(row)
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a_out, b_out)], names=["a", "b"])
+            yield found(links)
         if group:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in compare(group)], names=["a", "b"])
+            yield found(_link_group(group))
 
-    keys = ["bucket", "low", "high"]
-    pairs = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    keys = ["bucket", "kind", "low", "high"]
+    whole = rows.join(classes.select("id", "n", "registers"), "id").join(texts, "id")
+    whole = whole.select(*keys, "major", "own", "id", "root", "n", "registers", "text")
+    return whole.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -269,8 +320,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = members if roots is None else stash(_open_buckets(_rooted(members, roots)), "members")
         if rest.isEmpty():
             break
-        tried = _likely(_hub_pairs(rest), classes) if turn < hub_rounds else _block_pairs(rest, classes)
-        found = stash(_verified(tried, docs), "links")
+        found = _verified(_likely(_hub_pairs(rest), classes), docs) if turn < hub_rounds else _block_links(rest, classes, docs)
+        found = stash(found, "links")
         members = rest
         if not found.isEmpty():
             links.append(found)
