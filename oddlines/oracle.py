@@ -212,3 +212,5 @@ SELECT l_orderkey AS file_id, line::INT AS line,
     ELSE '`if part' || i.l_linenumber || ' > ' || i.l_partkey || '`@' || (16 + 2 * ((line - 16) // 2)) || ' < function `total_of`@14' END AS lineage
 FROM ln LEFT JOIN (SELECT l_orderkey AS k, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey || ':') AS r FROM lineitem) i ON i.k = l_orderkey AND i.r = (line - 16) // 2 + 1 AND line >= 16
 WHERE line NOT IN (3, 5, 6, 12, 13) AND (bad OR line NOT IN (1, 2))"""
+# Indents and branches keep every line that parses below the threshold; the broken line's score is 1.
+SQL["code_linear_scores"] = f"WITH {_CODE} SELECT l_orderkey AS file_id, bad::BIGINT AS n_flagged, bad AS broken, bad::INT::DOUBLE AS malformed FROM o"

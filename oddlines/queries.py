@@ -7,14 +7,14 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.constants import AXES, CAPS
 from .functions.lexical import line_features, lines, split_lines
 from .operators import curate, features, labels, lif, parse, scoring
-from .plans import calibrate, report, review
+from .plans import calibrate, model, report, review
+from .plans.stages import cut
 from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,8 +331,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     # joins on (file_id, more) then keep to one partitioning by file_id
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    parsed = parse.parse_files(code_files(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-    nodes, tokens = (f(parsed).repartition("file_id").persist(StorageLevel.MEMORY_AND_DISK) for f in (parse.nodes, parse.tokens))
+    parsed = cut(parse.parse_files(code_files(spark, sf_dir)))
+    nodes, tokens = (cut(f(parsed).repartition("file_id")) for f in (parse.nodes, parse.tokens))
     return parsed, nodes, tokens
 
 
@@ -359,12 +359,49 @@ def code_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("file_id").cast("long").alias("file_id"), "line", "function", F.coalesce(shown, F.lit("")).alias("lineage"))
 
 
+def _code_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    parsed, nodes, tokens = _parsed(spark, sf_dir)
+    return cut(features.line_features(parse.scored_lines(parsed, nodes), nodes, tokens)), nodes
+
+
+def code_linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags by the fixed formula: a line that does not parse has score 1."""
+    rows = model.linear(_code_lines(spark, sf_dir)[0])
+    return rows.groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.count_if("flag").alias("n_flagged"), (F.max("score") == 1).alias("broken"), F.max("malformed").alias("malformed"))
+
+
+def code_sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines_, _ = _code_lines(spark, sf_dir)
+    net, reference = model.calibrate(lines_, lif.random_net(13, 16, 8, 3))
+    rows = model.sequence(lines_, net, reference)
+    return rows.groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.count_if("flag").alias("n_flagged"), F.round(F.max("score"), 6).alias("top_score"))
+
+
+def code_function_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines_, nodes = _code_lines(spark, sf_dir)
+    net, reference = model.calibrate(lines_, lif.random_net(13, 16, 8, 3))
+    return model.function_scores(lines_, features.functions(nodes).filter("is_unit"), net, reference)
+
+
+def model_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines_, _ = _code_lines(spark, sf_dir)
+    return model.diagnostics(*model.calibrate(lines_, lif.random_net(13, 16, 8, 3)))
+
+
+def fitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of a small net after two passes of plasticity over the events of all users."""
+    rows = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.array(F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)), (F.col("event_type") == "error").cast("double")).alias("vector"))
+    net = lif.fit(rows, TINY, "user_id", ["ts", "event_id"], epochs=2)
+    cells = [(layer, i, j, round(float(w[i, j]), 9)) for layer, w in enumerate((net.fc1, net.fc2)) for i, j in np.ndindex(*w.shape)]
+    return spark.createDataFrame(cells, "layer int, i int, j int, weight double")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         split_counts, lexical_features, axes, linear_scores, percentile_flags, ecdf, team_weights, axis_p95, feature_correlations, whitening, moments, file_summaries, file_analyses, repo_rollup,
         top_repo_lines, summary_order, label_statistics, deviation_threshold, threshold_sweep, evaluation, accuracy_threshold, curated_sample, corpus_counts, histograms, first_events, binary_labels,
         marker_counts, marker_spans, clean_spans, drawn_negatives, balanced_samples, unpivoted_turns, span_checks, unflagged_files, changed_lines, review_lines, worse_functions, pr_summaries,
-        event_sequences, event_drift, streamed_drift, code_line_features, code_function_features, code_lineage,
+        event_sequences, event_drift, streamed_drift, code_line_features, code_function_features, code_lineage, code_linear_scores, code_sequence_scores, code_function_scores, model_diagnostics, fitted_weights,
     )
 }
