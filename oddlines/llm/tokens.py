@@ -20,6 +20,7 @@ _UNUSUAL = re.compile(r"\s\s|[^\S \n]|^\s|\s$").search
 #: Bytes of Latin-1 texts that are cut without a closer look, and white space that would need one.
 _PLAIN_BYTES = bytes(b for b in range(256) if re.match(rf"[{_LATIN}\n -~]", chr(b)) and chr(b) not in "'<")
 _DOUBLED = ("  ", "\n ", " \n", "\n\n")
+_MARKS = 1 << 22
 _WORD = re.compile(rf" ?[{_LATIN}]+").fullmatch
 _PLAIN_PIECES = re.compile(rf" ?[{_LATIN}]+| ?[^{_LATIN} ]+| ").findall
 _SPACED_PIECES = re.compile(r" ?[^ ]+| ").findall
@@ -50,10 +51,16 @@ def _is_plain(text: str) -> bool:
 
 
 class PieceEncoder(dict):
-    """text -> ids; as a dict: piece -> its ids as little-endian unsigned 32-bit bytes, at most max_pieces at a time."""
+    """text -> ids; as a dict: piece -> its ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, max_pieces: int = 800_000):
+    Most pieces of a corpus occur once, so a piece is kept from its second occurrence on (by a table of marks, in which
+    unlike pieces can coincide). The memo has two generations of at most max_pieces each: a full one becomes the old one,
+    in place of the last, and pieces that are met again move on from there: frequent pieces stay and memory is bounded."""
+
+    def __init__(self, path: str, max_pieces: int = 200_000):
         super().__init__()
+        self._old: dict[str, bytes] = {}
+        self._met = bytearray(_MARKS)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -77,15 +84,22 @@ class PieceEncoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self._max:
+            self._old, self._met = dict(self), bytearray(_MARKS)
             self.clear()
+        ids = self._old.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
         if _WORD(piece):
             word = piece if self._keeps_space else piece.lstrip(" ")
             word = (word.lower() if self._lower else word).encode().decode("latin-1").translate(self._letters)
             ids = _little(t.id for t in self._model.tokenize(word))
         else:
             ids = self._full(piece)
-        if len(piece) <= 64:
+        mark = hash(piece) % _MARKS
+        if self._met[mark] and len(piece) <= 64:
             self[piece] = ids
+        self._met[mark] = 1
         return ids
 
     def _pieces(self, text: str, plain: bool) -> bytes:
