@@ -8,6 +8,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 4. mixing draws each source up to its target: documents go, stay, or appear twice, the last one cut to its words taken,
    in shards that are shuffled locally;
 5. packing gives the pieces of the final sequences.
+
+Stages 2 and 4 meet rows by a key of their own (``ROW``), so that rows with a null or repeated doc_id are documents like
+any other: of a group, the row with the least doc_id stays (null comes first), and texts that are unlike stay although
+they share an id.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddlines.llm import langid, mixing, neardup, packing, secrets
-from oddlines.llm.shared import stash, table
+from oddlines.llm.shared import numbered, stash, table
 from oddlines.llm.tokens import public_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_SCORE = 0.5
+#: A row's own key within a stage.
+ROW = "row_key"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +38,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    docs = numbered(docs, "dedup-rows", ROW)
+    found = neardup.near_duplicates(docs, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct("doc_id", ROW)).alias("first")
+    kept = found.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first).select(f"first.{ROW}")
+    return docs.join(kept, ROW, "left_semi").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +52,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mixed = mixing.mix(docs, shards=shards)
-    draws = mixing.mixed_rows(mixed).select("doc_id", "take", "shard", "order_key", "size")
-    drawn = docs.join(draws, "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "order_key")
+    docs = numbered(docs, "mix-rows", ROW)
+    mixed = mixing.mix(docs, shards=shards, keep=(ROW,))
+    draws = mixing.mixed_rows(mixed, keep=(ROW,)).select(ROW, "take", "shard", "order_key", "size")
+    drawn = docs.join(draws, ROW).repartition(shards, "shard").sortWithinPartitions("shard", "order_key", ROW)
     text = F.when(F.col("take") < F.col("size"), mixing.first_words(F.col("text"), F.col("take"))).otherwise(F.col("text"))
     return drawn.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

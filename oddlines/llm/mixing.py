@@ -75,15 +75,17 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, and take_p, shard_p for pass p = 0, 1.
+    """One row per document: doc_id, source, size, source_size, target, taken, and take_p, shard_p for pass p = 0, 1;
+    and the columns named in keep, which also order documents that are otherwise equal.
 
     The driver sees one row per source, never more than max_sources (else ValueError); all else stays distributed.
     """
     if not 0 < cap <= 2:
         raise ValueError("cap must lie in (0, 2]")
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), *keep)
     own = stash(own, "mix-sizes")
     totals = own.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
@@ -112,18 +114,18 @@ def mix(
     dealt = dealt.withColumn("shard", F.expr("size(filter(bounds, b -> b <= rank))"))
     by_pass = dealt.groupBy("sid", "block").agg(*[F.max(F.when(F.col("pass") == p, F.col("shard"))).alias(f"s{p}") for p in (0, 1)])
     blocks = blocks.select("sid", "block", "b_start").join(by_pass, ["sid", "block"], "left")
-    within = Window.partitionBy("sid", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sid", "block").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(blocks, ["sid", "block"])
     at = F.col("b_start") + F.col("inside")
     own = own.withColumn("take_0", _clip(F.col("quota") - at, F.col("size"))).withColumn("take_1", _clip(F.col("quota") - F.col("source_size") - at, F.col("size")))
     shard = [F.when(F.col(f"take_{p}") > 0, F.col(f"s{p}")).alias(f"shard_{p}") for p in (0, 1)]
-    return own.select("doc_id", "source", "size", "source_size", "target", (F.col("take_0") + F.col("take_1")).alias("taken"), "take_0", "take_1", *shard)
+    return own.select("doc_id", "source", "size", "source_size", "target", (F.col("take_0") + F.col("take_1")).alias("taken"), "take_0", "take_1", *shard, *keep)
 
 
-def mixed_rows(mixed: DataFrame, seed: int = 11) -> DataFrame:
-    """The draws of mix(): doc_id, size, pass, take, shard and the key that shuffles a shard locally."""
+def mixed_rows(mixed: DataFrame, seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The draws of mix(): doc_id, size, pass, take, shard, the key that shuffles a shard locally, and keep's columns."""
     parts = F.array(*[F.struct(F.lit(p).alias("pass"), F.col(f"take_{p}").alias("take"), F.col(f"shard_{p}").alias("shard")) for p in (0, 1)])
-    rows = mixed.select("doc_id", "size", F.explode(parts).alias("d")).select("doc_id", "size", "d.*").filter("take > 0")
+    rows = mixed.select("doc_id", "size", *keep, F.explode(parts).alias("d")).select("doc_id", "size", *keep, "d.*").filter("take > 0")
     return rows.withColumn("order_key", _permuted(F.lit(seed + 2), F.col("doc_id"), F.col("pass")))
 
 

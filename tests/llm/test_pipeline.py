@@ -49,3 +49,38 @@ def test_mixture_meets_targets_and_packs_whole(stages):
 
 def test_run_equals_the_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).select("doc_id", "length").groupBy().sum("length").first()[0] == stages[5].groupBy().sum("length").first()[0]
+
+
+def test_null_and_repeated_ids(spark):
+    from collections import Counter
+
+    from oddlines.llm.mixing import water_fill
+    from pyspark.sql import functions as F
+    from tests.llm.test_neardup import brute
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = F.when(F.col("doc_id") % 10 == 3, None).when(F.col("doc_id") % 10 < 3, F.col("doc_id") - F.col("doc_id") % 10).otherwise(F.col("doc_id"))
+    docs = docs.withColumn("doc_id", odd).unionByName(docs.filter("doc_id % 40 = 4"))
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        out.append(stash(stage(spark, out[-1], SF), f"odd-{name}"))
+    known, unique, redacted, mixed = ([tuple(r[c] for c in ("doc_id", "text", "source")) for r in x.collect()] for x in out[1:5])
+
+    rows = sorted(known, key=lambda r: (r[0] is not None, r[0] or 0))
+    roots = brute({i: r[1] for i, r in enumerate(rows)})
+    kept = [rows[i] for i, (_, root) in roots.items() if i == root]
+    least = lambda found: sorted((-1 if r[0] is None else r[0]) for r in found)
+    assert least(unique) == least(kept) and any(r[0] is None for r in kept)
+    assert any(n > 1 for d, n in Counter(r[0] for r in kept).items() if d is not None)
+    assert least(redacted) == least(unique)
+
+    words = lambda text: len((text or "").encode().split())
+    sizes, taken = Counter(), Counter()
+    for into, found in ((sizes, redacted), (taken, mixed)):
+        for _, text, source in found:
+            into[source] += words(text)
+    names = sorted(sizes)
+    targets = water_fill([sizes[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()), 2)
+    assert all(abs(taken[n] - t) <= 1 for n, t in zip(names, targets))
+    assert all(n <= 2 * m for n, m in ((Counter(map(str, mixed))[k], Counter(map(str, redacted))[k]) for k in set(map(str, redacted))))
+    assert {r["doc_id"] for r in out[5].select("doc_id").collect()} == {r[0] for r in mixed}
