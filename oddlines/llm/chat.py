@@ -73,12 +73,9 @@ def format_conversations(
 ) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss array<struct<start, length>> (code points of formatted that
     are under the loss mask), attachments array<struct<turn_index, n, kind, ref, tokens>>, expanded_tokens, n_dropped."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     role = F.coalesce(F.col(role_col), F.lit(""))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), (flatten_parts(F.col(parts_col)) if parts_col else F.struct(escape(text).alias("text"))).alias("flat"))
-    if not parts_col:
-        none = F.array().cast("array<struct<n:int,kind:string,ref:string,tokens:bigint>>")
-        rows = rows.withColumn("flat", F.struct(F.col("flat.text").alias("text"), none.alias("attachments"), F.lit(0).alias("n_dropped")))
+    parts = F.col(parts_col) if parts_col else text_part(F.col(text_col))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), flatten_parts(parts).alias("flat"))
     head = F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n"))
     rows = rows.select(
         "conv_id",

@@ -42,3 +42,16 @@ def test_contract_conversation(spark):
     assert row["n_turns"] == 2 and row["loss_chars"] == len(said)
     assert row["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert row["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_plain_texts_go_through_the_visitor(spark, monkeypatch):
+    from oddlines.llm.queries import op9_chat_format
+
+    walked, visitor = [], chat.flatten_parts
+    monkeypatch.setattr(chat, "flatten_parts", lambda parts: walked.append(parts) or visitor(parts))
+    op9_chat_format(spark, "/root/testdata/sf0.001")
+    assert len(walked) == 1
+    rows = spark.createDataFrame([(1, 0, "user", "see <|"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(rows).first()
+    assert got["formatted"] == "<|im_start|>user\nsee <||<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    assert (got["attachments"], got["expanded_tokens"], got["n_dropped"]) == ([], 0, 0)
