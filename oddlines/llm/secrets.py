@@ -4,7 +4,8 @@ Base rules (key assignments, access keys, long hex) are patterns. The entropy ru
 runs over a character class's alphabet. A window of fixed width slides over each candidate; the counts of its characters
 are updated by one entering and one leaving character, and with them S = sum(c * log2 c), so that the window's Shannon
 entropy log2(width) - S / width costs one step each. A candidate whose hottest window reaches the class's threshold
-gives one span, from the start of its first hot window to the end of its last, unless an allow-list pattern matches it.
+gives one span, from the start of its first hot window to the end of its last. Stretches that the allow-list matches
+(words at separators, sequences, digests, words of a path) part a string into pieces, which are candidates of their own.
 
 Spans are ``kind:start:end`` in code points, end exclusive. Defined results: a null text is an empty one and has no
 spans; ties of the start go by kind in the order of ``KINDS``; repeated rows are scanned each; empty tables give empty
@@ -14,6 +15,7 @@ results; columns of other names are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,17 +45,35 @@ CLASSES = (
     CharClass("entropy_hex", "0-9A-F", 20, 2.9, ("[0-9]", "[A-F]")),
     CharClass("entropy_base64", "A-Za-z0-9+/=_-", 20, 3.7, ("[0-9].*[0-9]", "[a-z]", "[A-Z]")),
 )
-#: Candidates that look random and are not secrets.
+#: A path's word: lower-case or capitalised words and a short number, nothing that a random string would have.
+_WORD = r"[A-Z]?[a-z]{2,}+(?:[_-]?[A-Z][a-z]{2,}+|[_-][a-z]{2,}+)*+(?:[_-]?[0-9]{1,4})?"
+_B64 = "[A-Za-z0-9+/_-]"
+#: Stretches that look random and are not secrets; what stands beside them is looked at.
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|your[_-]?(?:key|token|secret)",
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)abcdefgh|0123456789|^(?:sha(?:1|256|384|512)|md5)[-_]",
+    r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?i:example|sample|dummy|placeholder|your[_-]?(?:key|token|secret))[A-Za-z0-9+]*",
+    r"(?i:(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z]))",
+    "(?i:abcdefgh" + "".join(f"(?:{c}" for c in "ijklmnopqrstuvwxyz") + ")?" * 18 + ")|0123456789",
+    rf"(?<![A-Za-z0-9])(?i:sha512[-_](?:[0-9a-f]{{128}}|{_B64}{{86}}(?:==)?)|sha384[-_](?:[0-9a-f]{{96}}|{_B64}{{64}})|sha256[-_](?:[0-9a-f]{{64}}|{_B64}{{43}}=?)|sha1[-_](?:[0-9a-f]{{40}}|{_B64}{{27}}=?)|md5[-_](?:[0-9a-f]{{32}}|{_B64}{{22}}(?:==)?))",
     r"(.)\1{7,}",
-    r"^/|/.*/.*/",
+    rf"(?<=/){_WORD}(?=/|$)|^{_WORD}(?=/)",
 )
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 
 
+def _pieces(text: Column, pattern: str) -> Column:
+    """array<struct<start, text>> of what stands between the leftmost non-overlapping matches, in code points."""
+    empty = F.array().cast("array<struct<start:bigint,text:string>>")
+    return F.aggregate(
+        F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")),
+        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
+        lambda a, z: F.struct(
+            (a["at"] + F.length(z["g"]) + F.coalesce(F.length(z["m"]), F.lit(0))).cast("long").alias("at"),
+            F.array_append(a["out"], F.struct(a["at"].alias("start"), z["g"].alias("text"))).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+
+
 def _matches(text: Column, pattern: str, hint: str | None = None) -> Column:
     """array<struct<start, text>> of the leftmost non-overlapping matches, in code points.
 
@@ -115,14 +135,31 @@ def hot_window(text: Column, width: int, bits: float) -> Column:
     return F.when(F.length(text) >= width, let(F.split(text, ""), slide))
 
 
-def _entropy_spans(text: Column, cls: CharClass, allowed: tuple[str, ...]) -> Column:
+def _within(outer: Column, inner: Callable[[Column], Column]) -> Column:
+    """inner's array<struct<start, text>> of each of outer's texts, with starts as outer counts them."""
+    return F.flatten(F.transform(outer, lambda o: F.transform(inner(o["text"]), lambda m: F.struct((o["start"] + m["start"]).alias("start"), m["text"].alias("text")))))
+
+
+def _open_pieces(text: Column, classes: tuple[CharClass, ...], allowed: tuple[str, ...]) -> Column:
+    """array<struct<start, text>> of the pieces of text that may hold candidates: runs over all classes' alphabets,
+    parted at what the allow-list matches."""
+    if not classes:
+        return F.array().cast("array<struct<start:bigint,text:string>>")
+    width = min(c.width for c in classes)
+    runs = _matches(text, f"[{''.join(f'[{c.alphabet}]' for c in classes)}]{{{width},}}")
+    if allowed:
+        runs = _within(runs, lambda run: _pieces(run, "|".join(f"(?:{a})" for a in allowed)))
+    return F.filter(runs, lambda p: F.length(p["text"]) >= width)
+
+
+def _entropy_spans(pieces: Column, cls: CharClass) -> Column:
     def candidate(m: Column) -> Column:
-        ok = ~m["text"].rlike("|".join(f"(?:{a})" for a in allowed))
+        ok = F.lit(True)
         for pattern in cls.also:
             ok = m["text"].rlike(pattern) & ok
         return ok
 
-    found = F.filter(_matches(text, f"[{cls.alphabet}]{{{cls.width},}}"), candidate)
+    found = F.filter(_within(pieces, lambda piece: _matches(piece, f"[{cls.alphabet}]{{{cls.width},}}")), candidate)
     hot = F.transform(found, lambda m: F.struct(m["start"].alias("start"), hot_window(m["text"], cls.width, cls.bits).alias("w")))
     order = KINDS.index(cls.kind)
     return F.transform(
@@ -140,7 +177,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classe
     value = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
     assign = F.filter(_matches(text, ASSIGN, ASSIGN_HINT), lambda m: F.length(F.regexp_replace(m["text"], value, "")) >= 6)
     base = F.concat(_spans(assign, "assign"), _spans(_matches(text, ACCESS), "access"), _spans(_matches(text, HEX), "hex"))
-    rows = rows.select("doc_id", "text", F.array_sort(base).alias("base"), F.concat(*[_entropy_spans(text, c, allowed) for c in classes]).alias("more"), *keep)
+    spans_of = lambda p: F.concat(*[_entropy_spans(p, c) for c in classes])
+    rows = rows.select("doc_id", "text", F.array_sort(base).alias("base"), let(_open_pieces(text, classes, allowed), spans_of).alias("more"), *keep)
     kinds = F.array(*[F.lit(k) for k in KINDS])
     named = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.element_at(kinds, s["ord"] + 1).alias("kind"), s["end"].alias("end")))
     return rows.select("doc_id", "text", named(F.col("base")).alias("base"), named(F.array_sort(F.concat("base", "more"))).alias("spans"), *keep)

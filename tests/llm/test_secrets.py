@@ -61,3 +61,23 @@ def test_redaction(spark):
     got = {r["doc_id"]: r["redacted"] for r in secrets.redact(secrets.scan(rows)).collect()}
     assert got == {1: "a [SECRET] b", 2: "", 3: "clean"}
     assert secrets.scan(rows.limit(0)).count() == 0
+
+
+def test_allowed_stretches_hide_nothing_beside_them(spark):
+    import base64
+    import random
+
+    key = "aZ3kP9xQ7LmW2vR8tYb4"
+    glued = [f"sample_key_v2={key}", "-" * 8 + key, f".com/services/T000/B000/{key}", f"/{key}", f"0123456789/{key}", f"{key}_example", f"sha256-{'b' * 64}_{key}", f"AAAAAAAA={key}"]
+    rnd = random.Random(5)
+    blobs = [base64.b64encode(rnd.randbytes(n)).decode() for n in [30] * 60 + [150] * 40]
+    harmless = ["/usr/local/share/Documents/Project2019/src", "123e4567-e89b-12d3-a456-426614174000", "sha512-" + base64.b64encode(rnd.randbytes(64)).decode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", f"{key}EXAMPLE/dummy"]
+    texts = [*glued, *blobs, *harmless]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(rows).collect()}
+    for i, text in enumerate(glued):
+        at = text.index(key)
+        assert any(s["start"] <= at and s["end"] >= at + len(key) for s in spans[i]), text
+    for i, text in enumerate(blobs, len(glued)):
+        assert sum(s["end"] - s["start"] for s in spans[i] if s["kind"] == "entropy_base64") >= 0.5 * len(text.strip("=")), text
+    assert [spans[i] for i in range(len(glued) + len(blobs), len(texts))] == [[]] * len(harmless)
