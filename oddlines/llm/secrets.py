@@ -41,9 +41,18 @@ class CharClass:
     also: tuple[str, ...]
 
 
+#: Digits among letters, unlike a word with a number at its end.
+_AMONG = "[0-9].*[A-Za-z].*[0-9]|[A-Za-z].*[0-9].*[A-Za-z]"
+#: Thresholds are by hits on random strings and false alarms on the given documents and on source code. Strings of under
+#: 16 characters have too little entropy to be told from words. Lower-case hex of 24 and more is the base rule's.
 CLASSES = (
-    CharClass("entropy_hex", "0-9A-F", 20, 2.9, ("[0-9]", "[A-F]")),
+    CharClass("entropy_hex", "0-9A-Fa-f", 16, 2.9, (_AMONG, "^(?![0-9a-f]{24,}$)")),
     CharClass("entropy_base64", "A-Za-z0-9+/=_-", 20, 3.7, ("[0-9].*[0-9]", "[a-z]", "[A-Z]")),
+    CharClass("entropy_lower", "a-z0-9", 16, 3.2, (_AMONG, "[g-z]")),
+    CharClass("entropy_upper", "A-Z0-9", 16, 3.2, (_AMONG, "[G-Z]")),
+    # at most one digit; capitals that stand closer than those of names
+    CharClass("entropy_mixed", "A-Za-z0-9+/=_-", 20, 3.9, ("^[^0-9]*[0-9]?[^0-9]*$", "[a-z]", "[A-Z][a-z]?[A-Z]")),
+    CharClass("entropy_short", "A-Za-z0-9+/=_-", 16, 3.5, (_AMONG, "[a-z]", "[A-Z]", "^.{16,19}$")),
 )
 #: A path's word: lower-case or capitalised words and a short number, nothing that a random string would have.
 _WORD = r"[A-Z]?[a-z]{2,}+(?:[_-]?[A-Z][a-z]{2,}+|[_-][a-z]{2,}+)*+(?:[_-]?[0-9]{1,4})?"

@@ -81,3 +81,18 @@ def test_allowed_stretches_hide_nothing_beside_them(spark):
     for i, text in enumerate(blobs, len(glued)):
         assert sum(s["end"] - s["start"] for s in spans[i] if s["kind"] == "entropy_base64") >= 0.5 * len(text.strip("=")), text
     assert [spans[i] for i in range(len(glued) + len(blobs), len(texts))] == [[]] * len(harmless)
+
+
+def test_classes_find_random_strings_and_leave_names(spark):
+    import random
+    import string
+
+    rnd, low, up, digits = random.Random(7), string.ascii_lowercase, string.ascii_uppercase, string.digits
+    shapes = {"b36": (low + digits, 24, 0.95), "b32": (low + "234567", 32, 0.95), "seed": (up + "234567", 32, 0.95), "hex": ("0123456789abcdef", 22, 0.9), "letters": (low + up, 40, 0.95), "short": (low + up + digits, 18, 0.8)}
+    made = [(name, "".join(rnd.choices(letters, k=n))) for name, (letters, n, _) in shapes.items() for _ in range(100)]
+    names = ["RawDescriptionHelpFormatter", "internationalisation2019", "donaudampfschifffahrtsgesellschaft", "monthdays", "4304158793483661", "get_user_account_by_name_and_email"]
+    rows = spark.createDataFrame(made + [("name", x) for x in names], "doc_id string, text string")
+    hits = {(r["doc_id"], r["text"]): bool(r["spans"]) for r in secrets.scan(rows).collect()}
+    for name, (_, _, least) in shapes.items():
+        assert sum(hits[x] for x in made if x[0] == name) >= least * 100, name
+    assert not any(hits["name", x] for x in names)
