@@ -2,11 +2,11 @@
 
 A text's symbols are its runs of at most 12 non-space characters. Of the k-mers (five symbols), the closed syncmers are
 kept: those whose minimal inner substring (s-mers of two symbols, by hash) stands first or last. Whether a k-mer is kept
-depends on itself alone, so equal passages give equal anchors wherever they stand. The fingerprint is the ``anchors``
-smallest anchor hashes (32 bits) with the position of each one's first occurrence.
+depends on itself alone, so equal passages give equal anchors wherever they stand. The fingerprint has all
+anchor hashes (32 bits), or the ``anchors`` smallest where that is given, with the position of each one's first occurrence.
 
-``likeness`` of two fingerprints is positional: among the smallest hashes of both together, the share that both have at
-one displacement (within ``drift`` symbols of the median displacement).
+``likeness`` of two fingerprints is positional: among the hashes of both together, the share that both have at one
+displacement (within ``drift`` symbols of the median displacement).
 
 Defined results: a null text is an empty one; a text without a symbol has the empty fingerprint, a text too short for a
 closed syncmer has one anchor, its whole; two equal fingerprints have likeness 1, an empty and another one 0; repeated
@@ -27,7 +27,7 @@ _NULL_ID = -(2**63)
 _LOW = (1 << _POS_BITS) - 1
 
 
-def fingerprint(text: Column, anchors: int = 64) -> Column:
+def fingerprint(text: Column, anchors: int | None = None) -> Column:
     """array<long>: hash (32 bits) times 2**31 plus position, by hash, one for each hash."""
 
     def keyed(h: Column, at: Column) -> Column:
@@ -52,7 +52,8 @@ def fingerprint(text: Column, anchors: int = 64) -> Column:
     def firsts(found: Column) -> Column:
         return F.filter(found, lambda x, i: (i == 0) | (F.shiftright(x, _POS_BITS) != F.shiftright(F.get(found, i - 1), _POS_BITS)))
 
-    return F.slice(let(let(F.regexp_extract_all(text, F.lit(SYMBOL), F.lit(0)), of_symbols), firsts), 1, anchors)
+    found = let(let(F.regexp_extract_all(text, F.lit(SYMBOL), F.lit(0)), of_symbols), firsts)
+    return found if anchors is None else F.slice(found, 1, anchors)
 
 
 def shown(found: Column) -> Column:
@@ -60,19 +61,23 @@ def shown(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat(F.lpad(F.lower(F.hex(F.shiftright(x, _POS_BITS))), 8, "0"), F.lit(":"), x.bitwiseAND(F.lit(_LOW)).cast("string"))), ",")
 
 
-def likeness(one: Column, other: Column, anchors: int = 64, drift: int = 64) -> Column:
-    hashes = lambda a: F.transform(a, lambda x: F.shiftright(x, _POS_BITS))
-    places = lambda a: F.transform(a, lambda x: x.bitwiseAND(F.lit(_LOW)))
+def likeness(one: Column, other: Column, anchors: int | None = None, drift: int = 64) -> Column:
+    def sided(a: Column, side: int) -> Column:
+        return F.transform(a, lambda x: F.struct(F.shiftright(x, _POS_BITS).alias("hash"), F.lit(side).alias("side"), x.bitwiseAND(F.lit(_LOW)).alias("at")))
 
-    def compare(both: Column) -> Column:
-        a, b = both["a"], both["b"]
-        joint = F.slice(F.sort_array(F.array_union(hashes(a), hashes(b))), 1, anchors)
-        shared = F.array_intersect(F.array_intersect(joint, hashes(a)), hashes(b))
-        moved = let(F.map_from_arrays(hashes(a), places(a)), lambda m: let(F.map_from_arrays(hashes(b), places(b)), lambda n: F.transform(shared, lambda h: F.element_at(m, h) - F.element_at(n, h))))
-        steady = let(moved, lambda d: let(F.get(F.sort_array(d), F.floor(F.size(d) / 2).cast("int")), lambda mid: F.size(F.filter(d, lambda x: F.abs(x - mid) <= drift))))
-        return F.coalesce(steady, F.lit(0)).cast("double") / F.size(joint)
+    def compare(line: Column) -> Column:
+        # a fingerprint has a hash once, so those of both stand side by side in the line of both
+        moved = F.array_compact(F.transform(line, lambda x, i: F.when((i > 0) & (x["hash"] == F.get(line, i - 1)["hash"]), F.get(line, i - 1)["at"] - x["at"])))
+        steady = lambda d: let(F.get(F.sort_array(d), F.floor(F.size(d) / 2).cast("int")), lambda mid: F.size(F.filter(d, lambda x: F.abs(x - mid) <= drift)))
+        return let(moved, lambda d: F.coalesce(steady(d), F.lit(0)).cast("double") / (F.size(line) - F.size(d)))
 
-    return F.when(one == other, F.lit(1.0)).when((F.size(one) == 0) | (F.size(other) == 0), F.lit(0.0)).otherwise(let(F.struct(one.alias("a"), other.alias("b")), compare))
+    def smallest(line: Column) -> Column:
+        if anchors is None:
+            return line
+        own = F.filter(line, lambda x, i: (i == 0) | (x["hash"] != F.get(line, i - 1)["hash"]))
+        return let(F.coalesce(F.get(own, F.lit(anchors - 1))["hash"], F.lit(1 << 32)), lambda top: F.filter(line, lambda x: x["hash"] <= top))
+
+    return F.when(one == other, F.lit(1.0)).when((F.size(one) == 0) | (F.size(other) == 0), F.lit(0.0)).otherwise(let(let(F.sort_array(F.concat(sided(one, 0), sided(other, 1))), smallest), compare))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -86,7 +91,7 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return linked.withColumn("next_k", F.coalesce("own", "before")).drop("part", "own", "before")
 
 
-def compare_with_edits(docs: DataFrame, anchors: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_edits(docs: DataFrame, anchors: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, prints and edited_prints (fingerprint arrays), near_edited, near_next.
 
     A document's edited text has its last third (rounded down) replaced by as many first characters, or all, of the

@@ -71,3 +71,23 @@ def test_next_ids_over_partitions(spark):
     ids = spark.range(0, 1000, 3).select(F.col("id").alias("k"))
     got = {r["k"]: r["next_k"] for r in syncmers.next_ids(ids).collect()}
     assert got == {k: (k - 3 if k else 999) for k in range(0, 1000, 3)}
+
+
+def test_a_passage_shared_by_long_texts_is_found(spark):
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(80)]
+    one, other = ([word() for _ in range(3000)] + passage + [word() for _ in range(n)] for n in (3000, 200))
+    df = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(other))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in syncmers.compare_with_edits(df).collect()}
+    assert all(len(got[d]["prints"]) > 1000 for d in got)
+
+    def plain(a, b):
+        a, b = ({x >> 31: x & (2**31 - 1) for x in y} for y in (a, b))
+        moved = sorted(a[h] - b[h] for h in a.keys() & b.keys())
+        return sum(abs(d - moved[len(moved) // 2]) <= 64 for d in moved) / len(a.keys() | b.keys()) if moved else 0
+
+    assert got[2]["near_next"] == plain(got[2]["prints"], got[1]["prints"]) > 0
+    assert all(abs(got[d]["near_edited"] - plain(got[d]["prints"], got[d]["edited_prints"])) < 1e-12 for d in got)
