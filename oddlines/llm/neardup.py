@@ -19,8 +19,9 @@ Every link is confirmed on full sets: 100 * intersection >= 75 * union.
 
 Defined results: A-Z are lower-cased, words are split at ASCII white space; with fewer than five words the whole sequence
 is the one shingle; a null or wordless text has an empty set, is linked with nothing and kept; rows that repeat a doc_id
-are one document, whose links are those of any of its texts; an empty table gives an empty result; other columns are
-ignored; a null doc_id comes before all others.
+are one document, whose links are those of any of its texts; texts of any length are compared whole; there are no ties,
+since the smallest doc_id names a component; an empty table gives an empty result; other columns are ignored; a null
+doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import discard, hot_join, stash
 
 WORDS = 5
 BANDS, ROWS = 45, 5
@@ -142,7 +143,9 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep = not_ruled_out((a > b).sum(axis=1), (a < b).sum(axis=1), batch.column(2).to_numpy(), batch.column(4).to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "r_a", "n_b", "r_b")
+    # a hub is the b of many pairs
+    pairs = stash(pairs, "hub-pairs")
+    joined = hot_join(pairs.join(side("a"), "a"), side("b"), "b", "a", like=pairs).select("a", "b", "n_a", "r_a", "n_b", "r_b")
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -163,7 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     texts = lambda x: docs.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    joined = pairs.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "text_a", "text_b")
+    joined = hot_join(pairs.join(texts("a"), "a"), texts("b"), "b", "a", like=pairs).select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -179,12 +182,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         # large star: each node's larger neighbours are tied to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = hot_join(both.filter("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stash(large.filter("a != b").distinct(), label)
+        discard(edges)
         # small star: each node and its smaller neighbours are tied to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = stash(small.filter("a != b").distinct(), label)
+        discard(large)
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -310,9 +315,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     rows = stash(_sketched(docs), "sketches")
     # a class is named by its smallest id
-    named = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"))
-    sets = rows.filter("key IS NOT NULL").join(named, "key")
-    classes = stash(sets.filter("id = rep").dropDuplicates(["id", "key"]).select("id", "n", "registers"), "classes")
+    full = rows.filter("key IS NOT NULL")
+    first = full.groupBy("key").agg(F.min(F.struct("id", "n", "registers")).alias("c"))
+    classes = stash(first.select("key", "c.*"), "classes")
+    named = classes.select("key", F.col("id").alias("rep"))
+    classes = classes.drop("key")
     members = stash(_open_buckets(_rooted(_bucketed(classes), None)), "members")
     links, roots = [], None
     for turn in range(hub_rounds + 1):
@@ -330,9 +337,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 every = every.unionByName(more)
             roots = components(every)
     # classes of rows that repeat an id with another text are tied by their common name
-    placed = rows.join(named, "key", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    placed = hot_join(full.select("id", "n", "key"), named, "key", "id").select("id", "n", "rep")
+    placed = stash(placed.unionByName(rows.filter("key IS NULL").select("id", "n", F.col("id").alias("rep"))), "placed")
     if roots is not None:
-        placed = placed.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("root"))
+        placed = hot_join(placed, roots.withColumnRenamed("id", "rep"), "rep", "id", "left").select("id", "n", F.coalesce("root", "rep").alias("root"))
     else:
         placed = placed.withColumnRenamed("rep", "root")
     same = F.col("id") == F.col("root")

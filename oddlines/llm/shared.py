@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,11 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir. A local session that sets none gets a temporary one; a
+    cluster's executors would not see that, so there it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -34,7 +36,54 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._stash_path = path
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stash() wrote for df, which must not be read any more."""
+    delete(df.sparkSession, df._stash_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to path has come to its end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def running(rows: DataFrame, order: list[str], **sums: str) -> DataFrame:
+    """rows with, for each out=column, the sum of column over all rows before a row in order (unique). Rows are
+    range-partitioned; only one row a partition meets in one place."""
+    ranged = stash(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    line = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{out}") for out, c in sums.items()])
+    ends = ends.select("_part", *[F.coalesce(F.sum(f"_{out}").over(line), F.lit(0)).alias(f"_{out}") for out in sums])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = [F.coalesce(F.sum(c).over(within), F.lit(0)).alias(out) for out, c in sums.items()]
+    met = ranged.select(*rows.columns, "_part", *own).join(F.broadcast(ends), "_part")
+    return met.select(*rows.columns, *[(F.col(out) + F.col(f"_{out}")).alias(out) for out in sums])
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", like: DataFrame | None = None) -> DataFrame:
+    """left joined to right on key, where a key may hold much of left and little of right: the rows of keys with more
+    than a 10,000th of left (at least 1,000 rows) are dealt by spread_by over as many places, to each of which right's
+    rows of that key go. like has left's keys, as often, and is read for the counts. The driver sees 10,000 keys at most."""
+    like = left if like is None else like
+    heavy = max(1_000, like.count() // 10_000)
+    found = like.groupBy(key).agg(F.ceil(F.count("*") / heavy).cast("int").alias("_places")).filter("_places > 1").collect()
+    if not found:
+        return left.join(right, key, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, left.select(key, F.lit(0).alias("_places")).schema))
+    places = F.coalesce("_places", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_place", F.pmod(F.xxhash64(spread_by), places).cast("int")).drop("_places")
+    copied = right.join(hot, key, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), places - 1))).drop("_places")
+    return dealt.join(copied, [key, "_place"], how).drop("_place")
 
 
 def numbered(df: DataFrame, label: str, name: str) -> DataFrame:

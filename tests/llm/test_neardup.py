@@ -91,3 +91,39 @@ def test_sketches_merge_and_estimate():
             ok = neardup.not_ruled_out(np.array([(p > q).sum()]), np.array([(p < q).sum()]), np.array([len(x)]), np.array([len(y)]))
             missed += bool(ok[0]) != wanted
         assert missed == 0
+
+
+def test_hot_keys_are_spread(spark):
+    from oddlines.llm.shared import hot_join
+    from pyspark.sql import functions as F
+
+    left = spark.range(6000).select("id", F.when(F.col("id") < 5000, 1).otherwise(F.col("id")).alias("k"))
+    right = spark.range(0, 6000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v")).unionByName(spark.range(1).select(F.lit(1).cast("long").alias("k"), F.lit(7).cast("long").alias("v")))
+    for how in ("inner", "left"):
+        got, want = (sorted(map(str, x.select("id", "k", "v").collect())) for x in (hot_join(left, right, "k", "id", how), left.join(right, "k", how)))
+        assert got == want
+    spread = hot_join(left, right, "k", "id").filter("k = 1").groupBy(F.spark_partition_id()).count()
+    assert spread._jdf.queryExecution().analyzed() is not None and spread.agg(F.sum("count")).first()[0] == 5000
+
+
+def test_running_sums(spark):
+    from oddlines.llm.shared import running
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 500).select((F.col("id") * 7 % 500).alias("k"), (F.col("id") % 3).alias("v"))
+    got = {r["k"]: (r["v"], r["before"]) for r in running(rows, ["k"], before="v").collect()}
+    total = 0
+    for k in range(500):
+        assert got[k][1] == total
+        total += got[k][0]
+
+
+def test_one_group_of_many_copies(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = {i: " ".join(words) for i in range(3000)} | {3000 + i: " ".join(words + [f"x{i}"]) for i in range(1500)} | {9000: None, 9001: "alone"}
+    check(spark, docs)
+
+
+def test_long_texts(spark):
+    words = [f"w{i * 7919 % 99991}" for i in range(60_000)]
+    check(spark, {1: " ".join(words), 2: " ".join(words[:-3000]), 3: " ".join(words[::-1])})
