@@ -1,23 +1,27 @@
 """Language identification by prediction by partial matching (PPM).
 
-Every language has a byte context tree of orders 2, 1 and 0. Escapes follow method C (a context with n symbols of d kinds
-escapes with d / (n + d)), with exclusion: what a longer context has seen is left out of the shorter one's share, so each
-context's code is complete. Statistics are frozen after training, so the exact code length of every byte after every
-context is a table entry; scoring a text is looking up its bytes and adding. The language with the shortest code wins;
-its score is its posterior share under equal priors.
-
-Training: counts of byte triples come from a sample of at most about ``max_train_docs`` labelled documents a language
-(chosen by a hash; all of them where there are fewer); contexts seen once are dropped. The tables have at most 65,536
-contexts by construction and go to the executors as one broadcast. Texts are scored whole.
+Every language has a byte context tree of variable order: contexts of 0 to 2 bytes are all kept, a longer one (up to
+``DEPTH`` bytes) where it has been seen ``grow`` times. A context with n symbols of d kinds gives a seen symbol c / (n + d)
+and escapes with d / (n + d) (method C) to the context that is one byte shorter, with exclusion: what the longer context
+has seen is left out of the shorter one's share, so each context's code is complete. Statistics are frozen after training,
+so that the exact code lengths of seen symbols and of escapes are entries of the tree. A text is scored by looking up its
+distinct (context, byte) keys and adding; the language with the shortest code wins, its score is its posterior share under
+equal priors.
+
+Training takes a bounded sample of the labelled documents: of each language's distinct texts, chosen by a hash of the
+text, about ``max_train_docs`` texts and ``max_train_chars`` characters at most, and one in any case. One task builds one
+language's tree, of at most ``max_nodes`` (context, byte) pairs of three bytes of context or more; the trees (12 bytes a
+pair) go to the executors as one broadcast. Texts are scored whole, in slices, so memory does not grow with them.
 
 Defined results: a null text, a text without a letter and any text where nothing was learnt get ``und`` with score 0;
-ties go to the smaller language name; repeated rows get the same result; columns of other names are ignored.
+ties go to the smaller language name; repeated rows get the same result each; an empty table gives an empty result; a null
+doc_id is never held out; columns of other names are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,49 +30,160 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+DEPTH = 5
 #: ASCII bytes other than letters count as one, a space.
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_CHUNK = 1 << 21
+_SLICE = 1 << 18
+_OUT_ROWS, _OUT_CHARS = 512, 1 << 20
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def slices(text: str) -> Iterator[bytes]:
+    """The text's folded bytes in slices, each behind the DEPTH bytes before it (spaces at the start), a space at the end."""
+    last = b" " * DEPTH
+    for at in range(0, len(text), _SLICE):
+        part = last + text[at : at + _SLICE].lower().encode("utf-8", "replace").translate(_FOLD)
+        if at + _SLICE >= len(text):
+            part += b" "
+        yield part
+        last = part[-DEPTH:]
+
+
+def keys_of(data: bytes) -> np.ndarray:
+    """For each byte after the first DEPTH: those before it, the nearest one highest, and itself as the lowest byte, as one
+    number. Sorted keys then have their contexts of any order sorted too."""
+    b = np.frombuffer(data, np.uint8)
+    n = max(0, len(b) - DEPTH)
+    out = np.zeros(n, np.uint64)
+    for back in (*range(1, DEPTH + 1), 0):
+        out = (out << np.uint64(8)) | b[DEPTH - back : DEPTH - back + n]
+    return out
+
+
+def _context(keys: np.ndarray, order: int) -> np.ndarray:
+    return keys >> np.uint64(8 * (DEPTH + 1 - order))
+
 
+def _coded(context: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """(context, byte) pairs: the contexts and the lowest bytes of keys."""
+    return (context << np.uint64(8)) | (keys & np.uint64(255))
 
-def text_bytes(text: str) -> bytes:
-    return b"  " + text.lower().encode("utf-8", "replace").translate(_FOLD) + b" "
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in the sorted table, and whether they are there."""
+    at = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
+    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
+
+
+def _dense(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities (contexts x 256) of a context's next byte from its counts and the shorter context's probabilities."""
+    n, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
+    seen = counts > 0
+    left = np.where(seen, 0, lower)
+    total = left.sum(axis=1, keepdims=True)
+    escape = np.where(total > 0, kinds / np.maximum(n + kinds, 1), 0)
+    out = np.where(seen, counts * (1 - escape) / np.maximum(n, 1), left * escape / np.where(total > 0, total, 1))
+    return np.where(n > 0, out, lower)
 
 
 @dataclass(frozen=True)
-class Model:
-    """languages; row (65,536 entries): a context's row in costs; costs (rows * 256, languages): code lengths in bits."""
+class Tree:
+    """Code lengths in bits. short: of a byte (low 8 bits) after one byte (high 8 bits). nodes, contexts: for each order
+    from 2 to DEPTH sorted keys and code lengths, of (context, byte) pairs and of a context's escape."""
+
+    short: np.ndarray
+    nodes: list[tuple[np.ndarray, np.ndarray]]
+    contexts: list[tuple[np.ndarray, np.ndarray]]
+
+    def costs(self, keys: np.ndarray) -> np.ndarray:
+        out, open_ = np.zeros(len(keys), np.float32), np.arange(len(keys))
+        for order in range(DEPTH, 1, -1):
+            left = keys[open_]
+            context = _context(left, order)
+            at, hit = _find(self.nodes[order - 2][0], _coded(context, left))
+            out[open_[hit]] += self.nodes[order - 2][1][at[hit]]
+            open_, context = open_[~hit], context[~hit]
+            at, hit = _find(self.contexts[order - 2][0], context)
+            out[open_[hit]] += self.contexts[order - 2][1][at[hit]]
+        out[open_] += self.short[_coded(_context(keys[open_], 1), keys[open_]).astype(np.int64)]
+        return out
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, n, len(found))
+
+
+def build_tree(keys: np.ndarray, n: np.ndarray, grow: int = 4, max_nodes: int = 400_000) -> Tree:
+    """The tree of counted keys (as keys_of gives them)."""
+    levels, kept = [], None
+    while kept is None or kept > max_nodes:
+        grow, kept, levels = grow * (1 if kept is None else 2), 0, []
+        for order in range(2, DEPTH + 1):
+            code, c = _summed(_coded(_context(keys, order), keys), n)
+            context, at, kinds = np.unique(code >> np.uint64(8), return_inverse=True, return_counts=True)
+            total = np.bincount(at, c, len(context))
+            stays = total >= (grow if order > 2 else 1)
+            kept += int(stays[at].sum()) if order > 2 else 0
+            own = np.cumsum(stays) - 1
+            levels.append((code[stays[at]], c[stays[at]], own[at][stays[at]], context[stays], total[stays], kinds[stays]))
+    one = np.zeros((256, 256))
+    pair, c = _summed(_coded(_context(keys, 1), keys), n)
+    one[(pair >> np.uint64(8)).astype(int), (pair & np.uint64(255)).astype(int)] = c
+    first = _dense(one, np.repeat(_dense(one.sum(axis=0)[None, :], np.full((1, 256), 1 / 256)), 256, axis=0))
+    nodes, contexts = [], []
+    for order, (code, c, own, context, total, kinds) in enumerate(levels, 2):
+        share = c / (total + kinds)[own]
+        shorter = _coded(code >> np.uint64(16), code)
+        if order == 2:
+            below = first.ravel()[shorter.astype(np.int64)]
+        else:  # a symbol seen after a context was seen after the shorter one, which is kept where the longer one is
+            below = np.exp2(-nodes[-1][1][_find(nodes[-1][0], shorter)[0]].astype(np.float64))
+        left = np.maximum(1 - np.bincount(own, below, len(context)), 1e-9)
+        nodes.append((code, -np.log2(share).astype(np.float32)))
+        contexts.append((context, (np.log2(left) - np.log2(kinds / (total + kinds))).astype(np.float32)))
+    return Tree(-np.log2(first).astype(np.float32).ravel(), nodes, contexts)
 
+
+@dataclass(frozen=True)
+class Model:
     languages: list[str]
-    row: np.ndarray
-    costs: np.ndarray
-
-    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text (as text_bytes gives it) in each language."""
-        out = np.zeros((len(texts), len(self.languages)))
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= _CHUNK):
-                size += len(texts[end])
-                end += 1
-            joined = np.frombuffer(b"".join(texts[at:end]), np.uint8)
-            starts = np.cumsum([0] + [len(t) for t in texts[at : end - 1]])
-            context = (joined[:-2].astype(np.int32) << 8) | joined[1:-1]
-            bits = self.costs[self.row[context] * 256 + joined[2:]]
-            # a text's first two bytes are only context; the triples that reach into them are set to nothing
-            for s in starts[1:]:
-                bits[s - 2 : s] = 0
-            out[at:end] = np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
-            at = end
-        return out
+    trees: list[Tree]
+
+    def code_lengths(self, texts: Iterable[str]) -> np.ndarray:
+        """Bits of each text in each language."""
+        sums: list[np.ndarray] = []
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def add() -> None:
+            nonlocal held, size
+            if held:
+                keys, at = np.unique(np.concatenate([k for _, k in held]), return_inverse=True)
+                starts = np.cumsum([0] + [len(k) for _, k in held[:-1]])
+                for j, tree in enumerate(self.trees):
+                    for (i, _), bits in zip(held, np.add.reduceat(tree.costs(keys)[at], starts, dtype=np.float64)):
+                        sums[i][j] += bits
+            held, size = [], 0
+
+        for i, text in enumerate(texts):
+            sums.append(np.zeros(len(self.trees)))
+            for part in slices(text):
+                held.append((i, keys_of(part)))
+                size += len(part)
+                if size >= _SLICE:
+                    add()
+        add()
+        return np.array(sums).reshape(-1, len(self.trees))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        known = [i for i, t in enumerate(texts) if t and self.languages and _LETTER(t)]
+        known = [i for i, t in enumerate(texts) if t and self.languages and has_letter(t)]
         names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if known:
-            bits = self.code_lengths([text_bytes(texts[i]) for i in known])
+            bits = self.code_lengths(texts[i] for i in known)
             best = bits.argmin(axis=1)
             share = 1 / np.exp2(np.clip(bits.min(axis=1)[:, None] - bits, -1000, 0)).sum(axis=1)
             for i, b, s in zip(known, best, share):
@@ -76,78 +191,60 @@ class Model:
         return names, score
 
 
-def _order(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities (contexts x 256) of a context's next byte from its counts and the shorter context's probabilities."""
-    n, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-    seen = counts > 0
-    left = np.where(seen, 0, lower)
-    total = left.sum(axis=1, keepdims=True)
-    escape = np.where(total > 0, kinds / np.maximum(n + kinds, 1), 0)
-    out = np.where(seen, counts * (1 - escape) / np.maximum(n, 1), left * escape / np.where(total > 0, total, 1))
-    return np.where(n > 0, out, lower)
+def _sample(rows: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
+    """Distinct (lang, text) of rows, thinned by language to the bounds; a text's copies stay or go together."""
+    drawn = rows.select("lang", "text", F.xxhash64("text", F.lit(5)).alias("h"))
+    seen = drawn.groupBy("lang", "h").agg(F.max(F.length("text")).alias("chars"))
+    totals = seen.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"), F.min("h").alias("least"))
+    # one row a language
+    share = F.least(F.lit(1.0), max_docs / F.col("docs"), max_chars / F.greatest(F.col("chars"), F.lit(1)))
+    top = F.lit(float(-(2**63))) + share * float(2**64)
+    met = drawn.join(F.broadcast(totals.select("lang", "least", top.alias("top"))), "lang").filter((F.col("h") == F.col("least")) | (F.col("h").cast("double") < F.col("top")))
+    return met.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
-def build(languages: list[str], triples: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model of each language's (triple codes, counts); a code is three bytes, the last one the predicted."""
-    contexts = np.unique(np.concatenate([np.unique(c >> 8) for c, _ in triples] or [np.zeros(0, np.int64)]))
-    # rows: the observed two-byte contexts, then one for each last byte of any other
-    row = np.arange(65_536, dtype=np.int32) % 256 + len(contexts)
-    row[contexts] = np.arange(len(contexts), dtype=np.int32)
-    costs = np.zeros(((len(contexts) + 256) * 256, len(languages)), np.float32)
-    for k, (codes, n) in enumerate(triples):
-        one = np.zeros((256, 256))
-        np.add.at(one, ((codes >> 8) & 255, codes & 255), n)
-        zero = _order(one.sum(axis=0)[None, :], np.full((1, 256), 1 / 256))
-        first = _order(one, np.repeat(zero, 256, axis=0))
-        two = np.zeros((len(contexts), 256))
-        np.add.at(two, (row[codes >> 8], codes & 255), n)
-        second = _order(two, first[contexts & 255])
-        costs[:, k] = -np.log2(np.vstack([second, first])).ravel()
-    return Model(languages, row, costs)
-
-
-def train(rows: DataFrame, max_train_docs: int = 2_000, min_count: int = 2) -> Model:
-    """The model of rows (text, lang), both not null."""
-    rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
-    docs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not docs:
-        return Model([], np.zeros(65_536, np.int32), np.zeros((0, 0), np.float32))
-    share = F.create_map(*[F.lit(x) for lang, n in docs.items() for x in (lang, min(1.0, max_train_docs / n))])
-    draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
+def train(rows: DataFrame, max_train_docs: int = 2_000, max_train_chars: int = 4_000_000, grow: int = 4, max_nodes: int = 400_000) -> Model:
+    """The model of rows (text, lang); those with a null are left out."""
+    rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(text_bytes(text))
-            for lang, texts in by_lang.items():
-                b = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
-                codes, n = np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                for part in slices(text.as_py()):
+                    keys, n = np.unique(keys_of(part), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(keys)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    found = counted.toArrow()  # at most 2**24 triples a language, of the bounded sample
-    langs, codes, n = found.column(0).to_numpy(zero_copy_only=False), found.column(1).to_numpy(), found.column(2).to_numpy()
-    languages = sorted(set(langs))
-    return build(languages, [(codes[langs == x], n[langs == x]) for x in languages])
+    def build(group: pa.Table) -> pa.Table:
+        tree = build_tree(group["code"].to_numpy().view(np.uint64), group["n"].to_numpy().astype(np.float64), grow, max_nodes)
+        return pa.table({"lang": group["lang"][:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    counted = _sample(rows, max_train_docs, max_train_chars).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    # a group is one language's counts, at most max_train_chars rows or a single text's; the driver gets a tree a language
+    found = sorted(counted.groupBy("lang").applyInArrow(build, "lang string, tree binary").collect())
+    return Model([r["lang"] for r in found], [pickle.loads(r["tree"]) for r in found])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and the columns named in keep."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), *keep)
-    kept = [f for f in rows.schema if f.name in keep]
+    """doc_id, lang_pred, score and the columns named in keep, which may name the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    others = [c for c in keep if c != text_col]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *others)
+    types = {f.name: f.dataType.simpleString() for f in docs.select(*keep).schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score = shared.value.predict(batch.column(1).to_pylist())
-            own = [batch.column(2 + i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), *own], names=["doc_id", "lang_pred", "score", *[f.name for f in kept]])
-
-    schema = ", ".join(["doc_id long, lang_pred string, score double", *[f"`{f.name}` {f.dataType.simpleString()}" for f in kept]])
-    return rows.mapInArrow(run, schema)
+            at, texts, chars = 0, [], 0
+            columns = {text_col: batch.column(1)} | {c: batch.column(2 + i) for i, c in enumerate(others)}
+            for i in range(batch.num_rows):
+                texts.append(batch.column(1)[i].as_py())
+                chars += len(texts[-1] or "")
+                if i + 1 == batch.num_rows or len(texts) == _OUT_ROWS or chars >= _OUT_CHARS:
+                    names, score = shared.value.predict(texts)
+                    own = [columns[c].slice(at, len(texts)) for c in keep]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(names, pa.string()), pa.array(score), *own], names=["doc_id", "lang_pred", "score", *keep])
+                    at, texts, chars = i + 1, [], 0
+
+    return rows.mapInArrow(run, ", ".join(["doc_id long, lang_pred string, score double", *[f"`{c}` {types[c]}" for c in keep]]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -1,16 +1,20 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text's symbols are its runs of at most 12 non-space characters. Of the k-mers (five symbols), the closed syncmers are
-kept: those whose minimal inner substring (s-mers of two symbols, by hash) stands first or last. Whether a k-mer is kept
-depends on itself alone, so equal passages give equal anchors wherever they stand. The fingerprint has all
-anchor hashes (32 bits), or the ``anchors`` smallest where that is given, with the position of each one's first occurrence.
+A text's symbols end at white space and after every character that is not one of ``_INNER`` (ASCII consonants and odd
+digits): two or three characters of a Latin text, one of other scripts. Where a symbol ends depends on its own characters
+alone, so that passages in scripts without spaces, in code or in encoded runs have equal symbols wherever they stand. Of
+the k-mers (five symbols), the closed syncmers are kept: those whose minimal inner substring (s-mers of two symbols, by
+hash) stands first or last. Whether a k-mer is kept depends on itself alone too, so equal passages give equal anchors. The
+fingerprint has all anchor hashes (32 bits), or the ``anchors`` smallest where that is given, with the position of each
+one's first occurrence.
 
 ``likeness`` of two fingerprints is positional: among the hashes of both together, the share that both have at one
 displacement (within ``drift`` symbols of the median displacement).
 
 Defined results: a null text is an empty one; a text without a symbol has the empty fingerprint, a text too short for a
 closed syncmer has one anchor, its whole; two equal fingerprints have likeness 1, an empty and another one 0; repeated
-rows are fingerprinted each; empty tables give empty results; columns of other names are ignored.
+rows are fingerprinted each; texts of any length are fingerprinted whole; a null doc_id is the smallest id; empty tables
+give empty results; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import let, stash, text_of
+from .shared import let, text_of
 
-SYMBOL = r"[^\x20\x09-\x0D]{1,12}"
+#: Characters that end no symbol. Single letters, since Java looks them up in a table, which it doesn't do with ranges.
+_INNER = "bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ13579"
+_SPACE = r" \t\n\x0B\f\r"
+SYMBOL = f"[{_INNER}]++[^{_INNER}{_SPACE}]?+|[^{_INNER}{_SPACE}]"
 _POS_BITS = 31
 _NULL_ID = -(2**63)
 _LOW = (1 << _POS_BITS) - 1
@@ -36,8 +43,7 @@ def fingerprint(text: Column, anchors: int | None = None) -> Column:
     def closed(s: Column) -> Column:
         def one(i: Column) -> Column:
             a, b, c, d = (F.get(s, i + j) for j in range(4))
-            low = F.least(a, b, c, d)
-            return F.when((a == low) | (d == low), keyed(F.xxhash64(a, c, d), i))
+            return F.when(F.least(a, d) <= F.least(b, c), keyed(F.xxhash64(a, c, d), i))
 
         return F.when(F.size(s) >= 4, F.array_compact(F.transform(F.sequence(F.lit(0), F.size(s) - 4), one))).otherwise(F.array().cast("array<bigint>"))
 
@@ -80,15 +86,35 @@ def likeness(one: Column, other: Column, anchors: int | None = None, drift: int
     return F.when(one == other, F.lit(1.0)).when((F.size(one) == 0) | (F.size(other) == 0), F.lit(0.0)).otherwise(let(let(F.sort_array(F.concat(sided(one, 0), sided(other, 1))), smallest), compare))
 
 
-def next_ids(ids: DataFrame) -> DataFrame:
-    """ids' rows (k unique) with next_k, the next smaller k; the smallest k's is the largest. No window holds more than
-    one range partition's ids."""
-    ranged = stash(ids.repartitionByRange("k").withColumn("part", F.spark_partition_id()), "ranged-ids")
-    ends = ranged.groupBy("part").agg(F.min("k").alias("low"), F.max("k").alias("high"))  # one row a partition
-    by_low = Window.orderBy("low")
-    ends = ends.select("part", F.coalesce(F.lag("high").over(by_low), F.max("high").over(by_low.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    linked = ranged.withColumn("own", F.lag("k").over(Window.partitionBy("part").orderBy("k"))).join(F.broadcast(ends), "part")
-    return linked.withColumn("next_k", F.coalesce("own", "before")).drop("part", "own", "before")
+def _bucket(key: Column, bounds: list[int], base: int = 0) -> Column:
+    """How many of the sorted bounds are below key, by halving."""
+    if not bounds:
+        return F.lit(base)
+    mid = len(bounds) // 2
+    return F.when(key <= F.lit(bounds[mid]), _bucket(key, bounds[:mid], base)).otherwise(_bucket(key, bounds[mid + 1 :], base + mid + 1))
+
+
+def beside_next(rows: DataFrame, carried: Column) -> DataFrame:
+    """rows (k, text) with ``carried`` (an expression over them) as own and, as next, the next smaller k's; the smallest
+    k's next is the largest. Of rows of one k, the one with the smallest hash of its text is what others see.
+
+    Rows are dealt by ranges of k and sorted there; a range's first rows see a copy of what ends the range before."""
+    spark = rows.sparkSession
+    n_parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx("k", F.array(*[F.lit(i / n_parts) for i in range(1, n_parts)]), F.lit(10_000))).first()[0]
+    rows = rows.withColumns({"part": _bucket(F.col("k"), sorted(set(cuts or []))), "h": F.xxhash64("text")})
+    # one row a range
+    highs = sorted(map(tuple, rows.groupBy("part").agg(F.max("k")).collect()))
+    before = [(highs[i - 1][1], part) for i, (part, _) in enumerate(highs)]
+    sent = rows.select("k", "h", "text").join(F.broadcast(spark.createDataFrame(before, "k long, part int")), "k")
+    sent = sent.groupBy("k", "part").agg(F.min(F.struct("h", "text")).alias("x")).select("k", "part", "x.h", "x.text", F.lit(True).alias("sent"))
+    order = [F.desc("sent"), F.asc("k"), F.desc("h"), F.asc("text")]
+    line = rows.withColumn("sent", F.lit(False)).unionByName(sent).repartition("part").sortWithinPartitions("part", *order).withColumn("own", carried)
+    w = Window.partitionBy("part").orderBy(*order)
+    shown = F.col("sent") | ~F.col("k").eqNullSafe(F.lead("k").over(w))
+    line = line.withColumn("shown", F.when(shown, F.struct("text", "own")))
+    line = line.withColumn("next", F.last("shown", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return line.filter(~F.col("sent")).select("k", "text", "own", "next")
 
 
 def compare_with_edits(docs: DataFrame, anchors: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,18 +125,11 @@ def compare_with_edits(docs: DataFrame, anchors: int | None = None, id_col: str
     is that with the smallest hash; null ids come last.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), text_of(text_col).alias("text"))
-    size, own_hash = F.length("text").cast("long"), F.xxhash64("text")
-    links = stash(next_ids(rows.groupBy("k").agg(F.max(size).alias("n_max"), F.min(own_hash).alias("pick"))), "next-ids")
-    wanted = links.select(F.col("next_k").alias("k"), F.col("k").alias("by"), F.floor(F.col("n_max") / 3).cast("int").alias("cut")).join(links.select("k", "pick"), "k")
-    # both uses of held read just its columns, so that they share one exchange of the texts
-    held = rows.withColumn("prints", fingerprint(F.col("text"), anchors)).repartition("k")
-    given = held.join(wanted, "k").filter(own_hash.bitwiseXOR(F.col("pick")) == 0)  # not a join key
-    given = given.select(F.col("by").alias("k"), F.substr(F.col("text"), F.lit(1), F.col("cut")).alias("lent"), F.col("prints").alias("next_prints")).dropDuplicates(["k"])
-    own = held.join(given, "k").withColumn("n", size).withColumn("cut", F.floor(F.col("n") / 3).cast("int"))
+    own = beside_next(rows, fingerprint(F.col("text"), anchors)).withColumn("n", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n") / 3).cast("int"))
     kept = F.substr(F.col("text"), F.lit(1), (F.col("n") - F.col("cut")).cast("int"))
-    own = own.withColumn("edited", F.concat(kept, F.substr(F.col("lent"), F.lit(1), F.col("cut")))).withColumn("edited_prints", fingerprint(F.col("edited"), anchors))
+    own = own.withColumn("edited", F.concat(kept, F.substr(F.col("next.text"), F.lit(1), F.col("cut")))).withColumn("edited_prints", fingerprint(F.col("edited"), anchors))
     return own.select(
-        F.nullif("k", F.lit(_NULL_ID)).alias("doc_id"), F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "prints", "edited_prints",
-        likeness(F.col("prints"), F.col("edited_prints"), anchors).alias("near_edited"),
-        likeness(F.col("prints"), F.col("next_prints"), anchors).alias("near_next"),
+        F.nullif("k", F.lit(_NULL_ID)).alias("doc_id"), F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("own").alias("prints"), "edited_prints",
+        likeness(F.col("own"), F.col("edited_prints"), anchors).alias("near_edited"),
+        likeness(F.col("own"), F.col("next.own"), anchors).alias("near_next"),
     )

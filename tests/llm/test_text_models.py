@@ -1,20 +1,79 @@
+import functools
 import hashlib
+import math
+import random
+import re
 
 import numpy as np
+import xxhash
 from oddlines.llm import langid, syncmers
 from pyspark.sql import functions as F
 
 
-def test_codes_are_complete():
-    text = langid.text_bytes("the theme of the thesis is thin")
-    b = np.frombuffer(text, np.uint8).astype(np.int64)
-    codes, n = np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:], return_counts=True)
-    model = langid.build(["x"], [(codes, n)])
-    shares = np.exp2(-model.costs[:, 0].astype(float)).reshape(-1, 256).sum(axis=1)
-    assert np.allclose(shares, 1, atol=1e-4)
-    alone = model.code_lengths([text])
-    both = model.code_lengths([text, text_2 := langid.text_bytes("zebra"), text])
-    assert np.allclose(both[[0, 2]], alone) and np.allclose(both[1], model.code_lengths([text_2])[0])
+def _tree(texts, **more):
+    keys, n = np.unique(np.concatenate([langid.keys_of(p) for t in texts for p in langid.slices(t)]), return_counts=True)
+    return langid.build_tree(keys, n.astype(float), **more)
+
+
+class Plain:
+    """PPM by dictionaries: P(symbol | context), escaping to shorter contexts with exclusion."""
+
+    def __init__(self, texts, grow):
+        self.grow, self.seen = grow, {}
+        for text in texts:
+            for part in langid.slices(text):
+                for i in range(langid.DEPTH, len(part)):
+                    for order in range(langid.DEPTH + 1):
+                        found = self.seen.setdefault(part[i - order : i], {})
+                        found[part[i]] = found.get(part[i], 0) + 1
+
+    def share(self, context, symbol):
+        found = self.seen.get(context, {})
+        lower = (lambda s: self.share(context[1:], s)) if context else (lambda s: 1 / 256)
+        if not found or len(context) > 2 and sum(found.values()) < self.grow:
+            return lower(symbol)
+        n, kinds = sum(found.values()), len(found)
+        if symbol in found:
+            return found[symbol] / (n + kinds)
+        return kinds / (n + kinds) * lower(symbol) / (1 - sum(map(lower, found)))
+
+    def bits(self, text):
+        return -sum(math.log2(self.share(p[i - langid.DEPTH : i], p[i])) for p in langid.slices(text) for i in range(langid.DEPTH, len(p)))
+
+
+def test_code_lengths_equal_a_plain_ppm():
+    learnt = ["the theme of the thesis is thin, the thief thinks", "Überall über übermut", "then there they"] * 3
+    for grow in (2, 4):
+        tree, plain = _tree(learnt, grow=grow), Plain(learnt, grow)
+        model = langid.Model(["x"], [tree])
+        for text in ("the thesis", "zebra", "übel then ⅷ", "t"):
+            assert abs(model.code_lengths([text])[0, 0] - plain.bits(text)) < 1e-3
+        for context in (b"     ", b"the t", b"zzzzz", b"  the"):
+            keys = np.array([int.from_bytes(context[::-1] + bytes([s]), "big") for s in range(256)], np.uint64)
+            assert abs(np.exp2(-tree.costs(keys).astype(float)).sum() - 1) < 1e-4
+
+
+def test_slices_add_up_and_trees_are_bounded(monkeypatch):
+    rnd = random.Random(4)
+    text = " ".join("".join(rnd.choices("abcdefé", k=rnd.randint(1, 9))) for _ in range(3000))
+    tree = _tree([text])
+    whole = langid.Model(["x"], [tree]).code_lengths([text, "abc", text])
+    monkeypatch.setattr(langid, "_SLICE", 100)
+    parts = langid.Model(["x"], [tree]).code_lengths([text, "abc", text])
+    assert np.allclose(whole, parts) and abs(whole[0, 0] - whole[2, 0]) < 1e-6
+    small = _tree([text], max_nodes=500)
+    assert sum(len(k) for k, _ in small.nodes[1:]) <= 500 < sum(len(k) for k, _ in tree.nodes[1:])
+
+
+def test_small_languages_and_copies_stay_in_the_model(spark):
+    rows = [("aa", f"the small house number {chr(97 + i % 26)}{chr(97 + i // 26)} is here") for i in range(60)] + [("bb", "ein kurzer satz")] + [("cc", "une phrase qui se trouve partout")] * 500 + [(None, "x"), ("dd", None), ("ee", "uno"), ("ee", "dos")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.train(df, max_train_docs=10)
+    assert model.languages == ["aa", "bb", "cc", "ee"]
+    taken = langid._sample(df.dropna(), 10, 10**6).groupBy("lang").count().collect()
+    counts = {r["lang"]: r["count"] for r in taken}
+    assert 1 <= counts["aa"] <= 25 and counts["bb"] == counts["cc"] == 1 and counts["ee"] == 2
+    assert langid._sample(df.dropna(), 10, 1).count() == 4
 
 
 def test_held_out_accuracy_and_edge_rows(spark):
@@ -22,9 +81,9 @@ def test_held_out_accuracy_and_edge_rows(spark):
     model = langid.train(docs.filter(~langid.held_out()).select("text", "lang"))
     got = langid.predict(docs.filter(langid.held_out()), model, keep=("lang",)).collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.99 * len(got) > 100
-    odd = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "12 $$ 3", 0.5), (4, "the and of thing " * 40_000, 0.5), (5, "퟿中", 0.5)], "doc_id long, text string, score double")
+    odd = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "12 $$ 3", 0.5), (4, "the and of thing " * 40_000, 0.5), (5, "퟿中", 0.5), (6, "½ ² Ⅷ", 0.5), (None, "le monde", 0.5)], "doc_id long, text string, score double")
     rows = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
-    assert [rows[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["und", "und", "und", "en"] and rows[5]["lang_pred"] in model.languages
+    assert [rows[i]["lang_pred"] for i in (1, 2, 3, 4, 6, None)] == ["und", "und", "und", "en", "und", "fr"] and rows[5]["lang_pred"] in model.languages
     assert all(0 <= r["score"] <= 1 for r in rows.values())
     none = langid.train(docs.limit(0).select("text", "lang"))
     assert {r["lang_pred"] for r in langid.predict(odd, none).collect()} == {"und"}
@@ -59,23 +118,68 @@ def test_fingerprints_and_edits(spark):
     assert sorted((r["doc_id"] or 0) for r in syncmers.compare_with_edits(same_ids).collect()) == [0, 1, 1, 2]
 
 
-def test_syncmers_are_closed_and_context_free(spark):
-    words = [f"v{i * 31 % 211}" for i in range(200)]
-    df = spark.createDataFrame([(" ".join(words[50:150]),), (" ".join(["zz"] * 7 + words[50:150]),)], "t string")
-    a, b = (r[0] for r in df.select(syncmers.fingerprint(F.col("t"), 10_000)).collect())
-    moved = {(x >> 31, (x & (2**31 - 1)) + 7) for x in a}
-    assert moved <= {(x >> 31, x & (2**31 - 1)) for x in b}
-
-
-def test_next_ids_over_partitions(spark):
-    ids = spark.range(0, 1000, 3).select(F.col("id").alias("k"))
-    got = {r["k"]: r["next_k"] for r in syncmers.next_ids(ids).collect()}
-    assert got == {k: (k - 3 if k else 999) for k in range(0, 1000, 3)}
+def brute_print(text):
+    """{hash: first position} by direct hashing."""
+    h = lambda *x: functools.reduce(lambda seed, v: xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little"), seed=seed), x, 42)
+    symbols = [m[0] for m in re.finditer(syncmers.SYMBOL, text)]
+    t = [h(x.encode()) for x in symbols]
+    inner = [h(a, b) for a, b in zip(t, t[1:])]
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    found = {}
+    for i in range(len(inner) - 3):
+        four = inner[i : i + 4]
+        if min(map(signed, four)) in (signed(four[0]), signed(four[3])):
+            found.setdefault(h(four[0], four[2], four[3]) & 0xFFFFFFFF, i)
+    if not found and symbols:
+        found = {h(" ".join(symbols).encode()) & 0xFFFFFFFF: 0}
+    return found
+
+
+def test_prints_equal_brute_force(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choices("abeioz9XYZ中ü (.\n", k=rnd.randint(0, 200))) for _ in range(60)] + ["", " ", "a", "xyz", "The quick brown fox"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", syncmers.fingerprint(F.col("t")).alias("p"))
+    for r in df.collect():
+        assert {x >> 31: x & (2**31 - 1) for x in r["p"]} == brute_print(r["t"]) and r["p"] == sorted(r["p"])
+
+
+def test_anchors_are_context_free(spark):
+    rnd = random.Random(9)
+    for letters, joint in (("天地玄黄宇宙洪荒日月盈昃", ""), ("abcdefghijklmnopqrstuvwxyz0123456789", ""), ("กขคงจฉชซ", ""), ("abcdefgh", " ")):
+        passage = joint.join("".join(rnd.choices(letters, k=7)) for _ in range(60))
+        df = spark.createDataFrame([(passage,), ("e" + "x" * 5 + passage,), (passage + "zz",)], "t string")
+        one, moved, longer = ({x >> 31 for x in r[0]} for r in df.select(syncmers.fingerprint(F.col("t"))).collect())
+        assert len(one & moved) >= 0.8 * len(one) and len(one & longer) >= 0.95 * len(one) and len(one) >= 40
+
+
+def test_short_edits_stay_near(spark):
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choices("aeiourstlndmcb", k=rnd.randint(3, 8)))
+    rows = [(i, " ".join(word() for _ in range(4 + i % 4))) for i in range(400)]
+    got = {r["doc_id"]: r for r in syncmers.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [sum(got[i]["near_edited"] > 0 for i in range(n, 400, 4)) for n in range(4)]
+    # texts of 4, 5, 6 and 7 words; seven equal symbols in a row hold an anchor for certain
+    assert near[0] >= 65 and min(near[1:]) >= 90, near
+    assert sum(r["near_next"] > 0 for r in got.values()) <= 20
+
+
+def test_next_over_ranges(spark):
+    rnd = random.Random(1)
+    for ids in (list(range(0, 900, 3)), [5], [5, 5, 5], [None, 1, 1, 9, 9, 9, 4], [7] * 200 + [8, 6]):
+        rows = [(-(2**63) if i is None else i, "".join(rnd.choices("ab", k=3))) for i in ids]
+        df = spark.createDataFrame(rows, "k long, text string")
+        least = {}
+        for k, text in rows:
+            h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+            h -= 2**64 if h >= 2**63 else 0
+            least[k] = min(least.get(k, (2**63, "")), (h, text))
+        order = sorted(least)
+        want = sorted((k, t, t.upper(), (x := least[order[order.index(k) - 1]][1]), x.upper()) for k, t in rows)
+        got = sorted((r["k"], r["text"], r["own"], r["next"]["text"], r["next"]["own"]) for r in syncmers.beside_next(df, F.upper("text")).collect())
+        assert got == want
 
 
 def test_a_passage_shared_by_long_texts_is_found(spark):
-    import random
-
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choices("abcdefghij", k=6))
     passage = [word() for _ in range(80)]
