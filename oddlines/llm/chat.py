@@ -7,11 +7,13 @@ kind, reference, tokens it expands to). ``format_conversations`` then marks the
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
 Escaping is reversible: inside a text every ``<|`` becomes ``<||``, so a control string (``<|`` and no second bar) can
-only come from the template; ``read_back`` undoes it. In roles a line feed also becomes ``<|n|>``.
+only come from the template; ``read_back`` undoes it. Neighbouring text parts are one text. In roles a line feed also
+becomes ``<|n|>``.
 
-Defined results: null texts, roles and references count as empty, null turns come first; repeated rows are turns of
-their own; ties of the turn number go by role, then text; unknown part kinds and null parts are dropped from the text
-but counted in ``n_dropped``; empty tables give empty results; columns of other names are ignored.
+Defined results: null texts, roles and references count as empty, null turns come first; a null conv_id is a conversation
+of its own; repeated rows are turns of their own; ties of the turn number go by role, then text; unknown part kinds and
+null parts are dropped from the text but counted in ``n_dropped``; texts of any length are formatted whole; empty tables
+give empty results; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+_NUL = "\0"
 #: Tokens that a placeholder stands for: image tiles, seconds of audio, pages; times the part's own ``units``.
 TOKENS_PER_UNIT = {"image": 256, "audio": 25, "document": 600}
 
@@ -58,11 +61,16 @@ def flatten_parts(parts: Column) -> Column:
             (F.greatest(F.coalesce(p["units"], F.lit(1)), F.lit(0)) * per[p["kind"]]).cast("long").alias("tokens"),
         ),
     )
-    # an attachment's number is how many attachments stand before it
-    numbers = F.transform(known, lambda p, i: F.size(F.filter(F.slice(known, 1, i), lambda q: q["kind"] != "text")))
+    # texts that meet are one text before they are escaped, so that no control string forms over their seam; marks keep
+    # the attachments' places meanwhile
+    marked = F.transform(known, lambda p: F.when(p["kind"] == "text", F.replace(F.coalesce(p["text"], F.lit("")), F.lit(_NUL), F.lit(_NUL + "t"))).otherwise(F.lit(_NUL + "a")))
+    stretches = F.split(escape(F.array_join(marked, "")), _NUL + "a", -1)
     texts = F.transform(
-        F.arrays_zip(known.alias("p"), numbers.alias("n")),
-        lambda z: F.when(z["p"]["kind"] == "text", escape(F.coalesce(z["p"]["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), z["p"]["kind"], F.lit(":"), z["n"].cast("string"), F.lit("|>"))),
+        F.arrays_zip(stretches.alias("t"), others.alias("p")),
+        lambda z, i: F.concat(
+            F.replace(F.coalesce(z["t"], F.lit("")), F.lit(_NUL + "t"), F.lit(_NUL)),
+            F.coalesce(F.concat(F.lit("<|"), z["p"]["kind"], F.lit(":"), i.cast("string"), F.lit("|>")), F.lit("")),
+        ),
     )
     dropped = F.size(F.coalesce(parts, F.array())) - F.size(known)
     return F.struct(F.array_join(texts, "").alias("text"), listed.alias("attachments"), dropped.alias("n_dropped"))
@@ -103,9 +111,9 @@ def format_conversations(
     return made.select("conv_id", "formatted", "loss", "attachments", total.alias("expanded_tokens"), dropped.alias("n_dropped"))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """What a trainer reads from format_conversations(): conv_id, turns array<struct<role, text>> (unescaped, with
-    placeholders left in), loss_texts array<string> (each stretch under the mask, unescaped) and formatted_chars."""
+    placeholders left in), loss_texts array<string> (each stretch under the mask, unescaped), formatted_chars and keep."""
     pieces = F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda p, i: i > 0)
     turns = F.transform(
         pieces,
@@ -115,4 +123,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
         ),
     )
     texts = F.transform("loss", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return formatted.select("conv_id", turns.alias("turns"), texts.alias("loss_texts"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return formatted.select("conv_id", turns.alias("turns"), texts.alias("loss_texts"), F.length("formatted").cast("long").alias("formatted_chars"), *keep)

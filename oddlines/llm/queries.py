@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, counts, idfiles, langid, mixing, neardup, packing, search, secrets, syncmers
-from .shared import WORD, shared_dir, stash, table, text_of
+from .shared import shared_dir, stash, table, text_of
 from .tokens import public_path
 
 
@@ -29,33 +29,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-#: Lines that the revision of op4's last batch takes out of the texts, and what a token of the second tokenizer is.
+#: Lines that the revision of op4's last batch takes out of the texts.
 BOILERPLATE = r"(Licensed under|All rights reserved)[^\n]*"
-PIECES = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
+#: Tokenizer versions of op4 and their files.
+TOKENIZERS = {"byte-50k": "byte_bpe_50k.json", "word-49k": "word_bpe_49k.json"}
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches: all documents with words-1, all with pieces-2, all but one of each exact copy deleted, boilerplate
-    lines taken out of the kept texts (revised counts). Batches 2 and 4 are delivered twice."""
+    """Four batches: all documents by the first tokenizer, all by the second, all but one of each exact copy deleted,
+    boilerplate lines taken out of the kept texts (revised counts). Batches 2 and 4 are delivered twice, and after the
+    third the commits are compacted."""
     path = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
-    count = lambda text, token: F.regexp_count(text, F.lit(token)).cast("long")
+    first, second = TOKENIZERS
     text = text_of()
-    new = F.regexp_replace(text, BOILERPLATE, "")
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", F.sha2(text, 256).alias("key"), count(text, WORD).alias("w"), count(text, PIECES).alias("p"), count(new, WORD).alias("new_w"), count(new, PIECES).alias("new_p")
-    )
-    rows = stash(rows, "counted")
-    per_doc = F.struct("doc_id", "source", "lang", "w", "p", "new_w", "new_p")
-    kept = stash(rows.groupBy("key").agg(F.min(per_doc).alias("d")).select("d.*"), "kept")
-    both = lambda df, sign, w="w", p="p": counts.changes(df, sign, "words-1", F.col(w)).unionByName(counts.changes(df, sign, "pieces-2", F.col(p)))
-    batches = {
-        1: counts.changes(rows, 1, "words-1", F.col("w")),
-        2: counts.changes(rows, 1, "pieces-2", F.col("p")),
-        3: both(rows, -1).unionByName(both(kept, 1)),
-        4: both(kept, -1).unionByName(both(kept, 1, "new_w", "new_p")),
-    }
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(text, 256).alias("key"), text.alias("text"), F.regexp_replace(text, BOILERPLATE, "").alias("new"))
+    rows = stash(counts.count_tokens(docs, {v: public_path(f) for v, f in TOKENIZERS.items()}, ("text", "new"), ("doc_id", "source", "lang", "key")), "counted")
+    kept = stash(rows.groupBy("key").agg(F.min(F.struct(*[c for c in rows.columns if c != "key"])).alias("d")).select("d.*"), "kept")
+    change = lambda df, sign, column, version: counts.changes(df, sign, version, F.col(f"{column}_{version}"))
+    both = lambda df, sign, column: change(df, sign, column, first).unionByName(change(df, sign, column, second))
+    batches = {1: change(rows, 1, "text", first), 2: change(rows, 1, "text", second), 3: both(rows, -1, "text").unionByName(both(kept, 1, "text")), 4: both(kept, -1, "text").unionByName(both(kept, 1, "new"))}
     for batch in (1, 2, 2, 3, 4, 4):
         counts.commit(batches[batch], path, batch)
+        if batch == 3:
+            counts.compact(spark, path)
     return counts.totals(spark, path)
 
 
@@ -83,8 +79,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    back = chat.read_back(chat.format_conversations(rows.unionByName(own)))
+    said_by = F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role")) for i, role in enumerate(("user", "assistant"))])
+    own = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(said_by).alias("t")).select("conv_id", "t.turn", "t.role", F.lit(said).alias("text"))
+    made = chat.format_conversations(rows.unionByName(own))
+    back = chat.read_back(made, keep=("attachments", "expanded_tokens"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join("loss_texts", "")
     return back.select(
@@ -94,6 +92,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(learnt).cast("long").alias("loss_chars"),
         F.sha2(learnt, 256).alias("loss_sha256"),
         "formatted_chars",
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 
@@ -108,19 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    "op4_token_counts": r"""
-WITH d AS (
-  SELECT doc_id, source, lang, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id NULLS FIRST, source NULLS FIRST, lang NULLS FIRST) AS copy FROM documents
-), r AS (
-  SELECT source, lang, regexp_replace(text, '(Licensed under|All rights reserved)[^\n]*', '', 'g') AS text FROM d WHERE copy = 1
-), c AS (
-  SELECT source, lang, 'words-1' AS tokenizer_version, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM r
-  UNION ALL
-  SELECT source, lang, 'pieces-2', len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) FROM r
-)
-SELECT source, lang, tokenizer_version, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM c GROUP BY ALL
-""",
     "op6_top_k": """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
@@ -148,13 +135,25 @@ WITH d AS (
   SELECT rest / weights AS each FROM r WHERE rest / weights * weight < 2.0 * source_size ORDER BY k LIMIT 1
 ), t AS (
   SELECT w.source, w.source_size, round(least(2.0 * w.source_size, coalesce((SELECT each FROM level), 0) * w.weight), 6)::DOUBLE AS target FROM w
+), n AS (
+  SELECT source, ceil(count(*) / 1024.0) AS n_blocks FROM d GROUP BY source
 ), o AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
-    coalesce(sum(d.size) OVER (PARTITION BY t.source ORDER BY md5('11:' || d.doc_id), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.doc_id, d.size, t.source, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+    floor(('0x' || substr(md5('11:' || d.doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n.n_blocks)::BIGINT AS block
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN n ON d.source IS NOT DISTINCT FROM n.source
+), i AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, block ORDER BY md5('11:' || doc_id), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS inside FROM o
+), b AS (
+  SELECT source, block, sum(size)::BIGINT AS words, any_value(quota) AS quota FROM o GROUP BY source, block HAVING sum(size) > 0
+), p AS (
+  SELECT source, block, pass, least(words, quota - coalesce(sum(words) OVER (PARTITION BY source ORDER BY pass, md5('12:' || pass || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS gives
+  FROM b CROSS JOIN (VALUES (0), (1)) AS v(pass)
+), g AS (
+  SELECT source, block, max(gives) FILTER (pass = 0) AS g0, max(gives) FILTER (pass = 1) AS g1 FROM p GROUP BY source, block
 )
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(quota - begun, size)) + greatest(0, least(quota - source_size - begun, size)))::BIGINT AS taken FROM o
+  (greatest(0, least(coalesce(g0, 0) - inside, size)) + greatest(0, least(coalesce(g1, 0) - inside, size)))::BIGINT AS taken
+FROM i LEFT JOIN g ON i.source IS NOT DISTINCT FROM g.source AND i.block = g.block
 """,
     "op9_chat_format": """
 WITH a AS (
@@ -166,7 +165,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length('<|im_start|>') + length(replace(replace(role, '<|', '<||'), chr(10), '<|n|>')) + 1 + length(replace(text, '<|', '<||')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+  sum(length('<|im_start|>') + length(replace(replace(role, '<|', '<||'), chr(10), '<|n|>')) + 1 + length(replace(text, '<|', '<||')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM a GROUP BY conv_id
 """,
 }

@@ -8,9 +8,10 @@ best k and are compacted away, so later columns are read for the survivors only.
 The query set meets all rows block by block: every block of queries goes to every block of candidates by an equi-join on
 the block's number, each task keeps k hits a query, and a window keeps the best k of those.
 
-Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors count as
-padded with zeros; rows with the query's own id are not its candidates; rows of one id are otherwise candidates each, ties
-go to the smaller id; with fewer than k candidates all are returned; columns of other names are ignored.
+Defined results: vectors that are null or hold null or non-finite components and rows with a null id take no part;
+shorter vectors count as padded with zeros, empty ones as zeros; rows with the query's own id are not its candidates; rows
+of one id are otherwise queries and candidates each, ties go to the smaller id; with fewer than k candidates all are
+returned; an empty table gives an empty result; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         vectors: list[list[int]] = []
 
         def close() -> pa.RecordBatch:
-            dims = max(map(len, vectors))
+            dims = max(1, *map(len, vectors))
             m = np.zeros((len(vectors), dims))
             for i, v in enumerate(vectors):
                 m[i, : len(v)] = v
@@ -93,17 +94,19 @@ def top_k(
     rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, block_rows: int = 16_384, query_rows: int = 2_048, group: int = 16, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best rows; is_query is a condition on the column ``vec_id``."""
-    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), quantised(vector_col, scale).alias("v")).filter("vec_id IS NOT NULL AND size(v) > 0")
+    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), quantised(vector_col, scale).alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
     candidates = stash(_blocks(own, block_rows), "search-candidates")
     queries = stash(_blocks(own.filter(is_query), query_rows), "search-queries")
-    numbers = [r["block"] for r in candidates.select("block").collect()]  # one number for block_rows rows
-    if not numbers:
-        numbers = [-1]
-    dealt = queries.select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"), F.explode(F.array(*[F.lit(n) for n in numbers])).alias("block"))
+    # candidate blocks get the numbers 0 to n - 1; one short row a block meets in one place
+    order = candidates.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("no"))
+    count = F.broadcast(order.agg(F.count("*").alias("n")))
+    candidates = candidates.join(F.broadcast(order), "block").drop("block")
+    pairs = queries.select("block").crossJoin(count).filter("n > 0").select("block", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("no"))
+    dealt = pairs.join(queries.select("block", F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data")), "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_dims, q_data, ids, dims, data in zip(*[c.to_pylist() for c in batch.columns]):
+            for q_block, q_ids, q_dims, q_data, ids, dims, data in zip(*[c.to_pylist() for c in batch.columns]):
                 q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
                 most = max(q_dims, dims)
                 queries, columns = np.zeros((most, len(q_ids))), np.zeros((most, len(ids)))
@@ -111,10 +114,11 @@ def top_k(
                 columns[:dims] = np.frombuffer(data, "<f8").reshape(dims, -1)
                 rest = rest_norms(columns, group)
                 found = [branch_and_bound(q, columns, rest, ids, own, k, group) for q, own in zip(np.ascontiguousarray(queries.T), q_ids)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "vec_id", "score"]
-                )
+                hits = [len(i) for i, _ in found]
+                columns = [np.repeat(np.full(len(q_ids), q_block), hits), np.repeat(np.arange(len(q_ids)), hits), np.repeat(q_ids, hits), np.concatenate([i for i, _ in found]), np.concatenate([s for _, s in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q_block", "q_row", "query_id", "vec_id", "score"])
 
-    hits = dealt.join(candidates, "block").select("q_ids", "q_dims", "q_data", "ids", "dims", "data").mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    met = dealt.join(candidates, "no").select(F.col("block").alias("q_block"), "q_ids", "q_dims", "q_data", "ids", "dims", "data")
+    hits = met.mapInArrow(run, "q_block long, q_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
