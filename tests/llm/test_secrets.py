@@ -96,3 +96,50 @@ def test_classes_find_random_strings_and_leave_names(spark):
     for name, (_, _, least) in shapes.items():
         assert sum(hits[x] for x in made if x[0] == name) >= least * 100, name
     assert not any(hits["name", x] for x in names)
+
+
+def plain_spans(text):
+    """All spans by a direct scan: classes over pieces beside allowed stretches, entropy of each window from its counts."""
+    import math
+    from collections import Counter
+
+    found = [(int(s.split(":")[1]), secrets.KINDS.index(s.split(":")[0]), int(s.split(":")[2])) for s in plain(text).split(",") if s]
+    union = "|".join(f"[{c.alphabet}]" for c in secrets.CLASSES)
+    allowed = re.compile("|".join(f"(?:{a})" for a in secrets.ALLOWED))
+    for run in re.finditer(f"(?:{union}){{16,}}", text):
+        at, pieces = 0, []
+        for m in [*allowed.finditer(run[0]), None]:
+            end = m.start() if m else len(run[0])
+            pieces.append((run.start() + at, run[0][at:end]))
+            at = m.end() if m else end
+        for start, piece in pieces:
+            for c in secrets.CLASSES if len(piece) >= 16 else ():
+                for x in re.finditer(f"[{c.alphabet}]{{{c.width},}}", piece):
+                    t, w = x[0], c.width
+                    if all(re.search(p, t) for p in c.also):
+                        hot = [i for i in range(len(t) - w + 1) if -sum(n / w * math.log2(n / w) for n in Counter(t[i : i + w]).values()) >= c.bits - 1e-9]
+                        if hot:
+                            found.append((start + x.start() + hot[0], secrets.KINDS.index(c.kind), start + x.start() + hot[-1] + w))
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_all_spans_equal_a_plain_scan(spark):
+    import random
+
+    rnd = random.Random(11)
+    key = lambda n: "".join(rnd.choices("ABCDEFabcdef0123456789xyzXYZ", k=n))
+    bits = [lambda: key(rnd.randint(10, 40)), lambda: "EXAMPLE", lambda: "/usr/local/lib/", lambda: " ", lambda: "x" * 9, lambda: "_", lambda: "word", lambda: "abcdefghijkl", lambda: "=", lambda: "é"]
+    texts = ["".join(rnd.choice(bits)() for _ in range(rnd.randint(1, 9))) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secrets.scan(rows).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
+    assert got == {i: plain_spans(t) for i, t in enumerate(texts)} and sum(bool(x) for x in got.values()) > 20
+
+
+def test_very_long_candidates(spark):
+    import random
+
+    rnd = random.Random(12)
+    blob = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=200_000))
+    row = secrets.scan(spark.createDataFrame([(1, "see " + blob)], "doc_id long, text string")).first()
+    spans = [s for s in row["spans"] if s["kind"] == "entropy_base64"]
+    assert len(spans) == 1 and spans[0]["end"] - spans[0]["start"] > 199_000

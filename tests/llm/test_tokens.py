@@ -98,3 +98,29 @@ def test_id_files_read_back(spark, tmp_path):
     assert sorted(map(str, only)) == sorted(str(r) for r in got if r["doc_id"] in (5, 9))
     idfiles.write_ids(df.limit(0), str(tmp_path / "none"), public_path(NAMES[1]))
     assert idfiles.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_packing_query_on_given_documents(spark):
+    import zlib
+
+    from oddlines.llm.queries import op3_packing
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    ids = {r["doc_id"]: [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in op3_packing(spark, "/root/testdata/sf0.001").collect():
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own)
+        assert r["ids_crc32"] == zlib.crc32(np.array(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert pieces.keys() == ids.keys()
+    for groups, end in ((pieces, lambda d: len(ids[d])), (sequences, lambda s: sum(n for _, n in sequences[s]))):
+        for name, found in groups.items():
+            at = 0
+            for start, length in sorted(found):
+                assert start == at and length > 0
+                at += length
+            assert at == end(name)
+    assert all((n := sum(x for _, x in s)) == 1024 or n & (n - 1) == 0 for s in sequences.values())
