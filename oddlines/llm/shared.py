@@ -86,16 +86,16 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: s
     return dealt.join(copied, [key, "_place"], how).drop("_place")
 
 
-def numbered(df: DataFrame, label: str, name: str) -> DataFrame:
-    """df with a column of unique longs, the same at every reading: the file's number and the row's place in the file.
+def numbered(df: DataFrame, label: str, name: str, columns: tuple[str, ...]) -> DataFrame:
+    """columns of df and one of unique longs, the same at every reading: the file's number and the row's place in the file.
 
     A table that is read from files keeps them; any other is written first. The driver sees one row a file."""
-    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        df = stash(df, label)
-    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+    if "_metadata" in df.columns or df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = stash(df.select(*columns), label)
+    placed = df.select(*columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    files = sorted(r[0] for r in placed.select("_path").distinct().collect())
     order = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _path string"))
-    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
-    return placed.join(order, "_path").select(*df.columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_at")).alias(name))
+    return placed.join(order, "_path").select(*columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_at")).alias(name))
 
 
 def text_of(col: str = "text") -> Column:

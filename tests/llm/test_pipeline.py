@@ -84,3 +84,29 @@ def test_null_and_repeated_ids(spark):
     assert all(abs(taken[n] - t) <= 1 for n, t in zip(names, targets))
     assert all(n <= 2 * m for n, m in ((Counter(map(str, mixed))[k], Counter(map(str, redacted))[k]) for k in set(map(str, redacted))))
     assert {r["doc_id"] for r in out[5].select("doc_id").collect()} == {r[0] for r in mixed}
+
+
+def test_each_stage_on_odd_tables(spark):
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = " ".join(f"word{i % 977} of the house" for i in range(40_000))
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, words, "en", "a", None), (2, words, "en", "a", None), (None, "the one and only house", None, None, 22), (3, "token=abcdef " * 3, "en", "b", 39)]
+    extra = {"size": F.lit("x"), "take": F.lit(1), "shard": F.lit("s"), "pass": F.lit(0), "order_key": F.lit("k"), "row_key": F.lit(1), "id": F.lit(2), "root": F.lit(3), "score": F.lit(4.0), "base": F.lit(5), "spans": F.lit(6), "_metadata": F.lit(7)}
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame(rows, schema).limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            for df in (docs, stash(docs.withColumns(extra), "odd")):
+                got = stage(spark, df, SF).collect()
+                ids = sorted((r["doc_id"] or 0) for r in got)
+                if docs.isEmpty():
+                    assert ids == []
+                elif name == "language_id":
+                    assert ids in ([0, 2, 2, 3], [0, 2, 2])
+                elif name == "near_dedup":
+                    assert ids == [0, 0, 1, 2, 3]
+                elif name == "secret_scan":
+                    assert ids == [0, 0, 1, 2, 2, 3] and sum(r["text"].count("[SECRET]") for r in got) == 3
+                elif name == "mixing":
+                    assert set(ids) <= {0, 2, 3} and all(r["text"] for r in got)
+                else:
+                    assert set(ids) == {0, 1, 2, 3}
