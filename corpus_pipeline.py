@@ -10,8 +10,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 5. packing gives the pieces of the final sequences.
 
 Stages 2 and 4 meet rows by a key of their own (``ROW``), so that rows with a null or repeated doc_id are documents like
-any other: of a group, the row with the least doc_id stays (null comes first), and texts that are unlike stay although
-they share an id.
+any other: of a group, the row with the least doc_id stays (null comes first; the first row of equal ones), and texts that
+are unlike stay although they share an id. A null or empty text has no language and goes in stage 1; a stage that is run
+alone keeps it (near-dedup: unlike all others; secret scan: as an empty text), except that mixing draws no words from it. A
+null lang teaches nothing, a null source is a source of its own. Texts of any length are processed whole, ties are settled
+by doc_id or by hashes, repeated rows are documents each until near-dedup keeps one, an empty table gives empty results,
+and columns other than those of documents are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,13 +36,14 @@ ROW = "row_key"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
     model = langid.train(docs.filter(~langid.held_out()).select("text", "lang"))
     found = langid.predict(docs, model, keep=("text", "lang", "source", "n_chars"))
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = numbered(docs, "dedup-rows", ROW)
+    docs = numbered(docs, "dedup-rows", ROW, COLUMNS)
     found = neardup.near_duplicates(docs, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
     first = F.min(F.struct("doc_id", ROW)).alias("first")
     kept = found.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first).select(f"first.{ROW}")
@@ -46,13 +51,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.redact(secrets.scan(docs, keep=("lang", "source")))
+    found = secrets.redact(secrets.scan(docs.select(*COLUMNS), keep=("lang", "source")))
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = numbered(docs, "mix-rows", ROW)
+    docs = numbered(docs, "mix-rows", ROW, COLUMNS)
     mixed = mixing.mix(docs, shards=shards, keep=(ROW,))
     draws = mixing.mixed_rows(mixed, keep=(ROW,)).select(ROW, "take", "shard", "order_key", "size")
     drawn = docs.join(draws, ROW).repartition(shards, "shard").sortWithinPartitions("shard", "order_key", ROW)
@@ -61,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_path("byte_bpe_50k.json"))
+    return packing.pack(docs.select(*COLUMNS), public_path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
