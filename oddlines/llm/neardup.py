@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, hot_join, stash
+from .shared import dealt, discard, hot_join, stash
 
 WORDS = 5
 BANDS, ROWS = 45, 5
@@ -150,24 +150,31 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; docs has id and text."""
+    """The pairs (a, b) whose full sets are similar; docs has id and text. A hub's text goes once to each place of its
+    pairs, ahead of the other sides' texts."""
     pairs = stash(pairs, "likely-pairs")
     docs = _held_ids(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, np.zeros(0, np.uint64)
+        place, hubs = None, []
         for batch in batches:
-            keep = []
-            for b, text_a, text_b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                text = text_b.as_py()
-                if (b, text) != last:
-                    last, last_set = (b, text), shingle_hashes(text)
-                keep.append(similar(shingle_hashes(text_a.as_py()), last_set))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-    texts = lambda x: docs.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    joined = hot_join(pairs.join(texts("a"), "a"), texts("b"), "b", "a", like=pairs).select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+            found = []
+            for a, b, at, text in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3)):
+                if (b, at) != place:
+                    place, hubs = (b, at), []
+                own = shingle_hashes(text.as_py())
+                if a is None:
+                    hubs.append(own)
+                elif any(similar(own, h) for h in hubs):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    placed = dealt(pairs, "b", "a")
+    texts = lambda x: docs.select(F.col("id").alias(x), "text")
+    hubs = placed.select("b", "_place").distinct().join(texts("b"), "b").select(F.lit(None).cast("long").alias("a"), "b", "_place", "text")
+    rows = placed.join(texts("a"), "a").select("a", "b", "_place", "text").unionByName(hubs)
+    rows = rows.repartition("b", "_place").sortWithinPartitions("b", "_place", F.col("a").asc_nulls_first())
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

@@ -70,20 +70,33 @@ def running(rows: DataFrame, order: list[str], **sums: str) -> DataFrame:
     return met.select(*rows.columns, *[(F.col(out) + F.col(f"_{out}")).alias(out) for out in sums])
 
 
+def _hot(rows: DataFrame, key: str) -> DataFrame | None:
+    """key and _places, into how many parts its rows go, of the keys that hold more than a 10,000th of rows (at least
+    1,000 rows), so 10,000 keys at most; None without such keys."""
+    heavy = max(1_000, rows.count() // 10_000)
+    found = rows.groupBy(key).agg(F.ceil(F.count("*") / heavy).cast("int").alias("_places")).filter("_places > 1").collect()
+    return F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(key, F.lit(0).alias("_places")).schema)) if found else None
+
+
+def _deal(rows: DataFrame, hot: DataFrame, key: str, spread_by: str) -> DataFrame:
+    return rows.join(hot, key, "left").withColumn("_place", F.pmod(F.xxhash64(spread_by), F.coalesce("_places", F.lit(1))).cast("int")).drop("_places")
+
+
+def dealt(rows: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """rows with _place: those of a key that holds many are dealt by spread_by over several places. rows is read thrice."""
+    hot = _hot(rows, key)
+    return rows.withColumn("_place", F.lit(0)) if hot is None else _deal(rows, hot, key, spread_by)
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", like: DataFrame | None = None) -> DataFrame:
-    """left joined to right on key, where a key may hold much of left and little of right: the rows of keys with more
-    than a 10,000th of left (at least 1,000 rows) are dealt by spread_by over as many places, to each of which right's
-    rows of that key go. like has left's keys, as often, and is read for the counts. The driver sees 10,000 keys at most."""
-    like = left if like is None else like
-    heavy = max(1_000, like.count() // 10_000)
-    found = like.groupBy(key).agg(F.ceil(F.count("*") / heavy).cast("int").alias("_places")).filter("_places > 1").collect()
-    if not found:
+    """left joined to right on key, where a key may hold much of left and little of right: the rows of such keys are
+    dealt by spread_by over several places, to each of which right's rows of that key go. like has left's keys, as
+    often, and is read for the counts."""
+    hot = _hot(left if like is None else like, key)
+    if hot is None:
         return left.join(right, key, how)
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, left.select(key, F.lit(0).alias("_places")).schema))
-    places = F.coalesce("_places", F.lit(1))
-    dealt = left.join(hot, key, "left").withColumn("_place", F.pmod(F.xxhash64(spread_by), places).cast("int")).drop("_places")
-    copied = right.join(hot, key, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), places - 1))).drop("_places")
-    return dealt.join(copied, [key, "_place"], how).drop("_place")
+    copied = right.join(hot, key, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1))).drop("_places")
+    return _deal(left, hot, key, spread_by).join(copied, [key, "_place"], how).drop("_place")
 
 
 def numbered(df: DataFrame, label: str, name: str, columns: tuple[str, ...]) -> DataFrame:
