@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dealt, discard, hot_join, stash
+from .shared import dealt, discard, hot_join, small_batches, stash
 
 WORDS = 5
 BANDS, ROWS = 45, 5
@@ -110,7 +110,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
     """id, n, key (digest of the set, null if empty) and registers of docs' rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sizes, keys, registers = [], [], []
             for text in batch.column(1):
                 s = shingle_hashes(text.as_py())
@@ -124,7 +124,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 def _bucketed(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [buckets(np.frombuffer(r, "<u2")) for r in batch.column(1).to_pylist()]
             ids = np.repeat(batch.column(0).to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(found, np.int64).ravel(), pa.int64())], names=["id", "bucket"])
@@ -137,7 +137,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, _M) for i in (3, 5))
                 keep = not_ruled_out((a > b).sum(axis=1), (a < b).sum(axis=1), batch.column(2).to_numpy(), batch.column(4).to_numpy())
@@ -157,7 +157,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, hubs = None, []
-        for batch in batches:
+        for batch in small_batches(batches):
             found = []
             for a, b, at, text in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3)):
                 if (b, at) != place:
@@ -293,7 +293,7 @@ def _block_links(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
         def found(links: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in small_batches(batches, 256):
             links = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if group and row[:4] != group[0][:4]:

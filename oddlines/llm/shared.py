@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from collections.abc import Callable
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,8 +72,8 @@ def running(rows: DataFrame, order: list[str], **sums: str) -> DataFrame:
 
 def _hot(rows: DataFrame, key: str) -> DataFrame | None:
     """key and _places, into how many parts its rows go, of the keys that hold more than a 10,000th of rows (at least
-    1,000 rows), so 10,000 keys at most; None without such keys."""
-    heavy = max(1_000, rows.count() // 10_000)
+    64 rows), so 10,000 keys at most; None without such keys."""
+    heavy = max(64, rows.count() // 10_000)
     found = rows.groupBy(key).agg(F.ceil(F.count("*") / heavy).cast("int").alias("_places")).filter("_places > 1").collect()
     return F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(key, F.lit(0).alias("_places")).schema)) if found else None
 
@@ -111,6 +111,13 @@ def numbered(df: DataFrame, label: str, name: str, columns: tuple[str, ...]) ->
     return placed.join(order, "_path").select(*columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_at")).alias(name))
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))
