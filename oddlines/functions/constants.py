@@ -15,8 +15,36 @@ FEATURES = (
     "attr_reach",
     "call_graph_depth",
 )
-CAPS = dict(zip(FEATURES, (8.0, 200.0, 6.0, 5.0, 3.0, 30.0, 12.0, 4.0, 0.5, 1.0, 100.0, 80.0, 4.0)))
-LINEAR_WEIGHTS = dict(zip(FEATURES, (0.15, 0.03, 0.05, 0.05, 0.12, 0.08, 0.08, 0.10, 0.05, 0.50, 0.10, 0.08, 0.06)))
+CAPS = {
+    "nesting_depth": 8.0,
+    "length": 200.0,
+    "token_entropy": 6.0,
+    "naming_entropy": 5.0,
+    "cyclomatic_proxy": 3.0,
+    "use_def_distance": 30.0,
+    "name_flow": 12.0,
+    "call_graph_shape": 4.0,
+    "exception_density": 0.5,
+    "parse_error": 1.0,
+    "global_reach": 100.0,
+    "attr_reach": 80.0,
+    "call_graph_depth": 4.0,
+}
+LINEAR_WEIGHTS = {
+    "nesting_depth": 0.15,
+    "length": 0.03,
+    "token_entropy": 0.05,
+    "naming_entropy": 0.05,
+    "cyclomatic_proxy": 0.12,
+    "use_def_distance": 0.08,
+    "name_flow": 0.08,
+    "call_graph_shape": 0.10,
+    "exception_density": 0.05,
+    "parse_error": 0.50,
+    "global_reach": 0.10,
+    "attr_reach": 0.08,
+    "call_graph_depth": 0.06,
+}
 LINEAR_THRESHOLD = 0.55
 PERCENTILE_THRESHOLD = 0.90
 

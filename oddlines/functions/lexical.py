@@ -24,14 +24,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _bits(counts: Column, n: Column) -> Column:
+    total = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * F.log2(c.cast("double")))
+    return F.when(n <= 1, F.lit(0.0)).otherwise(F.log2(n.cast("double")) - total / n)
+
+
 def entropy(items: Column) -> Column:
-    """Shannon bits over an array's items; 0 for at most one item."""
+    """Shannon bits over an array's items, from the runs of the sorted array; 0 for at most one item."""
 
     def bits(a: Column) -> Column:
-        weighed = F.aggregate(F.array_distinct(a), F.lit(0.0), lambda s, x: s + let(F.size(F.filter(a, lambda y: y == x)).cast("double"), lambda c: c * F.log2(c)))
-        return F.when(F.size(a) <= 1, F.lit(0.0)).otherwise(F.log2(F.size(a).cast("double")) - weighed / F.size(a))
+        ends = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == F.size(a)) | (F.get(a, i - 1) != F.get(a, i)))
+        return let(ends, lambda e: _bits(F.transform(e, lambda x, k: x - F.coalesce(F.get(e, k - 1), F.lit(0))), F.size(a)))
+
+    return F.when(F.size(items) <= 1, F.lit(0.0)).otherwise(let(F.sort_array(items), bits))
+
 
-    return let(items, bits)
+def char_entropy(text: Column) -> Column:
+    """Shannon bits over a text's characters, from the runs of its sorted characters."""
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    return _bits(F.transform(runs, lambda r: F.length(r)), F.length(text))
 
 
 def split_lines(code: Column) -> Column:
@@ -57,7 +68,7 @@ def line_features(rows: DataFrame) -> DataFrame:
         "nesting_depth": F.floor(indent / 2) * F.lit(0.7),
         "length": F.size("_t").cast("double"),
         "token_entropy": entropy(F.col("_t")),
-        "naming_entropy": F.when(F.size("_n") == 0, F.lit(0.0)).otherwise(entropy(F.split(F.array_join("_n", ""), ""))),
+        "naming_entropy": char_entropy(F.array_join("_n", "")),
         "name_flow": F.size(F.array_distinct("_n")).cast("double"),
     }
     return rows.withColumns({f: found.get(f, F.lit(0.0)).cast("double") for f in FEATURES}).drop("_t", "_n")

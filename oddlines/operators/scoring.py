@@ -7,10 +7,13 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.constants import AXES, CAPS, FEATURES, LINEAR_WEIGHTS
-from ..plans.stages import cut
+from ..plans.stages import written
+from .ranges import quantiles, running_totals
+
+#: Distinct scores up to this number are sent to every task (16 MB); more are met by a join over SPREAD places a score.
+MAX_SENT_SCORES, SPREAD = 1_000_000, 16
 
 
 def _unit(x: Column) -> Column:
@@ -36,35 +39,32 @@ def linear_score() -> Column:
     return F.round(_unit(reduce(add, [F.lit(LINEAR_WEIGHTS[f]) * normalised(f) for f in FEATURES])), 9)
 
 
-def running_total(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """rows (unique by) with ``total``, the sum of value over all rows up to by. Rows are range-partitioned; only one
-    sum a partition meets in one place."""
-    ranged = cut(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
-    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"), F.min(by).alias("_low"))
-    upto = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_part", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
-    own = F.sum(value).over(Window.partitionBy("_part").orderBy(by))
-    return ranged.withColumn("_own", own).join(F.broadcast(sums), "_part").withColumn("total", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
-
-
 def ecdf_table(scores: DataFrame, score: str = "score") -> DataFrame:
     """score, n_le, n of each distinct score."""
     counts = scores.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("c"))
-    done = running_total(counts, "score", "c")
+    done = running_totals(counts, ["score"], {"n_le": "c"})
     n = counts.agg(F.sum("c").alias("n"))
-    return done.crossJoin(F.broadcast(n)).select("score", F.col("total").alias("n_le"), "n")  # one row beside each
+    return done.crossJoin(F.broadcast(n)).select("score", "n_le", "n")  # one row beside each
 
 
 def ecdf_rank(rows: DataFrame, reference: DataFrame, score: str = "score", out: str = "percentile") -> DataFrame:
     """rows with out = share of reference scores that are at most the row's; the score itself where reference is empty.
 
-    Distinct scores of both sides are summed up in one order, then met by an equi-join."""
+    Distinct scores of both sides are summed up in one order, then met by an equi-join: sent to all tasks where they are
+    few, else spread, so that a score that very many rows have is not one task's work. rows is read twice, reference
+    once."""
     own = rows.select(F.col(score).alias("s")).distinct().withColumn("c", F.lit(0).cast("long"))
-    counts = reference.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("c")).unionByName(own).groupBy("s").agg(F.sum("c").alias("c"))
-    done = running_total(counts, "s", "c").select("s", "total")
-    n = reference.agg(F.count("*").alias("n"))
-    ranked = rows.join(done, rows[score] == done["s"], "left").crossJoin(F.broadcast(n))  # one row beside each
-    return ranked.withColumn(out, F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(F.col(score))).drop("s", "total", "n")
+    counts = reference.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("c"))
+    done = written(running_totals(counts.unionByName(own).groupBy("s").agg(F.sum("c").alias("c")), ["s"], {"total": "c"}).select("s", "c", "total"), "ecdf")
+    n = done.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    if done.count() <= MAX_SENT_SCORES:
+        met = rows.join(F.broadcast(done.drop("c")), rows[score] == done["s"], "left").drop("s")
+    else:
+        places = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_place")
+        spread = rows.withColumn("_place", F.pmod(F.xxhash64(*[c for c in rows.columns if c != score]), F.lit(SPREAD)).cast("int"))
+        met = spread.join(done.select(F.col("s").alias(score), "total", places), [score, "_place"], "left").drop("_place")
+    ranked = met.crossJoin(F.broadcast(n))  # one row beside each
+    return ranked.withColumn(out, F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(F.col(score))).drop("total", "n")
 
 
 def with_error_override(score: Column, parse_error: Column) -> Column:
@@ -85,7 +85,9 @@ def with_team_weights(score: Column, weights: Column, parse_error: Column | None
 def axis_p95(rows: DataFrame, by: list[str]) -> DataFrame:
     """95th percentile of each axis's mean feature over rows, by group or over all."""
     raw = {a: reduce(add, [normalised(m) for m in members]) / len(members) for a, (members, _) in AXES.items()}
-    return rows.groupBy(*by).agg(*[F.percentile(raw[a], F.lit(0.95)).alias(a) for a in AXES])
+    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), v.alias("v")) for a, v in raw.items()])).alias("x")).select(*by, "x.*")
+    found = quantiles(long, (*by, "axis"), "v", p95=0.95)
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("axis") == a, F.col("p95"))).alias(a) for a in AXES])
 
 
 def correlations(rows: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:

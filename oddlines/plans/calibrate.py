@@ -4,17 +4,21 @@ Samples have ``set``, ``sample_id``, ``label`` (0 or 1) and ``score``."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.ranges import quantiles, running_totals
+from .stages import written
 
 
 def stats_by(rows: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     """n, mean, population deviation, lower median and 95th percentile by group; nulls are left out."""
-    return rows.groupBy(*by).agg(
-        F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {score})").alias("p50"), F.percentile(score, F.lit(0.95)).alias("p95"),
-    )
+    plain = rows.groupBy(*by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    found = quantiles(rows, tuple(by), score, p50=0.5, p95=0.95).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("p50_low").alias("p50"), "p95")
+    return plain.join(found, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]), "left").select(*by, "n", "mean", "std", "p50", "p95")
 
 
 def deviation_threshold(rows: DataFrame, k: float = 1.0, score: str = "score") -> DataFrame:
@@ -39,10 +43,15 @@ def sweep(samples: DataFrame) -> DataFrame:
     points = samples.select("set", F.col("score").alias("at"), F.lit(1).alias("kind"), (F.col("label") == 1).cast("long").alias("p"), (F.col("label") == 0).cast("long").alias("q"))
     marks = samples.select("set", F.round("score", 4).alias("at")).distinct().select("set", "at", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
     steps = points.unionByName(marks).groupBy("set", "at").agg(F.min("kind").alias("kind"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    down = Window.partitionBy("set").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy("set")
-    steps = steps.select("set", "at", "kind", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(all_).alias("n_pos"), F.sum("q").over(all_).alias("n_neg"))
-    return steps.filter("kind = 0").select("set", F.col("at").alias("threshold"), _rates(F.col("tp"), F.col("fp"), F.col("n_pos"), F.col("n_neg")).alias("balanced_accuracy"))
+    done = running_totals(steps, [F.desc("at")], {"tp": "p", "fp": "q"}, ("set",))
+    rows = _beside(done, samples.groupBy("set").agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")))
+    return rows.filter("kind = 0").select("set", F.col("at").alias("threshold"), _rates(F.col("tp"), F.col("fp"), F.col("n_pos"), F.col("n_neg")).alias("balanced_accuracy"))
+
+
+def _beside(rows: DataFrame, per_set: DataFrame) -> DataFrame:
+    """rows with per_set's columns of their set."""
+    named = per_set.withColumnRenamed("set", "_set")
+    return rows.join(named, rows["set"].eqNullSafe(named["_set"])).drop("_set")
 
 
 def evaluation(samples: DataFrame, threshold: float) -> DataFrame:
@@ -70,11 +79,11 @@ def pick_threshold(samples: DataFrame) -> DataFrame:
     """set, threshold: the midpoint between neighbouring distinct scores of greatest accuracy, the smallest of equals; a
     single distinct score is its own threshold."""
     steps = samples.groupBy("set", F.col("score").alias("at")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
-    up = Window.partitionBy("set").orderBy("at")
-    all_ = Window.partitionBy("set")
-    below = F.sum("q").over(up.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.sum("p").over(all_) - F.sum("p").over(up.rowsBetween(Window.unboundedPreceding, 0))
-    middle = (F.col("at") + F.lead("at").over(up)) / 2
-    steps = steps.select("set", "at", middle.alias("middle"), (below + above).alias("right"), F.count("*").over(all_).alias("k"), F.sum(F.col("p")).over(all_).alias("n_pos"))
-    rows = steps.filter("middle IS NOT NULL OR k = 1").select("set", F.coalesce("middle", "at").alias("threshold"), F.when(F.col("k") == 1, F.col("n_pos")).otherwise(F.col("right")).alias("right"))
+    # scores at most and rows so far, by set
+    done = written(running_totals(steps.withColumn("one", F.lit(1).cast("long")), ["at"], {"below": "q", "past": "p", "i": "one"}, ("set",)), "steps")
+    done = _beside(done, done.groupBy("set").agg(F.max("i").alias("k"), F.sum("p").alias("n_pos")))
+    following = done.select(F.col("set").alias("_set"), (F.col("i") - 1).alias("_i"), F.col("at").alias("next_at"))
+    rows = done.join(following, done["set"].eqNullSafe(following["_set"]) & (done["i"] == following["_i"]), "left").filter("next_at IS NOT NULL OR k = 1")
+    right = F.when(F.col("k") == 1, F.col("n_pos")).otherwise(F.col("below") + F.col("n_pos") - F.col("past"))
+    rows = rows.select("set", F.when(F.col("k") == 1, F.col("at")).otherwise((F.col("at") + F.col("next_at")) / 2).alias("threshold"), right.alias("right"))
     return rows.groupBy("set").agg(F.max(F.struct("right", (-F.col("threshold")).alias("minus"))).alias("b")).select("set", (-F.col("b.minus")).alias("threshold"), F.col("b.right").alias("n_right"))
