@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.constants import MARKERS
+from .ranges import ranked
 
 
 def marker(raw: Column, markers: tuple[tuple[str, str], ...] = MARKERS) -> Column:
@@ -36,19 +37,19 @@ def clean_spans(spans: DataFrame, points: DataFrame) -> DataFrame:
 
 def negatives(positives: DataFrame, clean: DataFrame, seed: int = 42) -> DataFrame:
     """One clean span of the same file for each positive (file_id, line), drawn with replacement; its middle line."""
-    ranked = clean.withColumn("idx", F.row_number().over(Window.partitionBy("file_id").orderBy("span_id")) - 1)
+    numbered = clean.withColumn("idx", F.row_number().over(Window.partitionBy("file_id").orderBy("span_id")) - 1)
     n = clean.groupBy("file_id").agg(F.count("*").alias("n"))
     drawn = positives.select("file_id", F.col("line").alias("for_line")).join(n, "file_id")
     drawn = drawn.withColumn("idx", (F.conv(F.substring(seeded("file_id", "for_line", seed=seed), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int"))
-    return drawn.join(ranked, ["file_id", "idx"]).select("file_id", "for_line", "span_id", "start", "end", F.floor((F.col("start") + F.col("end")) / 2).cast("int").alias("middle"))
+    return drawn.join(numbered, ["file_id", "idx"]).select("file_id", "for_line", "span_id", "start", "end", F.floor((F.col("start") + F.col("end")) / 2).cast("int").alias("middle"))
 
 
 def balanced(samples: DataFrame, seed: int = 42) -> DataFrame:
     """As many samples of either label, the first in seeded order, shuffled by it (column ``turn``)."""
     keyed = samples.withColumn("turn", seeded("sample_id", "label", seed=seed))
-    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("turn", "sample_id")))
+    line = ranked(keyed, ["turn", "sample_id"], ("label",), "_r")
     least = samples.agg(F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).alias("_n"))
-    return ranked.crossJoin(F.broadcast(least)).filter("_r <= _n").drop("_r", "_n")  # one row beside each
+    return line.crossJoin(F.broadcast(least)).filter("_r <= _n").drop("_r", "_n")  # one row beside each
 
 
 def unpivot_pairs(pairs: DataFrame, key: str, faulty: str, clean: str) -> DataFrame:
@@ -69,3 +70,38 @@ def unflagged(functions: DataFrame, flagged: DataFrame, keys: list[str], text: s
     """Functions that are not among the flagged and have at least so many line feeds."""
     breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n")))
     return functions.join(flagged.select(*keys).distinct(), keys, "left_anti").filter(breaks >= least_breaks)
+
+
+def counts_per_check(messages: DataFrame, spans: DataFrame) -> DataFrame:
+    """check, n: in how many functions each check was met."""
+    placed = innermost(messages, spans).select("file_id", "span_id", F.col("symbol").alias("check")).distinct()
+    return placed.groupBy("check").agg(F.count("*").alias("n"))
+
+
+def first_positives(found: DataFrame, most: int = 600) -> DataFrame:
+    """checks_by_function's rows up to the most-th in order of files and of their rank within them."""
+    return found.orderBy("file_id", "rank").limit(most)
+
+
+def with_text(samples: DataFrame, lines: DataFrame) -> DataFrame:
+    """samples (file_id, start, end, …) with code, the span's lines (file_id, line, raw), dedented by the first one's
+    indentation, each ended by a line feed. Rows of one span meet, not those of a file."""
+    keys = ["file_id", "start", "end"]
+    laid = samples.select(*keys).distinct().select(*keys, F.explode(F.sequence("start", "end")).alias("line"))
+    own = laid.join(lines.select("file_id", "line", "raw"), ["file_id", "line"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line", "raw"))).alias("l"))
+    indent = F.length(F.col("l")[0]["raw"]) - F.length(F.regexp_replace(F.col("l")[0]["raw"], r"^[ \t]+", ""))
+    text = F.concat(F.array_join(F.transform("l", lambda x: F.when(F.length(x["raw"]) >= indent, F.substr(x["raw"], indent + 1)).otherwise(x["raw"])), "\n"), F.lit("\n"))
+    return samples.join(own.select(*keys, text.alias("code")), keys, "left")
+
+
+def combined(sets: dict[str, DataFrame], *extras: str) -> DataFrame:
+    """One table of labelled sets: set, sample_id, label, code and meta, a map of each set's own columns named in extras."""
+    parts = []
+    for name, rows in sets.items():
+        own = [c for c in extras if c in rows.columns]
+        meta = F.map_from_arrays(F.array(*map(F.lit, own)), F.array(*[F.col(c).cast("string") for c in own])) if own else F.create_map().cast("map<string,string>")
+        parts.append(rows.select(F.lit(name).alias("set"), F.col("sample_id").cast("string").alias("sample_id"), F.col("label").cast("int").alias("label"), "code", meta.alias("meta")))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every

@@ -78,6 +78,10 @@ c AS (
 ps0 AS (SELECT l_orderkey AS pr_id, 'src/p' || (l_partkey % 7) || '.py' AS path, unnest(range(l_quantity::BIGINT, l_quantity::BIGINT + 4)) AS line, (l_suppkey % 10) / 10::DOUBLE + l_discount AS score FROM lineitem),
 ps AS (SELECT pr_id, path, line, max(score) AS score FROM ps0 GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY score DESC, path, line)::INT AS rank FROM ps WHERE score >= 0.5 AND round(score, 4) >= 0.5 AND EXISTS (SELECT 1 FROM c WHERE c.pr_id = ps.pr_id AND c.path = ps.path AND c.line = ps.line))"""
+_WORSE = """f AS (
+  SELECT l_orderkey AS pr_id, 'p' || (l_partkey % 7) AS path, 'f' || l_linenumber AS function, round(max(l_discount) + max(l_tax), 4) AS function_score, round(max(l_discount), 4) AS function_score_before FROM lineitem GROUP BY ALL
+), fd AS (SELECT *, round(function_score - function_score_before, 4) AS function_score_delta FROM f),
+w AS (SELECT pr_id, path, function, function_score, function_score_before, function_score_delta, row_number() OVER (PARTITION BY pr_id ORDER BY function_score_delta DESC, path, function)::INT AS rank FROM fd WHERE function_score_delta >= 0.05 QUALIFY rank <= 2)"""
 _PAIRS = [(a, b) for i, a in enumerate(_LEXICAL) for b in _LEXICAL[i:]]
 _PHRASE = "CASE a.axis " + " ".join(f"WHEN '{a}' THEN {_q(p)}" for a, p in PHRASES.items()) + " END"
 _STRENGTH = "(" + " + ".join(_NAMES) + ")"
@@ -90,6 +94,16 @@ sw AS (
   FROM cand JOIN sm USING ("set") JOIN tot USING ("set") GROUP BY ALL
 )"""
 
+#: The tiny net along each user's events: potentials a and b of the hidden cells, c of the output.
+_CELLS = """WITH RECURSIVE e AS (
+  SELECT user_id, event_id, least(greatest(value / 100, 0), 1) AS x, (event_type = 'error')::INT::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
+), r AS (
+  SELECT user_id, k, event_id, 0.9::DOUBLE * x + 0.3::DOUBLE * y AS a, 0.2::DOUBLE * x + 0.8::DOUBLE * y AS b, 0.7::DOUBLE * (0.9::DOUBLE * x + 0.3::DOUBLE * y > 1)::INT + 0.6::DOUBLE * (0.2::DOUBLE * x + 0.8::DOUBLE * y > 1)::INT AS c FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, event_id, a, b, 0.9::DOUBLE * pc - (pc > 1)::INT + 0.7::DOUBLE * (a > 1)::INT + 0.6::DOUBLE * (b > 1)::INT AS c FROM (
+    SELECT e.user_id, e.k, e.event_id, 0.9::DOUBLE * r.a + 0.9::DOUBLE * x + 0.3::DOUBLE * y - (r.a > 1)::INT AS a, 0.9::DOUBLE * r.b + 0.2::DOUBLE * x + 0.8::DOUBLE * y - (r.b > 1)::INT AS b, r.c AS pc FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+)"""
+
 SQL: dict[str, str] = {
     "split_counts": f"WITH {SPLIT} SELECT file_id, len(ls) AS n_lines, (SELECT count(*) FROM l WHERE l.file_id = l1.file_id) AS n_scored FROM l1",
     "lexical_features": f"WITH {FEATURES} SELECT file_id, line, {', '.join(f'round({x}, 6) AS {x}' for x in _LEXICAL)} FROM f",
@@ -139,8 +153,7 @@ c AS (SELECT "set", CASE WHEN k = 1 THEN score ELSE (score + nxt) / 2 END AS thr
 r AS (SELECT c."set", threshold, count(*) FILTER ((score >= threshold) = (label = 1)) AS n_right FROM c JOIN sm USING ("set") GROUP BY ALL)
 SELECT "set", round(threshold, 9) AS threshold, n_right FROM r QUALIFY row_number() OVER (PARTITION BY "set" ORDER BY n_right DESC, threshold) = 1""",
     "curated_sample": """WITH r AS (
-  SELECT source AS repo, lang || '/' || doc_id || '.py' AS path, n_chars AS size FROM documents
-  WHERE NOT contains(lang || '/' || doc_id || '.py', '/1') AND NOT contains(lang || '/' || doc_id || '.py', 'es/') AND n_chars BETWEEN 500 AND 300000
+  SELECT source AS repo, lang || CASE WHEN doc_id % 5 = 0 THEN '/tests/' ELSE '/' END || doc_id || '.py' AS path, n_chars AS size FROM documents WHERE doc_id % 5 <> 0 AND n_chars BETWEEN 500 AND 300000
 ), k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY size, path) - 1 AS i, count(*) OVER (PARTITION BY repo) AS n FROM r)
 SELECT repo, path, size FROM k WHERE n <= 12 OR list_contains(list_transform(range(0, 12), lambda j: floor(j * (n / 12::DOUBLE))::BIGINT), i)""",
     "corpus_counts": "SELECT source AS repo, grouping(source)::INT AS is_total, count(*) AS files, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (source)",
@@ -155,30 +168,35 @@ SELECT i.file_id, m.line AS for_line, span_id, start, "end", floor((start + "end
     "balanced_samples": """WITH a AS (SELECT doc_id AS sample_id, toxic AS label, md5('42:' || doc_id || ':' || toxic) AS turn FROM labels),
 b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY turn, sample_id) AS r FROM a)
 SELECT sample_id, label, turn FROM b WHERE r <= (SELECT least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) FROM a)""",
-    "unpivoted_turns": """WITH p AS (SELECT conv_id, max(text) FILTER (turn = 0) AS a, max(text) FILTER (turn = 1) AS b FROM conversations GROUP BY conv_id),
+    "unpivoted_turns": """WITH p AS (SELECT conv_id, turn // 2 AS pair, max(text) FILTER (turn % 2 = 0) AS a, max(text) FILTER (turn % 2 = 1) AS b FROM conversations GROUP BY ALL),
 u AS (SELECT * FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND trim(a) <> trim(b))
-SELECT conv_id, 1 AS label, a AS code FROM u UNION ALL SELECT conv_id, 0, b FROM u""",
+SELECT conv_id || ':' || pair AS pair_id, 1 AS label, a AS code FROM u UNION ALL SELECT conv_id || ':' || pair, 0, b FROM u""",
     "span_checks": f"""WITH {MARKED}, j AS (SELECT m.file_id, span_id, string_agg(DISTINCT marker, ',' ORDER BY marker) AS checks, min(m.line) AS first FROM m JOIN sp ON m.file_id = sp.file_id AND span_id > 0 AND m.line BETWEEN start AND "end" GROUP BY ALL)
 SELECT file_id, span_id, checks, row_number() OVER (PARTITION BY file_id ORDER BY first, span_id)::INT AS rank FROM j QUALIFY rank <= 3""",
     "unflagged_files": f"WITH {MARKED} SELECT file_id, path FROM l1 WHERE file_id NOT IN (SELECT file_id FROM m) AND length(code) - length(replace(code, chr(10), '')) >= 3",
     "changed_lines": f"WITH {_CHANGED} SELECT * FROM c",
     "review_lines": f"WITH {_CHANGED} SELECT pr_id, path, line, round(score, 6) AS score, rank FROM k WHERE rank <= 2",
-    "worse_functions": """WITH f AS (
-  SELECT l_orderkey AS pr_id, 'p' || (l_partkey % 7) AS path, 'f' || l_linenumber AS function, round(max(l_discount) + max(l_tax), 4) AS function_score, round(max(l_discount), 4) AS function_score_before FROM lineitem GROUP BY ALL
-), d AS (SELECT *, round(function_score - function_score_before, 4) AS function_score_delta FROM f)
-SELECT pr_id, path, function, function_score, function_score_before, function_score_delta, row_number() OVER (PARTITION BY pr_id ORDER BY function_score_delta DESC, path, function)::INT AS rank FROM d WHERE function_score_delta >= 0.05 QUALIFY rank <= 2""",
-    "pr_summaries": f"""WITH {_CHANGED}, t AS (SELECT pr_id, count(DISTINCT path) AS files_touched FROM c GROUP BY pr_id), g AS (SELECT pr_id, count(*) AS total_before_cap, count(*) FILTER (rank <= 2) AS flagged_count FROM k GROUP BY pr_id)
+    "worse_functions": f"WITH {_WORSE} SELECT * FROM w",
+    "pr_summaries": f"""WITH {_CHANGED}, {_WORSE}, t AS (SELECT pr_id, count(DISTINCT path) AS files_touched FROM c GROUP BY pr_id),
+g AS (
+  SELECT pr_id, count(*) AS total_before_cap, count(*) FILTER (rank <= 2) AS flagged_count,
+    string_agg('| `' || path || '` | ' || line || ' | ' || printf('%.2f', score) || ' | high on naming |', chr(10) ORDER BY rank) FILTER (rank <= 2) AS rows FROM k GROUP BY pr_id
+),
+fx AS (SELECT pr_id, string_agg('| `' || function || '` | `' || path || '` | ' || printf('%.2f | %.2f | +%.2f |', function_score_before, function_score, function_score_delta), chr(10) ORDER BY rank) AS functions FROM w GROUP BY pr_id)
 SELECT pr_id, files_touched, coalesce(total_before_cap, 0) AS total_before_cap, coalesce(flagged_count, 0) AS flagged_count,
-  CASE WHEN coalesce(flagged_count, 0) = 0 THEN 'no suspicious spikes' ELSE flagged_count || ' high-intensity spike(s) inside the diff' END AS verdict FROM t LEFT JOIN g USING (pr_id)""",
-    "event_sequences": """WITH RECURSIVE e AS (
-  SELECT user_id, event_id, least(greatest(value / 100, 0), 1) AS x, (event_type = 'error')::INT::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
-), r AS (
-  SELECT user_id, k, event_id, 0.9::DOUBLE * x + 0.3::DOUBLE * y AS a, 0.2::DOUBLE * x + 0.8::DOUBLE * y AS b, 0.7::DOUBLE * (0.9::DOUBLE * x + 0.3::DOUBLE * y > 1)::INT + 0.6::DOUBLE * (0.2::DOUBLE * x + 0.8::DOUBLE * y > 1)::INT AS c FROM e WHERE k = 1
-  UNION ALL
-  SELECT user_id, k, event_id, a, b, 0.9::DOUBLE * pc - (pc > 1)::INT + 0.7::DOUBLE * (a > 1)::INT + 0.6::DOUBLE * (b > 1)::INT AS c FROM (
-    SELECT e.user_id, e.k, e.event_id, 0.9::DOUBLE * r.a + 0.9::DOUBLE * x + 0.3::DOUBLE * y - (r.a > 1)::INT AS a, 0.9::DOUBLE * r.b + 0.2::DOUBLE * x + 0.8::DOUBLE * y - (r.b > 1)::INT AS b, r.c AS pc FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
-)
+  CASE WHEN coalesce(flagged_count, 0) = 0 THEN 'no suspicious spikes' ELSE flagged_count || ' high-intensity spike(s) inside the diff' END AS verdict,
+  CASE WHEN coalesce(flagged_count, 0) = 0 AND functions IS NULL THEN 'Nothing to comment on in ' || files_touched || ' Python file(s): no added line reaches the review threshold.'
+    ELSE concat_ws(chr(10) || chr(10),
+      CASE WHEN flagged_count > 0 THEN '**Lines to look at: ' || flagged_count || '** (Python files in this change: ' || files_touched || ')' || chr(10) || chr(10) || '| where | line | score | why |' || chr(10) || '| --- | ---: | ---: | --- |' || chr(10) || rows END,
+      '**Functions with a higher score than before:**' || chr(10) || chr(10) || '| function | file | was | is | change |' || chr(10) || '| --- | --- | ---: | ---: | ---: |' || chr(10) || functions) END AS summary_comment
+FROM t LEFT JOIN g USING (pr_id) LEFT JOIN fx USING (pr_id)""",
+    "event_sequences": f"""{_CELLS}
 SELECT user_id, event_id, round(least(1, 0.25::DOUBLE * (1 / (1 + exp(-4 * (a - 1))) + 1 / (1 + exp(-4 * (b - 1)))) + 0.5::DOUBLE / (1 + exp(-4 * (c - 1)))), 6)::DOUBLE AS score FROM r""",
+    "event_spikes": f"""{_CELLS}
+SELECT user_id, event_id, round(0.35::DOUBLE * ((a > 1)::INT + (b > 1)::INT) + 0.3::DOUBLE * (c > 1)::INT, 6)::DOUBLE AS score FROM r""",
+    "event_baselines": f"""{_CELLS},
+w AS (SELECT avg((a > 1)::INT) AS a, avg((b > 1)::INT) AS b, avg((c > 1)::INT) AS c FROM r)
+SELECT 'hidden' AS layer, 0 AS neuron, round(a, 9) AS rate FROM w UNION ALL SELECT 'hidden', 1, round(b, 9) FROM w UNION ALL SELECT 'output', 0, round(c, 9) FROM w""",
     "event_drift": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg((value >= 50)::INT), 6) AS flag_rate, round(avg(value), 6) AS mean_score FROM events GROUP BY ALL",
 }
 SQL["streamed_drift"] = SQL["event_drift"]
@@ -199,10 +217,24 @@ SELECT l_orderkey AS file_id, CASE WHEN bad THEN 11 + 2 * n ELSE 9 + 2 * n END::
   0.0::DOUBLE AS attr_reach,
   CASE WHEN bad THEN 0 ELSE 3 + 2 * n END::DOUBLE AS call_graph_depth
 FROM o"""
-SQL["code_function_features"] = f"""WITH {_CODE}
-SELECT l_orderkey AS file_id, 'helper' AS name, 7::INT AS line, 11::INT AS end_line, 3.0::DOUBLE AS nesting_depth, 20.0::DOUBLE AS length, 3.0::DOUBLE AS cyclomatic_proxy, 0.0::DOUBLE AS call_graph_shape, 0.15::DOUBLE AS exception_density FROM o WHERE NOT bad
+# Names of total_of's subtree: its own, items (1 + n times), total (2 + 2n), helper and len (n each), and part-names, as
+# often as their item numbers (one digit) come.
+_NAME_COUNTS = "list_concat([1, 1 + n, 2 + 2 * n, n, n], parts)"
+_CHAR_COUNTS = "list_concat([7 + 6 * n, 4 + 2 * n, 3 + 3 * n, 3 + 4 * n, 1, 1, 1 + n, 1 + 4 * n, 1 + n, 1 + n, n, 2 * n, 2 * n, n], parts)"
+
+
+def _counted(counts: str) -> str:
+    """Entropy of counts."""
+    total = f"list_sum({counts})::DOUBLE"
+    return f"log2({total}) - list_sum(list_transform({counts}, lambda c: c * log2(c))) / {total}"
+
+
+SQL["code_function_features"] = f"""WITH {_CODE},
+q AS (SELECT l_orderkey, list(k) AS parts FROM (SELECT l_orderkey, l_linenumber, count(*) AS k FROM lineitem GROUP BY ALL) GROUP BY l_orderkey)
+SELECT l_orderkey AS file_id, 'helper' AS name, 7::INT AS line, 11::INT AS end_line, 3.0::DOUBLE AS nesting_depth, 20.0::DOUBLE AS length, round(log2(7) - 4 / 7::DOUBLE, 6)::DOUBLE AS token_entropy,
+  round(list_aggregate(string_split('helperababRATEValueError', ''), 'entropy'), 6)::DOUBLE AS naming_entropy, 3.0::DOUBLE AS cyclomatic_proxy, 2.0::DOUBLE AS use_def_distance, 5.0::DOUBLE AS name_flow, 0.0::DOUBLE AS call_graph_shape, 0.15::DOUBLE AS exception_density FROM o WHERE NOT bad
 UNION ALL
-SELECT l_orderkey, 'total_of', 14::INT, (16 + 2 * n)::INT, 2.0, 10 + 19.0 * n, 1.0 + n, 2.5 * n, 0.0 FROM o WHERE NOT bad"""
+SELECT l_orderkey, 'total_of', 14::INT, (16 + 2 * n)::INT, 2.0, 10 + 19.0 * n, round({_counted(_NAME_COUNTS)}, 6), round({_counted(_CHAR_COUNTS)}, 6), 1.0 + n, round((2 * n * n + 5 * n + 1) / (2 * n + 1)::DOUBLE, 6), 5 + len(parts), 2.5 * n, 0.0 FROM o JOIN q USING (l_orderkey) WHERE NOT bad"""
 SQL["code_lineage"] = f"""WITH {_CODE},
 ln AS (SELECT *, unnest(range(1, 17 + 2 * n)) AS line FROM o)
 SELECT l_orderkey AS file_id, line::INT AS line,
@@ -214,3 +246,84 @@ FROM ln LEFT JOIN (SELECT l_orderkey AS k, l_linenumber, l_partkey, row_number()
 WHERE line NOT IN (3, 5, 6, 12, 13) AND (bad OR line NOT IN (1, 2))"""
 # Indents and branches keep every line that parses below the threshold; the broken line's score is 1.
 SQL["code_linear_scores"] = f"WITH {_CODE} SELECT l_orderkey AS file_id, bad::BIGINT AS n_flagged, bad AS broken, bad::INT::DOUBLE AS malformed FROM o"
+
+# The added lines of an order's review that are flagged are the second ones of its even items; features of such a line hang
+# on its number only, and so do scores of the function that holds them, whose highest line is the last item's.
+_TE, _NE = "(log2(11) - 6 / 11::DOUBLE)", "(log2(24) - (5 * log2(5) + 20) / 24::DOUBLE)"
+
+
+def _added(line: str) -> str:
+    own = {"nesting_depth": "3.4::DOUBLE", "length": "11", "token_entropy": _TE, "naming_entropy": _NE, "use_def_distance": f"({line} - 14)", "name_flow": "4", "call_graph_shape": "2.5::DOUBLE", "global_reach": f"({line} - 7)", "call_graph_depth": "1"}
+    return "round(" + " + ".join(f"{LINEAR_WEIGHTS[f]}::DOUBLE * least(greatest({v} / {CAPS[f]}::DOUBLE, 0), 1)" for f, v in own.items()) + ", 9)"
+
+
+_REVIEW = f"""
+it AS (
+  SELECT l_orderkey AS pr_id, l_linenumber AS nr, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey || ':') AS r,
+    count(*) OVER (PARTITION BY l_orderkey) AS n, (count(*) OVER (PARTITION BY l_orderkey) + 1) // 2 AS n_odd FROM lineitem
+),
+fl AS (
+  SELECT *, 15 + 2 * r AS line, {_added("(15 + 2 * r)")} AS score, round({_added("(15 + 2 * n)")}, 4) AS after, round({_added("(15 + 2 * n_odd)")}, 4) AS before FROM it WHERE r % 2 = 0
+),
+ax AS (
+  SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY score DESC, line)::INT AS rank, count(*) OVER (PARTITION BY pr_id) AS total,
+    printf('%.2f', round((2.5 / 4 + 0.25) / 2 / 0.5::DOUBLE, 4)) AS hidden, printf('%.2f', round(({_TE} / 6 + {_NE} / 5) / 2 / 0.68::DOUBLE, 4)) AS naming, round((3.4 / 8 + 11 / 200::DOUBLE) / 3 / 0.37::DOUBLE, 4) AS complexity,
+    round((least((line - 14) / 30::DOUBLE, 1) + 4 / 12::DOUBLE + least((line - 7) / 100::DOUBLE, 1)) / 4 / 0.63::DOUBLE, 4) AS tangled
+  FROM fl
+)"""
+SQL["pr_comments"] = f"""WITH {_REVIEW}
+SELECT pr_id, 'src/orders.py' AS path, line::INT AS line, rank, '        total = helper(total, len(items))' AS source,
+  'Score `' || printf('%.2f', score) || '`' || chr(10) || chr(10) || 'high on hidden_calls (' || hidden || ') + naming (' || naming || ') — delegates to opaque calls; unusual identifier density. Structurally: this line sits inside `if part' || nr || ' > ' || part || '` at L' || (line - 1) || ', inside function `total_of` at L14.'
+  || chr(10) || chr(10) || 'Inside `total_of` — function-level score `' || printf('%.2f', after) || '` (↑ +' || printf('%.2f', round(after - before, 4)) || ' — was `' || printf('%.2f', before) || '` before your changes)' || chr(10)
+  || chr(10) || '<sub>Within: function `total_of` ⟶ `if part' || nr || ' > ' || part || '`</sub>' || chr(10)
+  || chr(10) || '<sub>Axes: `hidden_calls` ' || hidden || ', `naming` ' || naming || ', ' || CASE WHEN tangled > complexity THEN '`tangled_state` ' || printf('%.2f', tangled) ELSE '`complexity` ' || printf('%.2f', complexity) END || '</sub>' AS body
+FROM ax WHERE rank <= 2"""
+SQL["pr_reports"] = f"""WITH {_REVIEW},
+p AS (SELECT DISTINCT l_orderkey AS pr_id FROM lineitem),
+g AS (
+  SELECT pr_id, any_value(total) AS total, count(*) FILTER (rank <= 2) AS shown, any_value(before) AS before, any_value(after) AS after,
+    string_agg('| `src/orders.py` | ' || line || ' | ' || printf('%.2f', score) || ' | high on hidden_calls (' || hidden || ') + naming (' || naming || ') |', chr(10) ORDER BY rank) FILTER (rank <= 2) AS rows FROM ax GROUP BY pr_id
+)
+SELECT pr_id, 1::BIGINT AS files_touched, coalesce(total, 0) AS total_before_cap, coalesce(shown, 0) AS flagged_count,
+  CASE WHEN shown IS NULL THEN 'no suspicious spikes' ELSE shown || ' high-intensity spike(s) inside the diff' END AS verdict,
+  CASE WHEN shown IS NULL THEN 'Nothing to comment on in 1 Python file(s): no added line reaches the review threshold.' ELSE
+    '**Lines to look at: ' || shown || '** (Python files in this change: 1)' || chr(10) || chr(10) || '| where | line | score | why |' || chr(10) || '| --- | ---: | ---: | --- |' || chr(10) || rows
+    || CASE WHEN round(after - before, 4) >= 0.01 THEN chr(10) || chr(10) || '**Functions with a higher score than before:**' || chr(10) || chr(10) || '| function | file | was | is | change |' || chr(10) || '| --- | --- | ---: | ---: | ---: |' || chr(10)
+      || '| `total_of` | `src/orders.py` | ' || printf('%.2f | %.2f | +%.2f |', before, after, round(after - before, 4)) ELSE '' END END AS summary_comment
+FROM p LEFT JOIN g USING (pr_id)"""
+
+SQL["read_corpus"] = """WITH d AS (SELECT *, doc_id // 100 AS bucket, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS k FROM documents)
+SELECT bucket, k::INT AS pos, CASE WHEN doc_id % 3 <> 0 THEN source || '/' || doc_id ELSE 'corpus_' || k || '.py' END AS path, source AS repo, n_chars AS chars, length(coalesce(text, ''))::INT AS n_code, md5(coalesce(text, '')) AS code_md5 FROM d"""
+SQL["read_json_lines"] = "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 > 1"
+SQL["read_pairs"] = """WITH p AS (SELECT conv_id, max(text) FILTER (turn = 0) AS a, max(text) FILTER (turn = 1) AS b FROM conversations GROUP BY conv_id),
+u AS (SELECT * FROM p WHERE trim(a) <> trim(b))
+SELECT conv_id, 1 AS label, md5(a) AS code_md5 FROM u UNION ALL SELECT conv_id, 0, md5(b) FROM u"""
+SQL["reports_as_json"] = SQL["file_summaries"]
+SQL["repaired_code"] = """WITH c AS (
+  SELECT l_orderkey, chr(10) || string_agg('    if part' || l_linenumber || ' > ' || l_partkey || ':' || chr(10) || '        total = helper(total, len(items))', chr(10) ORDER BY l_linenumber, l_partkey || ':') || chr(10) || '    return total' || chr(10) AS body FROM lineitem GROUP BY l_orderkey
+), t AS (
+  SELECT l_orderkey, CASE WHEN l_orderkey % 9 <> 0 THEN replace('\"\"\"Orders.\"\"\"|import os||RATE = 2|||def helper(a, b):|    try:|        return a + b * RATE|    except ValueError:|        raise|||def total_of(items):|    total = 0', '|', chr(10)) || body END AS code FROM c
+)
+SELECT l_orderkey AS file_id, md5(code) AS code_md5, length(code)::INT AS chars FROM t"""
+SQL["listed_files"] = """WITH p AS (
+  SELECT doc_id, ['src/a', 'venv/b', 'x/node_modules/y', 'envs', 'build', 'b/.git/c', 'lib'][(doc_id % 7 + 1)::INT] || '/' || ['m', 'm_pb2', 'conftest', 'setup.x', 'm'][(doc_id % 5 + 1)::INT] || CASE WHEN doc_id % 11 = 0 THEN '.txt' ELSE '.py' END AS path FROM documents
+) SELECT doc_id, path FROM p WHERE doc_id % 7 IN (0, 3, 6) AND doc_id % 5 IN (0, 3, 4) AND doc_id % 11 <> 0"""
+SQL["marked_texts"] = f"""WITH {MARKED}, z AS (
+  SELECT m.file_id, m.line, span_id, m.line - start AS within, l1.ls[start:"end"] AS own FROM m JOIN sp ON m.file_id = sp.file_id AND m.line BETWEEN start AND "end" JOIN l1 ON l1.file_id = m.file_id QUALIFY row_number() OVER (PARTITION BY m.file_id, m.line ORDER BY "end" - start, span_id) = 1
+), y AS (SELECT *, length(own[1]) - length(regexp_replace(own[1], '^[ \\t]+', '')) AS ind FROM z),
+x AS (SELECT *, array_to_string(list_transform(own, lambda t: CASE WHEN length(t) >= ind THEN substr(t, ind + 1) ELSE t END), chr(10)) || chr(10) AS code FROM y)
+SELECT file_id, line, span_id, within, length(code)::INT AS chars, md5(code) AS code_md5 FROM x"""
+SQL["combined_sets"] = """WITH r AS (SELECT * FROM labels JOIN documents USING (doc_id))
+SELECT 'quality' AS "set", doc_id::VARCHAR AS sample_id, (1 - quality)::INT AS label, md5(text) AS code_md5, lang, NULL AS source, 1 AS n_meta FROM r
+UNION ALL SELECT 'toxic', doc_id::VARCHAR, toxic::INT, md5(text), lang, source, 2 FROM r
+UNION ALL SELECT 'bare', doc_id::VARCHAR, 0, md5(text), NULL, NULL, 0 FROM r"""
+SQL["check_counts"] = f'WITH {MARKED} SELECT marker AS "check", count(DISTINCT (m.file_id, span_id)) AS n FROM m JOIN sp ON m.file_id = sp.file_id AND span_id > 0 AND m.line BETWEEN start AND "end" GROUP BY marker'
+SQL["kept_files"] = f"""WITH {MARKED}, d AS (SELECT source AS repo, doc_id AS file_id, doc_id % 5 <> 0 AND n_chars BETWEEN 500 AND 300000 AS kept FROM documents),
+fn AS (SELECT file_id, count(*) FILTER (span_id > 0) AS k FROM sp GROUP BY file_id)
+SELECT repo, grouping(repo)::INT AS is_total, count(*) AS candidates, count(*) FILTER (kept) AS kept, coalesce(sum(k) FILTER (kept), 0)::BIGINT AS functions FROM d LEFT JOIN fn USING (file_id) GROUP BY ROLLUP (repo)"""
+SQL["answered_submissions"] = f"""WITH {_CODE}
+SELECT l_orderkey AS file_id,
+  CASE WHEN l_orderkey % 4 = 2 THEN 'unsupported language' WHEN bad THEN '1 high-intensity spike detected — dominant axis: malformed' ELSE 'no suspicious spikes detected' END AS verdict,
+  CASE WHEN l_orderkey % 4 <> 2 THEN CASE WHEN bad THEN 11 + 2 * n ELSE 9 + 2 * n END END::INT AS n_lines,
+  CASE WHEN l_orderkey % 4 <> 2 AND bad THEN 'high on malformed (1.00) + naming (' || printf('%.2f', round((1 / 6::DOUBLE + log2(3) / 5) / 2 / 0.68::DOUBLE, 4)) || ') — doesn''t parse as valid Python — likely a typo; unusual identifier density' END AS reason
+FROM o"""

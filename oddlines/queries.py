@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.constants import AXES, CAPS
+from .functions.constants import AXES, CAPS, FEATURES
 from .functions.lexical import line_features, lines, split_lines
 from .operators import curate, features, labels, lif, parse, scoring
 from .plans import calibrate, model, report, review
-from .plans.stages import cut
+from .plans.stages import cut, shared_folder, written
+from .sources import files as sources
 from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with linear score, percentile rank as score, flag and axes."""
     rows = scoring.with_axes(vectors(spark, sf_dir).withColumn("raw_score", scoring.linear_score()))
-    own = rows.select("file_id", "repo", "path", "line", "raw_score", *AXES)
+    own = written(rows.select("file_id", "repo", "path", "line", "raw_score", *AXES), "scored")
     ranked = scoring.ecdf_rank(own, own, "raw_score", "score")
     return ranked.withColumn("flag", F.col("score") >= 0.90)
 
@@ -51,7 +51,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with their lines' greatest linear score; label 1 is low quality. Sets: language."""
     rows = vectors(spark, sf_dir).select(F.col("file_id").alias("sample_id"), scoring.linear_score().alias("score"))
     own = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents"), "doc_id").select(F.col("lang").alias("set"), F.col("doc_id").alias("sample_id"), (1 - F.col("quality")).alias("label"))
-    return calibrate.sample_scores(own, rows)
+    return written(calibrate.sample_scores(own, rows), "samples")
 
 
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,8 @@ def percentile_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.ecdf_table(vectors(spark, sf_dir).select(scoring.linear_score().alias("score")))
+    counts = vectors(spark, sf_dir).select(scoring.linear_score().alias("score"))
+    return scoring.ecdf_table(written(counts, "scores"))
 
 
 def team_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,11 +165,12 @@ def accuracy_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents")
-    return rows.select(F.col("source").alias("repo"), F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("n_chars").alias("size"), "doc_id")
+    folder = F.when(F.col("doc_id") % 5 == 0, "/tests/").otherwise("/")
+    return rows.select(F.col("source").alias("repo"), F.concat(F.col("lang"), folder, F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("n_chars").alias("size"), "doc_id")
 
 
 def curated_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _listing(spark, sf_dir).filter(curate.wanted_path(F.col("path"), without=("/1", "es/")) & curate.sized(F.col("size")))
+    rows = _listing(spark, sf_dir).filter(curate.wanted_path(F.col("path")) & curate.sized(F.col("size")))
     return curate.even_stride(rows, 12).select("repo", "path", "size")
 
 
@@ -225,9 +227,11 @@ def balanced_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unpivoted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations")
-    pairs = rows.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b"))
-    return labels.unpivot_pairs(curate.usable_pairs(pairs, "a", "b", "conv_id"), "conv_id", "a", "b")
+    """Neighbouring turns as pairs."""
+    rows = _table(spark, sf_dir, "conversations").withColumn("pair_id", F.concat_ws(":", "conv_id", F.floor(F.col("turn") / 2)))
+    side = lambda i: F.max(F.when(F.col("turn") % 2 == i, F.col("text")))
+    pairs = rows.groupBy("pair_id").agg(side(0).alias("a"), side(1).alias("b"))
+    return labels.unpivot_pairs(curate.usable_pairs(pairs, "a", "b", "pair_id"), "pair_id", "a", "b")
 
 
 def span_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,10 +285,10 @@ def worse_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pr_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = changed_lines(spark, sf_dir)
+    changed = written(changed_lines(spark, sf_dir), "changed")
     kept = review.flagged_in_diff(_pr_scored(spark, sf_dir), changed, 0.5).withColumn("reason", F.lit("high on naming — unusual"))
-    found = review.pr_summary(changed.select("pr_id", "path"), kept, review.top_comments(kept, 2), worse_functions(spark, sf_dir).limit(0))
-    return found.select("pr_id", "files_touched", "total_before_cap", "flagged_count", "verdict")
+    found = review.pr_summary(changed.select("pr_id", "path"), kept, review.top_comments(kept, 2), worse_functions(spark, sf_dir))
+    return found.select("pr_id", "files_touched", "total_before_cap", "flagged_count", "verdict", "summary_comment")
 
 
 def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,8 +306,7 @@ def event_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_drift as a stream: a micro-batch run to its end, written as Parquet."""
     events = _table(spark, sf_dir, "events")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    place = f"{shared}/drift-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/drift-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").alias("score"), (F.col("value") >= 50).alias("flag"))
     found = jobs.drift(rows, "ts", "event_type", "1 day")
@@ -316,24 +319,57 @@ def streamed_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{place}/rows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("flag_rate", 6).alias("flag_rate"), F.round("mean_score", 6).alias("mean_score"))
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Python file for each order, of a line per item and a few fixed functions; every ninth order's does not parse."""
+_CODE_HEAD = '"""Orders."""\nimport os\n\nRATE = 2\n\n\ndef helper(a, b):\n    try:\n        return a + b * RATE\n    except ValueError:\n        raise\n\n\ndef total_of(items'
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey and xs, array<struct<l_linenumber, code>>: two lines of code for each item of an order."""
     item = F.concat(F.lit("    if part"), F.col("l_linenumber").cast("string"), F.lit(" > "), F.col("l_partkey").cast("string"), F.lit(":\n        total = helper(total, len(items))"))
-    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("code")))).alias("xs"))
-    body = F.array_join(F.transform("xs", lambda x: x["code"]), "\n")
-    code = F.concat(
-        F.lit('"""Orders."""\nimport os\n\nRATE = 2\n\n\ndef helper(a, b):\n    try:\n        return a + b * RATE\n    except ValueError:\n        raise\n\n\ndef total_of(items'),
-        F.when(F.col("l_orderkey") % 9 == 0, F.lit("(")).otherwise(F.lit("")), F.lit("):\n    total = 0\n"), body, F.lit("\n    return total\n"),
-    )
-    return rows.select(F.col("l_orderkey").cast("string").alias("file_id"), code.alias("code"))
+    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("code")))).alias("xs"))
+
+
+def _code(xs: Column, opening: Column) -> Column:
+    return F.concat(F.lit(_CODE_HEAD), opening, F.lit("):\n    total = 0\n"), F.array_join(F.transform(xs, lambda x: x["code"]), "\n"), F.lit("\n    return total\n"))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file for each order, of two lines per item and a few fixed functions; every ninth order's does not parse."""
+    opening = F.when(F.col("l_orderkey") % 9 == 0, F.lit("(")).otherwise(F.lit(""))
+    return _items(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("file_id"), _code(F.col("xs"), opening).alias("code"))
+
+
+def code_reviews(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each order as a pull request that adds every second item to its file."""
+    rows = written(_items(spark, sf_dir), "items")
+    odd = F.filter("xs", lambda x, i: i % 2 == 0)
+    side = lambda xs: rows.select(F.col("l_orderkey").alias("pr_id"), F.lit("src/orders.py").alias("path"), _code(xs, F.lit("")).alias("code"))
+    hunk = lambda x, i: F.concat(F.lit("@@ -15,0 +"), (16 + 2 * i).cast("string"), F.lit(",2 @@\n+"), F.replace(x["code"], F.lit("\n"), F.lit("\n+")), F.lit("\n"))
+    hunks = F.array_join(F.transform("xs", lambda x, i: F.when(i % 2 == 1, hunk(x, i)).otherwise(F.lit(""))), "")
+    diffs_ = rows.select(F.col("l_orderkey").alias("pr_id"), F.concat(F.lit("--- a/src/orders.py\n+++ b/src/orders.py\n"), hunks).alias("diff"))
+    return review.review_changes(diffs_, side(F.col("xs")), side(odd), lambda rows: model.linear(rows, 0.2), 0.2, 0.01, 2, 2)
+
+
+def pr_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_reviews(spark, sf_dir)[0].select("pr_id", "path", "line", "rank", "source", "body")
+
+
+def pr_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_reviews(spark, sf_dir)[2]
+
+
+def _nodes(parsed: DataFrame) -> DataFrame:
+    return cut(parse.nodes(parsed).repartition("file_id"))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    # joins on (file_id, more) then keep to one partitioning by file_id
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    parsed = cut(parse.parse_files(code_files(spark, sf_dir)))
-    nodes, tokens = (cut(f(parsed).repartition("file_id")) for f in (parse.nodes, parse.tokens))
-    return parsed, nodes, tokens
+    """Where spark.sql.requireAllClusterKeysForCoPartition is false, joins on (file_id, more) keep to one partitioning."""
+    parsed = written(parse.parse_files(code_files(spark, sf_dir)), "parsed")
+    return parsed, _nodes(parsed), cut(parse.tokens(parsed).repartition("file_id"))
+
+
+def _parsed_without_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    parsed = written(parse.parse_files(code_files(spark, sf_dir), with_tokens=False), "parsed")
+    return parsed, _nodes(parsed)
 
 
 def code_line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,14 +381,14 @@ def code_line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_function_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, nodes, _ = _parsed(spark, sf_dir)
+    _, nodes = _parsed_without_tokens(spark, sf_dir)
     rows = features.function_features(nodes)
-    names = ("nesting_depth", "length", "cyclomatic_proxy", "call_graph_shape", "exception_density")
+    names = ("nesting_depth", "length", "token_entropy", "naming_entropy", "cyclomatic_proxy", "use_def_distance", "name_flow", "call_graph_shape", "exception_density")
     return rows.select(F.col("file_id").cast("long").alias("file_id"), "name", "line", "end_line", *[F.round(f, 6).alias(f) for f in names])
 
 
 def code_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed, nodes, _ = _parsed(spark, sf_dir)
+    parsed, nodes = _parsed_without_tokens(spark, sf_dir)
     rows = features.lineage(parse.scored_lines(parsed, nodes).select("file_id", "line"), nodes)
     rows = features.function_context(rows, features.functions(nodes).filter("is_unit"))
     shown = F.array_join(F.transform("lineage", lambda x: F.concat(x["label"], F.lit("@"), x["line"].cast("string"))), " < ")
@@ -370,38 +406,159 @@ def code_linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.count_if("flag").alias("n_flagged"), (F.max("score") == 1).alias("broken"), F.max("malformed").alias("malformed"))
 
 
+def _calibrated(lines_: DataFrame) -> tuple[lif.Net, DataFrame, tuple | None]:
+    """The unfitted net of 13, 128 and 32 cells with its rates and reference over the lines, and their whitening."""
+    whitening = lif.fit_whitening(lines_.select(*[scoring.normalised(f).alias(f) for f in FEATURES]), list(FEATURES))
+    return *model.calibrate(lines_, lif.random_net(13, seed=3), whitening), whitening
+
+
 def code_sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines_, _ = _code_lines(spark, sf_dir)
-    net, reference = model.calibrate(lines_, lif.random_net(13, 16, 8, 3))
-    rows = model.sequence(lines_, net, reference)
+    rows = model.sequence(lines_, *_calibrated(lines_))
     return rows.groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.count_if("flag").alias("n_flagged"), F.round(F.max("score"), 6).alias("top_score"))
 
 
 def code_function_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines_, nodes = _code_lines(spark, sf_dir)
-    net, reference = model.calibrate(lines_, lif.random_net(13, 16, 8, 3))
-    return model.function_scores(lines_, features.functions(nodes).filter("is_unit"), net, reference)
+    return model.function_scores(lines_, features.functions(nodes).filter("is_unit"), *_calibrated(lines_))
 
 
 def model_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines_, _ = _code_lines(spark, sf_dir)
-    return model.diagnostics(*model.calibrate(lines_, lif.random_net(13, 16, 8, 3)))
+    return model.diagnostics(*_calibrated(_code_lines(spark, sf_dir)[0])[:2])
 
 
 def fitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of a small net after two passes of plasticity over the events of all users."""
+    """Weights of a small net after six passes of plasticity over the events of all users."""
     rows = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.array(F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)), (F.col("event_type") == "error").cast("double")).alias("vector"))
-    net = lif.fit(rows, TINY, "user_id", ["ts", "event_id"], epochs=2)
+    net = lif.fit(rows, TINY, "user_id", ["ts", "event_id"])
     cells = [(layer, i, j, round(float(w[i, j]), 9)) for layer, w in enumerate((net.fc1, net.fc2)) for i, j in np.ndindex(*w.shape)]
     return spark.createDataFrame(cells, "layer int, i int, j int, weight double")
 
 
+def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON corpora of a hundred each, every third without a path in its manifest, written and read back."""
+    place = f"{shared_folder(spark)}/corpora-{uuid.uuid4().hex}"
+    none = F.lit(None).cast("string")
+    entry = F.struct(F.col("source").alias("repo"), none.alias("branch"), F.when(F.col("doc_id") % 3 != 0, F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))).alias("path"), none.alias("sha"), F.col("n_chars").alias("chars"))
+    rows = _table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("bucket"), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"), entry.alias("m")).alias("x"))
+    rows = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("x.doc_id", "x.text", "x.m"))).alias("xs"))
+    for kind, field in (("corpus", "text"), ("manifest", "m")):
+        rows.select("bucket", F.to_json(F.transform("xs", lambda x: x[field])).alias("value")).repartition("bucket").write.partitionBy("bucket").text(f"{place}/{kind}")
+    found = sources.with_manifest(sources.json_corpus(spark, f"{place}/corpus"), sources.manifest_rows(spark, f"{place}/manifest"), ("bucket", "pos"))
+    return found.select(F.col("bucket").cast("long").alias("bucket"), "pos", "path", "repo", "chars", F.length("code").alias("n_code"), F.md5("code").alias("code_md5"))
+
+
+def read_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines, every tenth malformed and every tenth blank."""
+    place = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    line = F.when(F.col("doc_id") % 10 == 0, F.lit('{"doc_id": ')).when(F.col("doc_id") % 10 == 1, F.lit("")).otherwise(F.to_json(F.struct("doc_id", "lang", "n_chars")))
+    _table(spark, sf_dir, "documents").select(line.alias("value")).write.text(place)
+    return sources.json_lines(spark, place, "doc_id long, lang string, n_chars long")
+
+
+def read_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and second turns as a table of pairs, read under short names; those that differ, as labelled rows."""
+    place = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    turn = lambda i: F.max(F.when(F.col("turn") == i, F.col("text")))
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turn(0).alias("Faulty Code"), turn(1).alias("Fault Free Code"), F.max("role").alias("Bug_Type"))
+    rows.write.parquet(place)
+    found = curate.usable_pairs(sources.pairs(spark, place), "faulty", "fault_free", "conv_id")
+    return labels.unpivot_pairs(found, "conv_id", "faulty", "fault_free").select("conv_id", "label", F.md5("code").alias("code_md5"))
+
+
+def reports_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_summaries as JSON text, written and read back."""
+    place = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    found = file_summaries(spark, sf_dir)
+    report.as_json(found).write.text(place)
+    return spark.read.text(place).select(F.from_json("value", found.schema).alias("r")).select("r.*").fillna({"n_lines": 0})
+
+
+def repaired_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code files, every second one with its line feeds escaped: of the text as it is and with them restored, the
+    first that parses."""
+    rows = code_files(spark, sf_dir)
+    odd = F.col("file_id").cast("long") % 2 == 1
+    rows = rows.withColumn("as_is", F.when(odd, F.replace("code", F.lit("\n"), F.lit("\\n"))).otherwise(F.col("code")))
+    rows = rows.select("file_id", F.explode(F.array(F.struct(F.lit("as_is").alias("way"), F.col("as_is").alias("code")), F.struct(F.lit("restored").alias("way"), curate.unescaped(F.col("as_is")).alias("code")))).alias("c")).select("file_id", "c.*")
+    parsed = parse.parse_files(rows.select(F.concat_ws(":", "way", "file_id").alias("file_id"), "code", F.col("file_id").alias("name"), "way", F.col("code").alias("text")), keep=("name", "way", "text"), with_tokens=False)
+    side = lambda way, c: F.max(F.when(F.col("way") == way, F.col(c)))
+    both = parsed.groupBy("name").agg(*[side(w, c).alias(f"{w}_{c}") for w in ("as_is", "restored") for c in ("text", "parse_ok")])
+    kept = curate.first_that_parses([("as_is_text", "as_is_parse_ok"), ("restored_text", "restored_parse_ok")])
+    return both.select(F.col("name").cast("long").alias("file_id"), F.md5(kept).alias("code_md5"), F.length(kept).alias("chars"))
+
+
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents below folders and names of which some are skipped."""
+    folders = F.array(*map(F.lit, ("src/a", "venv/b", "x/node_modules/y", "envs", "build", "b/.git/c", "lib")))
+    names = F.array(*map(F.lit, ("m", "m_pb2", "conftest", "setup.x", "m")))
+    path = F.concat(F.get(folders, (F.col("doc_id") % 7).cast("int")), F.lit("/"), F.get(names, (F.col("doc_id") % 5).cast("int")), F.when(F.col("doc_id") % 11 == 0, ".txt").otherwise(".py"))
+    return _table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).filter(curate.in_source_tree(F.col("path")))
+
+
+def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """marker_spans as positive samples with their spans' text."""
+    rows = files(spark, sf_dir)
+    all_lines = rows.select("file_id", F.posexplode(split_lines(F.coalesce("code", F.lit("")))).alias("pos", "raw")).select("file_id", (F.col("pos") + 1).alias("line"), "raw")
+    found = labels.with_text(labels.innermost(_marked(spark, sf_dir), _spans(spark, sf_dir)), all_lines)
+    return found.select("file_id", "line", "span_id", (F.col("line") - F.col("start")).alias("within"), F.length("code").alias("chars"), F.md5("code").alias("code_md5"))
+
+
+def combined_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents"), "doc_id")
+    own = lambda label, *more: rows.select(F.col("doc_id").alias("sample_id"), label.alias("label"), F.col("text").alias("code"), *more)
+    found = labels.combined({"quality": own(1 - F.col("quality"), "lang"), "toxic": own(F.col("toxic"), "lang", "source"), "bare": own(F.lit(0))}, "lang", "source")
+    return found.select("set", "sample_id", "label", F.md5("code").alias("code_md5"), F.element_at("meta", "lang").alias("lang"), F.element_at("meta", "source").alias("source"), F.size("meta").alias("n_meta"))
+
+
+def check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _marked(spark, sf_dir).select("file_id", "line", F.col("marker").alias("symbol"))
+    return labels.counts_per_check(messages, _spans(spark, sf_dir).filter("span_id > 0"))
+
+
+def kept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates, kept files and their spans (as functions) of each repository."""
+    rows = _listing(spark, sf_dir)
+    kept = rows.filter(curate.wanted_path(F.col("path")) & curate.sized(F.col("size")))
+    spans = _spans(spark, sf_dir).filter("span_id > 0").join(rows.select(F.col("doc_id").alias("file_id"), "repo", "path"), "file_id")
+    return curate.kept_of_candidates(rows, kept, spans)
+
+
+def _event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0))
+    return _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.array(x, (F.col("event_type") == "error").cast("double")).alias("vector"))
+
+
+def event_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spike-only scores of the tiny net along each user's events."""
+    found = lif.score_sequences(_event_vectors(spark, sf_dir), TINY, "user_id", ["ts", "event_id"], mode="spike")
+    return found.select("user_id", "event_id", F.round("score", 6).alias("score"))
+
+
+def event_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lif.baselines(_event_vectors(spark, sf_dir), TINY, "user_id", ["ts", "event_id"]).select("layer", "neuron", F.round("rate", 9).alias("rate"))
+
+
+def answered_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code files as a stream of submissions in several spellings of the language, run to its end."""
+    place = f"{shared_folder(spark)}/submissions-{uuid.uuid4().hex}"
+    kind = F.col("file_id").cast("long") % 4
+    language = F.when(kind == 0, "python").when(kind == 1, " Python ").when(kind == 2, "cpp")
+    code_files(spark, sf_dir).withColumn("language", language).write.parquet(f"{place}/in")
+    stream = spark.readStream.schema("file_id string, code string, language string").parquet(f"{place}/in")
+    jobs.serve_submissions(stream, f"{place}/out").awaitTermination()
+    answers = spark.read.parquet(f"{place}/out/analyses").select("file_id", "verdict", F.size("lines").alias("n_lines"), F.get("top_flagged", F.lit(0))["reason"].alias("reason"))
+    refused = spark.read.parquet(f"{place}/out/rejected").select("file_id", F.col("error").alias("verdict"), F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast("string").alias("reason"))
+    return answers.unionByName(refused).withColumn("file_id", F.col("file_id").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         split_counts, lexical_features, axes, linear_scores, percentile_flags, ecdf, team_weights, axis_p95, feature_correlations, whitening, moments, file_summaries, file_analyses, repo_rollup,
         top_repo_lines, summary_order, label_statistics, deviation_threshold, threshold_sweep, evaluation, accuracy_threshold, curated_sample, corpus_counts, histograms, first_events, binary_labels,
-        marker_counts, marker_spans, clean_spans, drawn_negatives, balanced_samples, unpivoted_turns, span_checks, unflagged_files, changed_lines, review_lines, worse_functions, pr_summaries,
+        marker_counts, marker_spans, clean_spans, drawn_negatives, balanced_samples, unpivoted_turns, span_checks, unflagged_files, changed_lines, review_lines, worse_functions, pr_summaries, pr_comments, pr_reports,
         event_sequences, event_drift, streamed_drift, code_line_features, code_function_features, code_lineage, code_linear_scores, code_sequence_scores, code_function_scores, model_diagnostics, fitted_weights,
+        read_corpus, read_json_lines, read_pairs, reports_as_json, repaired_code, listed_files, marked_texts, combined_sets, check_counts, kept_files, event_spikes, event_baselines, answered_submissions,
     )
 }

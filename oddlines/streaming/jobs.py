@@ -1,26 +1,45 @@
-"""Streams: stateless scoring of submissions, membrane state along keyed events, drift over time windows."""
+"""Streams: answers to submissions, membrane state along keyed events, drift over time windows."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.lexical import line_features, lines
+from ..operators import features, parse
 from ..operators.lif import Cells, Net, membrane_score
-from ..operators.scoring import linear_score, with_axes
-from ..plans.report import python_only
+from ..plans import model
+from ..plans.report import full_analysis, python_only, rich_lines
+from ..plans.stages import cut, written
 
 
-def score_submissions(stream: DataFrame) -> DataFrame:
-    """Scored lines of submissions (file_id, language, code); projections only, so it is the same on a stream."""
-    accepted, _ = python_only(stream)
-    return with_axes(line_features(lines(accepted)).withColumn("score", linear_score()))
+def answer_submissions(batch: DataFrame, score: Callable[[DataFrame], DataFrame] = model.linear) -> tuple[DataFrame, DataFrame]:
+    """Analyses of submissions (file_id, language, code) that are Python, each with all its lines, and file_id, language
+    and error of the others and of those that could not be taken."""
+    accepted, rejected = python_only(batch.withColumn("file_id", F.col("file_id").cast("string")))
+    parsed = written(parse.parse_files(accepted, keep=("language",)), "submissions")
+    nodes, tokens = (cut(part(parsed).repartition("file_id")) for part in (parse.nodes, parse.tokens))
+    scored = written(score(features.line_features(parse.scored_lines(parsed, nodes), nodes, tokens)), "submitted-lines")
+    analyses = full_analysis(rich_lines(scored, nodes), parsed.filter("error IS NULL").select("file_id"))
+    refused = rejected.select("file_id", "language", F.lit("unsupported language").alias("error"))
+    return analyses, refused.unionByName(parsed.filter("error IS NOT NULL").select("file_id", "language", "error"))
+
+
+def serve_submissions(stream: DataFrame, place: str, score: Callable[[DataFrame], DataFrame] = model.linear) -> StreamingQuery:
+    """Answers a stream of submissions batch by batch, below place/analyses and place/rejected. A batch that is run again
+    replaces its own folders."""
+
+    def answer(batch: DataFrame, n: int) -> None:
+        for rows, kind in zip(answer_submissions(batch, score), ("analyses", "rejected")):
+            rows.write.mode("overwrite").parquet(f"{place}/{kind}/batch={n}")
+
+    return stream.writeStream.foreachBatch(answer).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
 
 
 def carry_membranes(events: DataFrame, net: Net, key: str, at: str, order: str, delay: str = "10 minutes") -> DataFrame:

@@ -169,6 +169,119 @@ def test_stream_carries_membranes_like_a_batch(spark, tmp_path):
     assert sorted((k, o, round(s, 9)) for k, o, s in out) == want
 
 
-def test_submissions_and_drift(spark):
+CODE = "import os\n\n\nclass Box:\n    def put(self, item):\n        for part in item:\n            if part:\n                self.seen = os.path.join(part, helper(part, len(item), self.seen))\n        return self\n\n\ndef helper(a, b, c):\n    return a or b or c\n"
+
+
+def test_analyses_of_submissions(spark, tmp_path):
+    from oddlines.plans import model
+
+    rows = [(1, " Python ", CODE), (2, "cpp", "int x;"), (3, None, ""), (4, "PYTHON", "def f(:\n    pass\n")]
+    df = spark.createDataFrame(rows, "file_id long, language string, code string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    jobs.serve_submissions(stream, str(tmp_path / "out"), lambda lines: model.linear(lines, 0.3)).awaitTermination()
+    got = {r["file_id"]: r for r in spark.read.parquet(str(tmp_path / "out" / "analyses")).collect()}
+    assert [(r["file_id"], r["error"]) for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()] == [("2", "unsupported language")]
+    assert set(got) == {"1", "3", "4"} and got["3"]["lines"] == [] and got["3"]["verdict"] == "no suspicious spikes detected"
+    lines = {x["line"]: x for x in got["1"]["lines"]}
+    assert list(lines) == [4, 5, 6, 7, 8, 9, 12, 13] and [i for i, x in lines.items() if x["flag"]] == [8]
+    odd = lines[8]
+    assert odd["context"]["function"] == "put" and odd["context"]["span"] == [5, 9] and odd["context"]["function_score"] is None
+    assert [x["line"] for x in odd["context"]["lineage"]] == [7, 6, 5] and odd["raw_features"]["call_graph_shape"] == 3.5 and set(odd["axes"]) == set(AXES)
+    assert odd["reason"].endswith("inside `if part` at L7, inside `for part in item` at L6, inside function `put` at L5.") and lines[9]["context"] is None and lines[9]["reason"] is None
+    assert got["1"]["top_flagged"] == [odd] and got["4"]["top_flagged"][0]["line"] == 1 and got["4"]["top_flagged"][0]["context"] is None
+
+
+def test_failed_files_are_kept_apart(spark, monkeypatch):
+    from oddlines.operators import parse
+
+    deep = "x = " + "(" * 5000 + ")" * 5000
+    df = spark.createDataFrame([("1", "a.py", "x = 1\n"), ("2", "b.py", None), ("3", "c.py", "-" * 200_000 + "1")], "file_id string, path string, code string")
+    parsed = parse.parse_files(df, keep=("path",))
+    unread = spark.createDataFrame([("d.py", "unreadable")], "path string, error string")
+    got = {r["path"]: r["error"] for r in report.failed_files(parsed, unread).collect()}
+    assert got.pop("d.py") == "unreadable" and set(got) == {"c.py"} and got["c.py"].split(":")[0] in ("RecursionError", "MemoryError") and deep
+
+
+def test_calibration_is_stored_and_loaded(spark, tmp_path):
+    from oddlines.plans import model
+
+    net = lif.random_net(3, 4, 2, 1)
+    net = lif.Net(net.fc1, net.fc2, np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.6]))
+    model.save_calibration(spark, str(tmp_path / "c"), net, spark.createDataFrame([(0.1,), (0.3,), (0.1,)], "score double"), 0.8)
+    back, ecdf, threshold = model.load_calibration(spark, str(tmp_path / "c"))
+    assert all(np.array_equal(getattr(back, f), getattr(net, f)) for f in ("fc1", "fc2", "hidden_rate", "output_rate")) and threshold == 0.8
+    assert sorted(map(tuple, ecdf.collect())) == [(0.1, 2, 3), (0.3, 3, 3)]
+
+
+def test_whitening_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 1]])
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double")
+    mean, w = lif.fit_whitening(df, ["a", "b", "c"])
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    plain = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
+    y = np.abs((x - x.mean(axis=0)) @ plain.T)
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(w, plain / (2 * np.percentile(y, 99)), rtol=2e-2)
+    got = np.array([list(r) for r in df.select(*lif.whitened(["a", "b", "c"], (mean, w))).collect()])
+    assert np.allclose(np.sort(got, axis=0), np.sort(np.clip((x - mean) @ w.T + 0.5, 0, 1), axis=0))
+
+
+def test_fit_and_rates_equal_plain_loops(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, i, rng.random(2).tolist()) for k in range(5) for i in range(12)]
+    df = spark.createDataFrame(rows, "key long, i long, vector array<double>")
+    net = lif.random_net(2, 3, 2, 4)
+    shapes = (net.fc1.shape, net.fc2.shape)
+    pot, dep, fired = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes], [np.zeros(s[0]) for s in shapes]
+    fade, spikes = np.exp(-1 / lif.TAU), {}
+    for k in range(5):
+        mem, pre, post = [np.zeros(s[0]) for s in shapes], [np.zeros(s[1]) for s in shapes], [np.zeros(s[0]) for s in shapes]
+        for _, i, v in (r for r in rows if r[0] == k):
+            x, out = np.array(v), []
+            for n, weights in enumerate((net.fc1, net.fc2)):
+                mem[n] = 0.9 * mem[n] + weights @ x - (mem[n] > 1)
+                after = (mem[n] > 1).astype(float)
+                pre[n], post[n] = pre[n] * fade + x, post[n] * fade + after
+                pot[n] += np.outer(after, pre[n])
+                dep[n] += np.outer(post[n], x)
+                fired[n] += after
+                out.append(after.mean())
+                x = after
+            spikes[k, i] = 0.7 * out[0] + 0.3 * out[1]
+    got = lif.fit(df, net, "key", ["i"], epochs=1)
+    for n, (weights, fitted) in enumerate(((net.fc1, got.fc1), (net.fc2, got.fc2))):
+        assert np.allclose(fitted, np.clip(weights * (1 - lif.DECAY) + (lif.A_PLUS * pot[n] - lif.A_MINUS * dep[n] * weights) / 5, 0, 1))
+    rates = {(r["layer"], r["neuron"]): r["rate"] for r in lif.baselines(df, net, "key", ["i"]).collect()}
+    assert all(abs(rates[layer, i] - fired[n][i] / 60) < 1e-12 for n, layer in enumerate(("hidden", "output")) for i in range(shapes[n][0]))
+    assert all(abs(r["score"] - spikes[r["key"], r["i"]]) < 1e-12 for r in lif.score_sequences(df, net, "key", ["i"], mode="spike").collect())
+
+
+def test_totals_and_quantiles_over_ranges(spark):
+    from oddlines.operators.ranges import quantiles, ranked, running_totals
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), i, rnd.randint(0, 9)) for i in range(500)] + [("c", 900, 3)]
+    df = spark.createDataFrame(rows, "g string, i long, v long")
+    got = {(r["g"], r["i"]): (r["total"], r["rank"]) for r in ranked(running_totals(df, [F.desc("i")], {"total": "v"}, ("g",)), [F.desc("i")], ("g",)).collect()}
+    for g in ("a", "b", None, "c"):
+        total = 0
+        for n, (_, i, v) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: -r[1]), 1):
+            total += v
+            assert got[g, i] == (total, n)
+    for r in quantiles(df.withColumn("v", F.col("v").cast("double")), ("g",), "v", p50=0.5, p95=0.95).collect():
+        own = sorted(float(v) for g, _, v in rows if g == r["g"])
+        assert r["n"] == len(own) and abs(r["p95"] - np.percentile(own, 95)) < 1e-9 and r["p50_low"] == own[(len(own) - 1) // 2]
+
+
+def test_touched_files_by_status(spark):
+    head = spark.createDataFrame([(1, "a.py", "h"), (1, "b.py", "h"), (1, "c.py", "h"), (1, "d.txt", "h")], "pr_id long, path string, code string")
+    base = head.withColumn("code", F.lit("b"))
+    status = spark.createDataFrame([(1, "a.py", "removed"), (1, "b.py", "added")], "pr_id long, path string, status string")
+    assert sorted(map(tuple, files.head_and_base(head, base, status).collect())) == [(1, "b.py", "h", None), (1, "c.py", "h", "b")]
+
+
+def test_language_gate(spark):
     df = spark.createDataFrame([(1, " Python ", "x = 1\n"), (2, "cpp", "int x;"), (3, None, "")], "file_id long, language string, code string")
-    assert [r["file_id"] for r in jobs.score_submissions(df).collect()] == [1]
+    good, bad = report.python_only(df)
+    assert sorted(r["file_id"] for r in good.collect()) == [1, 3] and [r["file_id"] for r in bad.collect()] == [2]
