@@ -1,9 +1,9 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text's symbols end at white space and after every character that is not one of ``_INNER`` (ASCII consonants and odd
-digits): two or three characters of a Latin text, one of other scripts. Where a symbol ends depends on its own characters
-alone, so that passages in scripts without spaces, in code or in encoded runs have equal symbols wherever they stand. Of
-the k-mers (five symbols), the closed syncmers are kept: those whose minimal inner substring (s-mers of two symbols, by
+A text's symbols end at white space and after every character that is not one of ``_INNER`` (ASCII letters but e, digits
+but 0 and 5): about four characters of a Latin text, one of other scripts. Where a symbol ends depends on its own
+characters alone, so that passages in scripts without spaces, in code or in encoded runs have equal symbols wherever they
+stand. Of the k-mers (three symbols), the closed syncmers are kept: those whose minimal inner substring (one symbol, by
 hash) stands first or last. Whether a k-mer is kept depends on itself alone too, so equal passages give equal anchors. The
 fingerprint has all anchor hashes (32 bits), or the ``anchors`` smallest where that is given, with the position of each
 one's first occurrence.
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .shared import let, text_of
 
 #: Characters that end no symbol. Single letters, since Java looks them up in a table, which it doesn't do with ranges.
-_INNER = "bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ13579"
+_INNER = "abcdfghijklmnopqrstuvwxyzABCDFGHIJKLMNOPQRSTUVWXYZ12346789"
 _SPACE = r" \t\n\x0B\f\r"
 SYMBOL = f"[{_INNER}]++[^{_INNER}{_SPACE}]?+|[^{_INNER}{_SPACE}]"
 _POS_BITS = 31
@@ -40,20 +40,16 @@ def fingerprint(text: Column, anchors: int | None = None) -> Column:
     def keyed(h: Column, at: Column) -> Column:
         return F.shiftleft(h.bitwiseAND(F.lit((1 << 32) - 1)), _POS_BITS).bitwiseOR(at.cast("long"))
 
-    def closed(s: Column) -> Column:
+    def closed(t: Column) -> Column:
         def one(i: Column) -> Column:
-            a, b, c, d = (F.get(s, i + j) for j in range(4))
-            return F.when(F.least(a, d) <= F.least(b, c), keyed(F.xxhash64(a, c, d), i))
+            a, b, c = (F.get(t, i + j) for j in range(3))
+            return F.when((b >= a) | (b >= c), keyed(F.xxhash64(a, b, c), i))
 
-        return F.when(F.size(s) >= 4, F.array_compact(F.transform(F.sequence(F.lit(0), F.size(s) - 4), one))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(t) >= 3, F.array_compact(F.transform(F.sequence(F.lit(0), F.size(t) - 3), one))).otherwise(F.array().cast("array<bigint>"))
 
     def of_symbols(symbols: Column) -> Column:
-        inner = let(
-            F.transform(symbols, lambda x: F.xxhash64(x)),
-            lambda t: F.when(F.size(t) >= 2, F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.xxhash64(F.get(t, i), F.get(t, i + 1)))).otherwise(F.array().cast("array<bigint>")),
-        )
         whole = F.when(F.size(symbols) > 0, F.array(keyed(F.xxhash64(F.array_join(symbols, " ")), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
-        return let(let(inner, closed), lambda found: F.when(F.size(found) > 0, F.sort_array(found)).otherwise(whole))
+        return let(let(F.transform(symbols, lambda x: F.xxhash64(x)), closed), lambda found: F.when(F.size(found) > 0, F.sort_array(found)).otherwise(whole))
 
     def firsts(found: Column) -> Column:
         return F.filter(found, lambda x, i: (i == 0) | (F.shiftright(x, _POS_BITS) != F.shiftright(F.get(found, i - 1), _POS_BITS)))
@@ -63,27 +59,34 @@ def fingerprint(text: Column, anchors: int | None = None) -> Column:
 
 
 def shown(found: Column) -> Column:
-    """A fingerprint as a string: hash in hexadecimal, colon, position; comma-joined."""
-    return F.array_join(F.transform(found, lambda x: F.concat(F.lpad(F.lower(F.hex(F.shiftright(x, _POS_BITS))), 8, "0"), F.lit(":"), x.bitwiseAND(F.lit(_LOW)).cast("string"))), ",")
+    """A fingerprint as a string: its numbers in hexadecimal, comma-joined; the position is the lowest 31 bits of each."""
+    return F.array_join(F.transform(found, lambda x: F.hex(x)), ",")
 
 
 def likeness(one: Column, other: Column, anchors: int | None = None, drift: int = 64) -> Column:
     def sided(a: Column, side: int) -> Column:
-        return F.transform(a, lambda x: F.struct(F.shiftright(x, _POS_BITS).alias("hash"), F.lit(side).alias("side"), x.bitwiseAND(F.lit(_LOW)).alias("at")))
+        # hash (32 bits), side (1), position (31)
+        return F.transform(a, lambda x: F.shiftleft(F.shiftright(x, _POS_BITS), 32).bitwiseOR(x.bitwiseAND(F.lit(_LOW))).bitwiseOR(F.lit(side << _POS_BITS)))
 
     def compare(line: Column) -> Column:
         # a fingerprint has a hash once, so those of both stand side by side in the line of both
-        moved = F.array_compact(F.transform(line, lambda x, i: F.when((i > 0) & (x["hash"] == F.get(line, i - 1)["hash"]), F.get(line, i - 1)["at"] - x["at"])))
+        at = lambda x: x.bitwiseAND(F.lit(_LOW))
+        moved = F.array_compact(F.transform(line, lambda x, i: F.when(F.shiftright(x, 32) == F.shiftright(F.get(line, i - 1), 32), at(F.get(line, i - 1)) - at(x))))
         steady = lambda d: let(F.get(F.sort_array(d), F.floor(F.size(d) / 2).cast("int")), lambda mid: F.size(F.filter(d, lambda x: F.abs(x - mid) <= drift)))
         return let(moved, lambda d: F.coalesce(steady(d), F.lit(0)).cast("double") / (F.size(line) - F.size(d)))
 
-    def smallest(line: Column) -> Column:
-        if anchors is None:
-            return line
-        own = F.filter(line, lambda x, i: (i == 0) | (x["hash"] != F.get(line, i - 1)["hash"]))
-        return let(F.coalesce(F.get(own, F.lit(anchors - 1))["hash"], F.lit(1 << 32)), lambda top: F.filter(line, lambda x: x["hash"] <= top))
+    def smallest(a: Column, top: Column) -> Column:
+        return F.filter(a, lambda x: F.shiftright(x, _POS_BITS) <= top)
 
-    return F.when(one == other, F.lit(1.0)).when((F.size(one) == 0) | (F.size(other) == 0), F.lit(0.0)).otherwise(let(let(F.sort_array(F.concat(sided(one, 0), sided(other, 1))), smallest), compare))
+    def both(a: Column, b: Column) -> Column:
+        return let(F.sort_array(F.concat(sided(a, 0), sided(b, 1))), compare)
+
+    if anchors is None:
+        found = both(one, other)
+    else:  # of the anchors' smallest hashes of both together
+        hashes = F.array_union(*[F.transform(a, lambda x: F.shiftright(x, _POS_BITS)) for a in (one, other)])
+        found = let(F.coalesce(F.get(F.sort_array(hashes), F.lit(anchors - 1)), F.lit(1 << 32)), lambda top: both(smallest(one, top), smallest(other, top)))
+    return F.when(one == other, F.lit(1.0)).when((F.size(one) == 0) | (F.size(other) == 0), F.lit(0.0)).otherwise(found)
 
 
 def _bucket(key: Column, bounds: list[int], base: int = 0) -> Column:

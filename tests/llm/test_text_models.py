@@ -123,13 +123,12 @@ def brute_print(text):
     h = lambda *x: functools.reduce(lambda seed, v: xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little"), seed=seed), x, 42)
     symbols = [m[0] for m in re.finditer(syncmers.SYMBOL, text)]
     t = [h(x.encode()) for x in symbols]
-    inner = [h(a, b) for a, b in zip(t, t[1:])]
     signed = lambda v: v - 2**64 if v >= 2**63 else v
     found = {}
-    for i in range(len(inner) - 3):
-        four = inner[i : i + 4]
-        if min(map(signed, four)) in (signed(four[0]), signed(four[3])):
-            found.setdefault(h(four[0], four[2], four[3]) & 0xFFFFFFFF, i)
+    for i in range(len(t) - 2):
+        three = list(map(signed, t[i : i + 3]))
+        if min(three) in (three[0], three[2]):
+            found.setdefault(h(*t[i : i + 3]) & 0xFFFFFFFF, i)
     if not found and symbols:
         found = {h(" ".join(symbols).encode()) & 0xFFFFFFFF: 0}
     return found
@@ -149,7 +148,7 @@ def test_anchors_are_context_free(spark):
         passage = joint.join("".join(rnd.choices(letters, k=7)) for _ in range(60))
         df = spark.createDataFrame([(passage,), ("e" + "x" * 5 + passage,), (passage + "zz",)], "t string")
         one, moved, longer = ({x >> 31 for x in r[0]} for r in df.select(syncmers.fingerprint(F.col("t"))).collect())
-        assert len(one & moved) >= 0.8 * len(one) and len(one & longer) >= 0.95 * len(one) and len(one) >= 40
+        assert len(one & moved) >= 0.8 * len(one) and len(one & longer) >= 0.95 * len(one) and len(one) >= 15
 
 
 def test_short_edits_stay_near(spark):
@@ -158,8 +157,8 @@ def test_short_edits_stay_near(spark):
     rows = [(i, " ".join(word() for _ in range(4 + i % 4))) for i in range(400)]
     got = {r["doc_id"]: r for r in syncmers.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     near = [sum(got[i]["near_edited"] > 0 for i in range(n, 400, 4)) for n in range(4)]
-    # texts of 4, 5, 6 and 7 words; seven equal symbols in a row hold an anchor for certain
-    assert near[0] >= 65 and min(near[1:]) >= 90, near
+    # texts of 4, 5, 6 and 7 words, of which two thirds are unchanged
+    assert near[0] >= 35 and near[1] >= 75 and min(near[2:]) >= 90, near
     assert sum(r["near_next"] > 0 for r in got.values()) <= 20
 
 
