@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import modest_batches
+
 UNKNOWN = "und"
 DEPTH = 5
 #: ASCII bytes other than letters count as one, a space.
@@ -205,7 +207,7 @@ def _sample(rows: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
 
 def train(rows: DataFrame, max_train_docs: int = 2_000, max_train_chars: int = 4_000_000, grow: int = 4, max_nodes: int = 400_000) -> Model:
     """The model of rows (text, lang); those with a null are left out."""
-    rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
+    rows = modest_batches(rows).filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +230,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """doc_id, lang_pred, score and the columns named in keep, which may name the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in keep if c != text_col]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *others)
+    rows = modest_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *others)
     types = {f.name: f.dataType.simpleString() for f in docs.select(*keep).schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dealt, discard, hot_join, small_batches, stash
+from .shared import dealt, discard, hot_join, modest_batches, small_batches, stash
 
 WORDS = 5
 BANDS, ROWS = 45, 5
@@ -319,7 +319,7 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest linked doc_id) and kept."""
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    docs = modest_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     rows = stash(_sketched(docs), "sketches")
     # a class is named by its smallest id
     full = rows.filter("key IS NOT NULL")

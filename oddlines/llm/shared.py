@@ -111,6 +111,25 @@ def numbered(df: DataFrame, label: str, name: str, columns: tuple[str, ...]) ->
     return placed.join(order, "_path").select(*columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_at")).alias(name))
 
 
+def modest_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends at most 1,024 rows or some 4 MB of it to Python at once. What crosses is held several times
+    over (in the JVM's buffers, on the way, in the worker), by each task of an executor, and Spark has this setting for a
+    session only. A session that asks for less keeps its own."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", 1024), ("maxBytesPerBatch", 4 << 20)):
+        own = _bytes(conf.get(f"spark.sql.execution.arrow.{name}", None))
+        if own <= 0 or own > most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df
+
+
+def _bytes(value: str | None) -> int:
+    """A setting's number, with a unit or without; 0 where it is unset."""
+    digits = (value or "0").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(digits[-1:], 1)
+    return int(digits.rstrip("kmg")) * unit
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Slices of batches, so that what is made of one stays small."""
     for batch in batches:
