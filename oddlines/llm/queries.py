@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, idfiles, langid, mixing, neardup, packing, search, secrets, syncmers
+from . import align, chat, counts, idfiles, langid, mixing, neardup, packing, ranking, repeats, search, secrets, syncmers
 from .shared import shared_dir, stash, table, text_of
 from .tokens import public_path
 
@@ -103,11 +103,47 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n_docs, _ = ranking.build_index(table(spark, sf_dir, "documents"))
+    return ranking.search(index, n_docs, table(spark, sf_dir, "benchmark"))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_near_duplicates, op3_packing, op4_token_counts, op5_fingerprints, op6_top_k, op7_language_id, op8_source_mixing, op9_chat_format, op10_token_ids)
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_near_duplicates, op3_packing, op4_token_counts, op5_fingerprints, op6_top_k, op7_language_id, op8_source_mixing, op9_chat_format, op10_token_ids, op11_ranked_search, op12_repeats,
+        op13_alignment,
+    )
 }
 
 SQL: dict[str, str] = {
+    "op11_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), i AS (
+  SELECT row_number() OVER () AS q, item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark
+), c AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+), m AS (
+  SELECT r, doc_id, terms, 50 + (50 * len(terms)::BIGINT * n_docs) // n_terms AS m FROM d, c WHERE len(terms) > 0
+), tf AS (
+  SELECT r, doc_id, m, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, m, unnest(terms) AS term FROM m) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c WHERE term IN (SELECT term FROM i) GROUP BY term, n_docs
+), s AS (
+  SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM i JOIN w USING (term) JOIN tf USING (term) GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST))::INT AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 50
+""",
     "op6_top_k": """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
