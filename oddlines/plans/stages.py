@@ -21,12 +21,6 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and checkpointed; keeps its partitioning."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """df computed once and kept as Parquet, of which later reads take the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

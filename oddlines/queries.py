@@ -13,7 +13,7 @@ from .functions.constants import AXES, CAPS, FEATURES
 from .functions.lexical import line_features, lines, split_lines
 from .operators import curate, features, labels, lif, parse, scoring
 from .plans import calibrate, model, report, review
-from .plans.stages import cut, shared_folder, written
+from .plans.stages import shared_folder, written
 from .sources import files as sources
 from .streaming import jobs
 
@@ -357,52 +357,36 @@ def pr_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_reviews(spark, sf_dir)[2]
 
 
-def _nodes(parsed: DataFrame) -> DataFrame:
-    return cut(parse.nodes(parsed).repartition("file_id"))
+def _parsed(spark: SparkSession, sf_dir: str, with_tokens: bool = True) -> DataFrame:
+    return written(parse.parse_files(code_files(spark, sf_dir), with_tokens=with_tokens), "parsed")
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Where spark.sql.requireAllClusterKeysForCoPartition is false, joins on (file_id, more) keep to one partitioning."""
-    parsed = written(parse.parse_files(code_files(spark, sf_dir)), "parsed")
-    return parsed, _nodes(parsed), cut(parse.tokens(parsed).repartition("file_id"))
-
-
-def _parsed_without_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    parsed = written(parse.parse_files(code_files(spark, sf_dir), with_tokens=False), "parsed")
-    return parsed, _nodes(parsed)
+def _code_lines(spark: SparkSession, sf_dir: str, context: bool = False) -> DataFrame:
+    return features.line_features(_parsed(spark, sf_dir), context=context)
 
 
 def code_line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All thirteen features of the code files' lines, summed by file."""
-    parsed, nodes, tokens = _parsed(spark, sf_dir)
-    rows = features.line_features(parse.scored_lines(parsed, nodes), nodes, tokens)
+    rows = _code_lines(spark, sf_dir)
     names = ("nesting_depth", "cyclomatic_proxy", "use_def_distance", "call_graph_shape", "exception_density", "parse_error", "global_reach", "attr_reach", "call_graph_depth")
     return rows.groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.count("*").alias("n_lines"), *[F.round(F.sum(f), 6).alias(f) for f in names])
 
 
 def code_function_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, nodes = _parsed_without_tokens(spark, sf_dir)
-    rows = features.function_features(nodes)
+    rows = features.function_features(_parsed(spark, sf_dir, with_tokens=False))
     names = ("nesting_depth", "length", "token_entropy", "naming_entropy", "cyclomatic_proxy", "use_def_distance", "name_flow", "call_graph_shape", "exception_density")
     return rows.select(F.col("file_id").cast("long").alias("file_id"), "name", "line", "end_line", *[F.round(f, 6).alias(f) for f in names])
 
 
 def code_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed, nodes = _parsed_without_tokens(spark, sf_dir)
-    rows = features.lineage(parse.scored_lines(parsed, nodes).select("file_id", "line"), nodes)
-    rows = features.function_context(rows, features.functions(nodes).filter("is_unit"))
+    rows = features.line_features(_parsed(spark, sf_dir, with_tokens=False), context=True).withColumn("lineage", parse.labelled("lineage"))
     shown = F.array_join(F.transform("lineage", lambda x: F.concat(x["label"], F.lit("@"), x["line"].cast("string"))), " < ")
     return rows.select(F.col("file_id").cast("long").alias("file_id"), "line", "function", F.coalesce(shown, F.lit("")).alias("lineage"))
 
 
-def _code_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    parsed, nodes, tokens = _parsed(spark, sf_dir)
-    return cut(features.line_features(parse.scored_lines(parsed, nodes), nodes, tokens)), nodes
-
-
 def code_linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags by the fixed formula: a line that does not parse has score 1."""
-    rows = model.linear(_code_lines(spark, sf_dir)[0])
+    rows = model.linear(_code_lines(spark, sf_dir))
     return rows.groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.count_if("flag").alias("n_flagged"), (F.max("score") == 1).alias("broken"), F.max("malformed").alias("malformed"))
 
 
@@ -413,18 +397,18 @@ def _calibrated(lines_: DataFrame) -> tuple[lif.Net, DataFrame, tuple | None]:
 
 
 def code_sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines_, _ = _code_lines(spark, sf_dir)
+    lines_ = written(_code_lines(spark, sf_dir), "code-lines")
     rows = model.sequence(lines_, *_calibrated(lines_))
     return rows.groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.count_if("flag").alias("n_flagged"), F.round(F.max("score"), 6).alias("top_score"))
 
 
 def code_function_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines_, nodes = _code_lines(spark, sf_dir)
-    return model.function_scores(lines_, features.functions(nodes).filter("is_unit"), *_calibrated(lines_))
+    lines_ = written(_code_lines(spark, sf_dir, context=True), "code-lines")
+    return model.function_scores(lines_, *_calibrated(lines_))
 
 
 def model_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.diagnostics(*_calibrated(_code_lines(spark, sf_dir)[0])[:2])
+    return model.diagnostics(*_calibrated(written(_code_lines(spark, sf_dir), "code-lines"))[:2])
 
 
 def fitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators import features, parse
 from ..operators.lif import Cells, Net, membrane_score
 from ..plans import model
 from ..plans.report import full_analysis, python_only, rich_lines
-from ..plans.stages import cut, written
+from ..plans.stages import written
 
 
 def answer_submissions(batch: DataFrame, score: Callable[[DataFrame], DataFrame] = model.linear) -> tuple[DataFrame, DataFrame]:
@@ -24,9 +24,8 @@ def answer_submissions(batch: DataFrame, score: Callable[[DataFrame], DataFrame]
     and error of the others and of those that could not be taken."""
     accepted, rejected = python_only(batch.withColumn("file_id", F.col("file_id").cast("string")))
     parsed = written(parse.parse_files(accepted, keep=("language",)), "submissions")
-    nodes, tokens = (cut(part(parsed).repartition("file_id")) for part in (parse.nodes, parse.tokens))
-    scored = written(score(features.line_features(parse.scored_lines(parsed, nodes), nodes, tokens)), "submitted-lines")
-    analyses = full_analysis(rich_lines(scored, nodes), parsed.filter("error IS NULL").select("file_id"))
+    scored = written(score(features.line_features(parsed, context=True)), "submitted-lines")
+    analyses = full_analysis(rich_lines(scored), parsed.filter("error IS NULL").select("file_id"))
     refused = rejected.select("file_id", "language", F.lit("unsupported language").alias("error"))
     return analyses, refused.unionByName(parsed.filter("error IS NOT NULL").select("file_id", "language", "error"))
 
