@@ -1,10 +1,11 @@
 """Removal of repeated passages with suffix arrays: bytes covered by a string of ``LENGTH`` bytes that starts earlier too.
 
+0. Equal documents are folded: all but the first are repeats as a whole and go no further.
 1. In every stretch of ``LENGTH`` bytes the least hash of its ``GRAM``-byte strings is the stretch's anchor (the leftmost of
    equals), so that equal stretches have equal anchors. Neighbouring stretches of one anchor are a context. Contexts whose
    anchor occurs nowhere else can't repeat and go no further: only counts of hashes are shuffled for that.
 2. The bytes of the other contexts meet by their anchors, in blocks of at most about ``BLOCK_BYTES``. Equal contexts are
-   folded: all but the earliest repeat in full. A suffix array of the rest is built in two stages: suffixes smaller than
+   folded: all but the earliest repeat in full, and need no room. A suffix array of the rest is built in two stages: suffixes smaller than
    their successors are sorted directly, the others are induced by scans of the buckets in ascending order. Neighbours with
    ``LENGTH`` common bytes are equal stretches; all but the earliest of each run repeat.
 3. An anchor of more than ``HOT`` contexts is dealt over several places by document. What is no repeat at its own place goes
@@ -21,19 +22,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import numbered, small_batches, stash
+from .shared import hot_join, numbered, small_batches, stash
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 #: Bytes of contexts that are sorted at once.
 BLOCK_BYTES = 1 << 20
 #: Contexts of one anchor that go to one place.
@@ -66,13 +67,20 @@ def _pieces(rows: Iterator[tuple[int, bytes]], length: int, size: int) -> Iterat
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """64-bit hashes of all strings of gram bytes (a power of two) in data."""
-    h, factor, width = data.astype(np.uint64) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15), 1
-    while width < gram:
-        h = h[:-width] * factor + h[width:]
+    """64-bit hashes of all strings of gram bytes in data, from those of powers of two."""
+    part, factor, width = data.astype(np.uint64) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15), 1
+    h, done = part, 0
+    while True:
+        if gram & width:
+            n = len(data) - done - width + 1
+            h, done = h[:n] * factor + part[done : done + n] if done else part, done + width
+        if 2 * width > gram:
+            break
+        part = part[:-width] * factor + part[width:]
         with np.errstate(over="ignore"):
             factor = factor * factor
         width *= 2
+    h = h.copy()
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -202,17 +210,12 @@ def _runs(stretches: np.ndarray) -> list[tuple[int, int]]:
 
 
 def sort_block(rows: list[tuple], length: int) -> Iterator[tuple[int, int, int, int | None, bytes | None]]:
-    """Marks (row, first and last stretch) of a block of _CONTEXT rows that are sorted by key, place, context and document;
-    of anchors with several places also the stretches that are no repeats here."""
-    kept = []
-    for _, same in groupby(rows, key=lambda r: r[:4]):
-        kept.append(next(same))
-        for _, _, _, context, _, row, lo in same:
-            yield row, lo, lo + len(context) - length, None, None
-    docs = {d: i for i, d in enumerate(sorted({(r[4] is not None, r[4] or 0, r[5]) for r in kept}))}
-    order = np.array([docs[r[4] is not None, r[4] or 0, r[5]] for r in kept], np.int64)
-    found = later_stretches([r[3] for r in kept], order, np.array([r[6] for r in kept], np.int64), length)
-    for (_, _, places, context, doc, row, lo), later in zip(kept, found):
+    """Marks (row, first and last stretch) of a block of unlike _CONTEXT rows, all of their anchors; of anchors with several
+    places also the stretches that are no repeats here."""
+    docs = {d: i for i, d in enumerate(sorted({(r[4] is not None, r[4] or 0, r[5]) for r in rows}))}
+    order = np.array([docs[r[4] is not None, r[4] or 0, r[5]] for r in rows], np.int64)
+    found = later_stretches([r[3] for r in rows], order, np.array([r[6] for r in rows], np.int64), length)
+    for (_, _, places, context, doc, row, lo), later in zip(rows, found):
         for first, last in _runs(later):
             yield row, lo + first, lo + last, None, None
         if places > 1:
@@ -221,22 +224,36 @@ def sort_block(rows: list[tuple], length: int) -> Iterator[tuple[int, int, int,
 
 
 def sort_contexts(contexts: DataFrame, length: int, block_bytes: int) -> DataFrame:
+    names = [c.split()[0] for c in _MARK.split(", ")]
+    types = [*[pa.int64()] * 4, pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, last = 0, None
 
         def close() -> pa.RecordBatch:
             made = list(sort_block(held, length))
-            columns = zip(*made) if made else [[]] * 5
-            types = [pa.int64()] * 4 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["row", "lo", "hi", "doc_id", "stretch"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * 5, types)], names=names)
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if not batch.num_rows:
+                continue
+            n, context = batch.num_rows, batch.column("context")
+            key, place = (batch.column(c).to_numpy() for c in ("key", "place"))
+            new = np.ones(n, bool)
+            new[0] = last != (key[0], place[0], context[0].as_py())
+            new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | pc.not_equal(context.slice(1), context.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            last = (key[-1], place[-1], context[n - 1].as_py())
+            # rows are in order of documents: what equals the context before it repeats in full
+            copies = batch.filter(pa.array(~new))
+            if copies.num_rows:
+                ends = pc.add(copies.column("lo"), pc.subtract(pc.cast(pc.binary_length(copies.column("context")), pa.int64()), length))
+                yield pa.RecordBatch.from_arrays([copies.column("row"), copies.column("lo"), ends, *[pa.nulls(copies.num_rows, t) for t in types[3:]]], names=names)
+            for row in zip(*[c.to_pylist() for c in batch.filter(pa.array(new)).columns]):
                 if held and row[:2] != held[-1][:2] and size >= block_bytes:
                     yield close()
                     held, size = [], 0
-                size += 64 if held and row[:4] == held[-1][:4] else len(row[3])
+                size += len(row[3])
                 held.append(row)
         if held:
             yield close()
@@ -264,32 +281,54 @@ def _opened(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
     return (opener.decompress(x.as_buffer()) if x.is_valid else b"" for x in batch.column(column))
 
 
+def _copies(docs: DataFrame, length: int) -> DataFrame:
+    """row, lo, hi of documents that equal an earlier one: all of their stretches."""
+    same = stash(docs.select("row", "doc_id", F.octet_length("data").cast("long").alias("size"), F.unhex(F.sha2("data", 256)).alias("digest")), "repeats-digests")
+    firsts = same.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.row").alias("first"))
+    found = hot_join(same.select("row", "size", "digest"), firsts, "digest", "row").filter("row != first")
+    return stash(found.select("row", F.lit(0).cast("long").alias("lo"), (F.col("size") - length).alias("hi")), "repeats-copies")
+
+
+def _met(found: DataFrame, repeated: DataFrame, hot: int) -> DataFrame:
+    """found with the counts of repeated anchors. An anchor with over a 10,000th of the rows (so 10,000 anchors at most) is
+    dealt over several places."""
+    heavy = max(hot, (repeated.agg(F.sum("n")).first()[0] or 0) // 10_000)
+    places = F.ceil(F.col("n") / heavy).cast("int")
+    dealt = F.broadcast(repeated.filter(F.col("n") > heavy).select("key", places.alias("places")))
+    left = found.join(dealt, "key", "left").withColumn("place", F.pmod(F.xxhash64("row"), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
+    return left.join(repeated.withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))), ["key", "place"])
+
+
 def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
     """row, lo, hi: runs of stretches (length bytes from lo on, to those from hi on) that occur earlier. docs: row, doc_id,
     data."""
     long = docs.filter(F.octet_length("data") >= length)
+    copies = _copies(long, length)
     found = find_anchors(long, length, gram, piece)
-    repeated = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    live = found.join(repeated, "key").groupBy("row").agg(F.collect_list(F.struct("key", "n", "lo", "stretches")).alias("contexts"))
-
+    repeated = stash(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "repeats-anchors")
+    lists = F.collect_list(F.struct("key", "n", "lo", "stretches")).alias("contexts")
+    live = _met(found, repeated, hot).groupBy("row").agg(lists).join(copies.select("row"), "row", "left_anti")
     names = [c.split()[0] for c in _CONTEXT.split(", ")]
-    types = [pa.binary() if "binary" in c else pa.int64() for c in _CONTEXT.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 64):
-            made = []
-            for row, doc, data, contexts in zip(batch["row"].to_pylist(), batch["doc_id"].to_pylist(), _opened(batch, "packed"), batch["contexts"].to_pylist()):
-                for c in contexts:
-                    places = -(-c["n"] // hot)
-                    made.append((c["key"], (row * 0x9E3779B97F4A7C15 >> 20) % places, places, data[c["lo"] : c["lo"] + c["stretches"] + length - 1], doc, row, c["lo"]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=names)
+            lists = batch.column("contexts")
+            flat = lists.flatten()
+            key, n, lo, stretches = (flat.field(c).to_numpy() for c in ("key", "n", "lo", "stretches"))
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            row, doc = (batch.column(c).take(pa.array(of)) for c in ("row", "doc_id"))
+            places = -(-n // hot)
+            place = ((row.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % places
+            texts = list(_opened(batch, "packed"))
+            cuts = [texts[i][a:b] for i, a, b in zip(of.tolist(), lo.tolist(), (lo + stretches + (length - 1)).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), pa.array(places), pa.array(cuts, pa.binary()), doc, row, pa.array(lo)], names=names)
 
     contexts = _packed(long).join(live, "row").mapInArrow(cut, _CONTEXT)
     marks = stash(sort_contexts(contexts, length, block_bytes), "repeats-marks")
     spread = marks.filter("stretch IS NOT NULL")
     earlier = F.row_number().over(Window.partitionBy("stretch").orderBy("doc_id", "row", "lo"))
     second = spread.withColumn("nth", earlier).filter("nth > 1").select("row", "lo", "hi")
-    return marks.filter("stretch IS NULL").select("row", "lo", "hi").unionByName(second)
+    return marks.filter("stretch IS NULL").select("row", "lo", "hi").unionByName(second).unionByName(copies)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:

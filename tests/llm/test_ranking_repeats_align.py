@@ -113,7 +113,7 @@ def _texts(rnd, n, passages):
     return out
 
 
-@pytest.mark.parametrize("length,gram,hot,piece", [(100, 32, 4096, 1 << 20), (20, 8, 4, 256), (12, 4, 3, 64)])
+@pytest.mark.parametrize("length,gram,hot,piece", [(100, 24, 4096, 1 << 20), (20, 8, 4, 256), (12, 5, 3, 64)])
 def test_repeats_equal_brute_force(spark, length, gram, hot, piece):
     rnd = random.Random(length)
     passages = ["".join(rnd.choices("abcdefgh éß中", k=rnd.choice([length // 2, length, 3 * length]))) for _ in range(6)]
