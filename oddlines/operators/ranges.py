@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,18 +13,29 @@ from pyspark.sql.window import Window
 from ..plans.stages import written
 
 
-def running_totals(rows: DataFrame, order: list[str | Column], sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
-    """rows with, for each out: column, the column's sum over a row and all before it in order, anew for each group of
-    by. Rows are range-partitioned by both; what meets in one place is a row for each partition of one group."""
+def _running(rows: DataFrame, order: list[str | Column], made: dict[str, str], by: tuple[str, ...], fold: Callable[[str], Column], both: Callable[[Column, Column], Column]) -> DataFrame:
+    """rows with, for each out: column, fold of the column over a row and all before it in order, anew for each group of
+    by; both brings two folds together. Rows are range-partitioned by both; what meets in one place is a row for each
+    partition of one group."""
     ranged = written(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    ends = ranged.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_{out}") for out, c in sums.items()])
+    ends = ranged.groupBy("_part", *by).agg(*[fold(c).alias(f"_{out}") for out, c in made.items()])
     line = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = ends.select("_part", *by, *[F.coalesce(F.sum(f"_{out}").over(line), F.lit(0)).alias(f"_{out}") for out in sums])
+    before = ends.select("_part", *by, *[F.coalesce(fold(f"_{out}").over(line), F.lit(0)).alias(f"_{out}") for out in made])
     within = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = ranged.withColumns({out: F.sum(c).over(within) for out, c in sums.items()})
+    own = ranged.withColumns({out: fold(c).over(within) for out, c in made.items()})
     before = before.withColumnsRenamed({k: f"_of_{k}" for k in ("_part", *by)})
     met = own.join(before, reduce(and_, [own[k].eqNullSafe(before[f"_of_{k}"]) for k in ("_part", *by)]))
-    return met.select(*rows.columns, *[(F.col(out) + F.col(f"_{out}")).alias(out) for out in sums])
+    return met.select(*rows.columns, *[both(F.col(out), F.col(f"_{out}")).alias(out) for out in made])
+
+
+def running_totals(rows: DataFrame, order: list[str | Column], sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with, for each out: column, the column's sum over a row and all before it in order, anew for each group of by."""
+    return _running(rows, order, sums, by, F.sum, add)
+
+
+def running_greatest(rows: DataFrame, order: list[str | Column], greatest: dict[str, str]) -> DataFrame:
+    """rows with, for each out: column, the column's greatest value (0 at least) over a row and all before it in order."""
+    return _running(rows, order, greatest, (), F.max, F.greatest)
 
 
 def ranked(rows: DataFrame, order: list[str | Column], by: tuple[str, ...] = (), out: str = "rank") -> DataFrame:

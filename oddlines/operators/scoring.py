@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import AXES, CAPS, FEATURES, LINEAR_WEIGHTS
 from ..plans.stages import written
-from .ranges import quantiles, running_totals
+from .ranges import quantiles, running_greatest, running_totals
 
 #: Distinct scores up to this number are sent to every task (16 MB); more are met by a join over SPREAD places a score.
 MAX_SENT_SCORES, SPREAD = 1_000_000, 16
@@ -50,15 +50,18 @@ def ecdf_table(scores: DataFrame, score: str = "score") -> DataFrame:
 def ecdf_rank(rows: DataFrame, reference: DataFrame, score: str = "score", out: str = "percentile") -> DataFrame:
     """rows with out = share of reference scores that are at most the row's; the score itself where reference is empty.
 
-    Distinct scores of both sides are summed up in one order, then met by an equi-join: sent to all tasks where they are
-    few, else spread, so that a score that very many rows have is not one task's work. rows is read twice, reference
-    once."""
-    own = rows.select(F.col(score).alias("s")).distinct().withColumn("c", F.lit(0).cast("long"))
-    counts = reference.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("c"))
-    done = written(running_totals(counts.unionByName(own).groupBy("s").agg(F.sum("c").alias("c")), ["s"], {"total": "c"}).select("s", "c", "total"), "ecdf")
-    n = done.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    reference holds scores (column score, or named as those of rows) or the steps that ``ecdf_table`` made of them, which
+    are not counted again. The distinct scores of rows are merged with the steps in one order: each gets the count of the
+    last step at or below it. They are sent to all tasks where they are few, else spread, so that a score that very many
+    rows have is not one task's work. rows is read twice, reference once."""
+    own = rows.select(F.col(score).alias("s")).distinct().select("s", F.lit(0).cast("long").alias("n_le"), F.lit(0).cast("long").alias("n"))
+    steps = reference if "n_le" in reference.columns else ecdf_table(reference, score if score in reference.columns else "score")
+    both = steps.select(F.col("score").alias("s"), "n_le", "n").unionByName(own).groupBy("s").agg(F.max("n_le").alias("n_le"), F.max("n").alias("n"))
+    done = written(running_greatest(both, ["s"], {"total": "n_le"}).select("s", "n", "total"), "ecdf")
+    n = done.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    done = done.drop("n")
     if done.count() <= MAX_SENT_SCORES:
-        met = rows.join(F.broadcast(done.drop("c")), rows[score] == done["s"], "left").drop("s")
+        met = rows.join(F.broadcast(done), rows[score] == done["s"], "left").drop("s")
     else:
         places = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_place")
         spread = rows.withColumn("_place", F.pmod(F.xxhash64(*[c for c in rows.columns if c != score]), F.lit(SPREAD)).cast("int"))

@@ -327,3 +327,6 @@ SELECT l_orderkey AS file_id,
   CASE WHEN l_orderkey % 4 <> 2 THEN CASE WHEN bad THEN 11 + 2 * n ELSE 9 + 2 * n END END::INT AS n_lines,
   CASE WHEN l_orderkey % 4 <> 2 AND bad THEN 'high on malformed (1.00) + naming (' || printf('%.2f', round((1 / 6::DOUBLE + log2(3) / 5) / 2 / 0.68::DOUBLE, 4)) || ') — doesn''t parse as valid Python — likely a typo; unusual identifier density' END AS reason
 FROM o"""
+SQL["stored_percentiles"] = """WITH e AS (SELECT event_id, round(value / 100, 2) AS score, floor(value / 10)::BIGINT / 10::DOUBLE AS tenth FROM events WHERE value IS NOT NULL),
+steps AS (SELECT tenth, sum(count(*)) OVER (ORDER BY tenth) AS n_le FROM e GROUP BY tenth)
+SELECT event_id, round(coalesce(n_le, 0) / (SELECT count(*) FROM e)::DOUBLE, 9) AS percentile FROM e ASOF LEFT JOIN steps ON e.score >= steps.tenth"""

@@ -411,6 +411,16 @@ def model_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.diagnostics(*_calibrated(written(_code_lines(spark, sf_dir), "code-lines"))[:2])
 
 
+def stored_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of events' values within a stored reference, values in tenths: the second version that was saved."""
+    place = f"{shared_folder(spark)}/calibration-{uuid.uuid4().hex}"
+    rows = _table(spark, sf_dir, "events").filter("value IS NOT NULL").select("event_id", F.round(F.col("value") / 100, 2).alias("score"), F.floor(F.col("value") / 10).alias("tenth"))
+    model.save_calibration(spark, place, TINY, rows.limit(1).select("score"))
+    model.save_calibration(spark, place, TINY, rows.select((F.col("tenth") / 10).alias("score")))
+    known = model.load_calibration(spark, place)
+    return scoring.ecdf_rank(rows.drop("tenth"), known.ecdf).select("event_id", F.round("percentile", 9).alias("percentile"))
+
+
 def fitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of a small net after six passes of plasticity over the events of all users."""
     rows = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.array(F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)), (F.col("event_type") == "error").cast("double")).alias("vector"))
@@ -542,7 +552,7 @@ QUERIES: dict[str, Query] = {
         split_counts, lexical_features, axes, linear_scores, percentile_flags, ecdf, team_weights, axis_p95, feature_correlations, whitening, moments, file_summaries, file_analyses, repo_rollup,
         top_repo_lines, summary_order, label_statistics, deviation_threshold, threshold_sweep, evaluation, accuracy_threshold, curated_sample, corpus_counts, histograms, first_events, binary_labels,
         marker_counts, marker_spans, clean_spans, drawn_negatives, balanced_samples, unpivoted_turns, span_checks, unflagged_files, changed_lines, review_lines, worse_functions, pr_summaries, pr_comments, pr_reports,
-        event_sequences, event_drift, streamed_drift, code_line_features, code_function_features, code_lineage, code_linear_scores, code_sequence_scores, code_function_scores, model_diagnostics, fitted_weights,
+        event_sequences, event_drift, streamed_drift, code_line_features, code_function_features, code_lineage, code_linear_scores, code_sequence_scores, code_function_scores, model_diagnostics, stored_percentiles, fitted_weights,
         read_corpus, read_json_lines, read_pairs, reports_as_json, repaired_code, listed_files, marked_texts, combined_sets, check_counts, kept_files, event_spikes, event_baselines, answered_submissions,
     )
 }

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from oddlines.functions.constants import AXES
 from oddlines.operators import curate, labels, lif, scoring
 from oddlines.plans import calibrate, report, review
@@ -206,12 +207,49 @@ def test_failed_files_are_kept_apart(spark, monkeypatch):
 def test_calibration_is_stored_and_loaded(spark, tmp_path):
     from oddlines.plans import model
 
-    net = lif.random_net(3, 4, 2, 1)
+    net, place = lif.random_net(3, 4, 2, 1), str(tmp_path / "c")
     net = lif.Net(net.fc1, net.fc2, np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.6]))
-    model.save_calibration(spark, str(tmp_path / "c"), net, spark.createDataFrame([(0.1,), (0.3,), (0.1,)], "score double"), 0.8)
-    back, ecdf, threshold = model.load_calibration(spark, str(tmp_path / "c"))
-    assert all(np.array_equal(getattr(back, f), getattr(net, f)) for f in ("fc1", "fc2", "hidden_rate", "output_rate")) and threshold == 0.8
-    assert sorted(map(tuple, ecdf.collect())) == [(0.1, 2, 3), (0.3, 3, 3)]
+    scores = lambda *x: spark.createDataFrame([(v,) for v in x], "score double")
+    assert model.versions(spark, place) == []
+    first = model.save_calibration(spark, place, net, scores(0.1, 0.3, 0.1), 0.8)
+    second = model.save_calibration(spark, place, lif.Net(net.fc1, net.fc2), scores(0.7), whitening=(np.array([0.5, 0.1, 0.2]), np.eye(3)))
+    assert [v for _, v in model.versions(spark, place)] == [first, second]
+    back = model.load_calibration(spark, place, first)
+    assert all(np.array_equal(getattr(back.net, f), getattr(net, f)) for f in ("fc1", "fc2", "hidden_rate", "output_rate")) and back.threshold == 0.8 and back.whitening is None
+    assert sorted(map(tuple, back.ecdf.collect())) == [(0.1, 2, 3), (0.3, 3, 3)]
+    now = model.load_calibration(spark, place)
+    assert now.net.hidden_rate is None and np.array_equal(now.whitening[1], np.eye(3)) and list(now.whitening[0]) == [0.5, 0.1, 0.2] and sorted(map(tuple, now.ecdf.collect())) == [(0.7, 1, 1)]
+
+
+def test_scores_from_a_stored_calibration_equal_those_from_raw_scores(spark, tmp_path):
+    from oddlines.operators import features, parse
+    from oddlines.plans import model
+
+    # the same line many times: scores repeat
+    codes = [(str(i), "x = f(1)\n" * (3 + i % 4) + CODE * (i % 2)) for i in range(12)]
+    lines = features.line_features(parse.parse_files(spark.createDataFrame(codes, "file_id string, code string")), context=True).persist()
+    net, reference = model.calibrate(lines, lif.random_net(13, 8, 4, 3))
+    reference = spark.createDataFrame(reference.collect())
+    model.save_calibration(spark, str(tmp_path / "c"), net, reference, 0.9)
+    known = model.load_calibration(spark, str(tmp_path / "c"))
+    raw, stored = ({(r["file_id"], r["line"]): r["score"] for r in rows.collect()} for rows in (model.sequence(lines, net, reference), model.scored_by(lines, known)))
+    assert raw == stored and len(raw) == lines.count() > len(set(raw.values()))
+    raw, stored = (sorted(map(tuple, model.function_scores(lines, net, x).collect())) for x in (reference, known.ecdf))
+    assert raw == stored and {r[1] for r in raw} == {"put", "helper"}
+    lines.unpersist()
+
+
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_ranks_from_steps_and_from_scores(spark, monkeypatch, sent):
+    from oddlines.operators import scoring
+
+    monkeypatch.setattr(scoring, "MAX_SENT_SCORES", sent)
+    reference = spark.createDataFrame([(0.1,), (0.1,), (0.1,), (0.9,)], "score double")
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate((0.0, 0.1, 0.5, 0.9, 2.0, 0.5))], "i long, score double")
+    want = [0.0, 0.75, 0.75, 1.0, 1.0, 0.75]
+    for known in (reference, scoring.ecdf_table(reference)):
+        assert [r["percentile"] for r in scoring.ecdf_rank(rows, known).orderBy("i").collect()] == want
+    assert [r["percentile"] for r in scoring.ecdf_rank(rows, reference.limit(0)).orderBy("i").collect()] == [0.0, 0.1, 0.5, 0.9, 2.0, 0.5]
 
 
 def test_whitening_equals_numpy(spark):
