@@ -34,7 +34,7 @@ from .shared import stash
 from .tokens import _MARKS, PieceEncoder, _byte_letters, _is_plain, _little
 
 #: Bytes of text that make a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _END = 32
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _BLOCK = f"block long, docs array<struct<{_DOC.replace(' long', ': long').replace(' string', ': string')}>>, links binary, pairs array<long>, pair_links array<long>"
@@ -44,7 +44,7 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>").fullmatch
 class SpacedEncoder(PieceEncoder):
     """Ids of a space and the text, with special tokens' strings as plain text."""
 
-    def __init__(self, path: str, max_pieces: int = 200_000):
+    def __init__(self, path: str, max_pieces: int = 50_000):
         super().__init__(path, max_pieces)
         self._whole.encode_special_tokens = True
 
@@ -67,7 +67,7 @@ class WordEncoder(dict):
     single spaces are those of its words. Any other text goes to the model whole. Words that come again are kept, in two
     generations of at most max_words each."""
 
-    def __init__(self, path: str, max_words: int = 200_000):
+    def __init__(self, path: str, max_words: int = 50_000):
         super().__init__()
         from sentencepiece import SentencePieceProcessor
 
