@@ -330,3 +330,6 @@ FROM o"""
 SQL["stored_percentiles"] = """WITH e AS (SELECT event_id, round(value / 100, 2) AS score, floor(value / 10)::BIGINT / 10::DOUBLE AS tenth FROM events WHERE value IS NOT NULL),
 steps AS (SELECT tenth, sum(count(*)) OVER (ORDER BY tenth) AS n_le FROM e GROUP BY tenth)
 SELECT event_id, round(coalesce(n_le, 0) / (SELECT count(*) FROM e)::DOUBLE, 9) AS percentile FROM e ASOF LEFT JOIN steps ON e.score >= steps.tenth"""
+SQL["streamed_sequences"] = SQL["event_sequences"]
+SQL["appended_drift"] = """WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY])::TIMESTAMP AS start, event_type, value FROM events)
+SELECT start, event_type, count(*) AS n, round(avg((value >= 50)::INT), 6) AS flag_rate, round(avg(value), 6) AS mean_score FROM w GROUP BY ALL"""

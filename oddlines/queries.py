@@ -319,6 +319,38 @@ def streamed_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{place}/rows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("flag_rate", 6).alias("flag_rate"), F.round("mean_score", 6).alias("mean_score"))
 
 
+def _event_stream(spark: SparkSession, sf_dir: str, place: str) -> DataFrame:
+    """events as a stream of five files in order of time, a file at a time. The fourth holds the first one's rows again,
+    long after their time, and the last one a row of no user a year later, which lets all windows end."""
+    rows = _event_vectors(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_id").withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - low) * 3 / (high - low + 1))
+    end = spark.range(1).select(*[F.timestamp_micros(F.lit(high + 365 * 86_400_000_000)).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    for own in (rows.filter(part == 0), rows.filter(part == 1), rows.filter(part == 2), rows.filter(part == 0).withColumn("event_id", -F.col("event_id") - 1), end):
+        own.coalesce(1).write.mode("append").parquet(f"{place}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+
+
+def streamed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_sequences as a stream that carries each user's membranes from one micro-batch to the next."""
+    place = f"{shared_folder(spark)}/sequences-{uuid.uuid4().hex}"
+    found = jobs.carry_membranes(_event_stream(spark, sf_dir, place), TINY, "user_id", "ts", "event_id", "1 hour")
+    run = found.writeStream.outputMode("append").format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+    jobs.with_state_store(spark, run.start).awaitTermination()
+    kept = spark.read.schema(found.schema).parquet(f"{place}/out").filter("key IS NOT NULL")
+    return kept.select(F.col("key").alias("user_id"), F.col("order").alias("event_id"), F.round("score", 6).alias("score"))
+
+
+def appended_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift over windows of two days, a day apart, as a stream that gives each window out once, when it has ended."""
+    place = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    rows = _event_stream(spark, sf_dir, place).select("ts", "event_type", F.col("value").alias("score"), (F.col("value") >= 50).alias("flag"))
+    found = jobs.drift(rows, "ts", "event_type", "2 days", "1 day")
+    found.writeStream.outputMode("append").format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(found.schema).parquet(f"{place}/out").filter("event_type IS NOT NULL")
+    return kept.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("flag_rate", 6).alias("flag_rate"), F.round("mean_score", 6).alias("mean_score"))
+
+
 _CODE_HEAD = '"""Orders."""\nimport os\n\nRATE = 2\n\n\ndef helper(a, b):\n    try:\n        return a + b * RATE\n    except ValueError:\n        raise\n\n\ndef total_of(items'
 
 
@@ -552,7 +584,7 @@ QUERIES: dict[str, Query] = {
         split_counts, lexical_features, axes, linear_scores, percentile_flags, ecdf, team_weights, axis_p95, feature_correlations, whitening, moments, file_summaries, file_analyses, repo_rollup,
         top_repo_lines, summary_order, label_statistics, deviation_threshold, threshold_sweep, evaluation, accuracy_threshold, curated_sample, corpus_counts, histograms, first_events, binary_labels,
         marker_counts, marker_spans, clean_spans, drawn_negatives, balanced_samples, unpivoted_turns, span_checks, unflagged_files, changed_lines, review_lines, worse_functions, pr_summaries, pr_comments, pr_reports,
-        event_sequences, event_drift, streamed_drift, code_line_features, code_function_features, code_lineage, code_linear_scores, code_sequence_scores, code_function_scores, model_diagnostics, stored_percentiles, fitted_weights,
+        event_sequences, streamed_sequences, event_drift, streamed_drift, appended_drift, code_line_features, code_function_features, code_lineage, code_linear_scores, code_sequence_scores, code_function_scores, model_diagnostics, stored_percentiles, fitted_weights,
         read_corpus, read_json_lines, read_pairs, reports_as_json, repaired_code, listed_files, marked_texts, combined_sets, check_counts, kept_files, event_spikes, event_baselines, answered_submissions,
     )
 }

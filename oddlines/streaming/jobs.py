@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators import features, parse
 from ..operators.lif import Cells, Net, membrane_score
@@ -41,37 +40,88 @@ def serve_submissions(stream: DataFrame, place: str, score: Callable[[DataFrame]
     return stream.writeStream.foreachBatch(answer).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
 
 
-def carry_membranes(events: DataFrame, net: Net, key: str, at: str, order: str, delay: str = "10 minutes") -> DataFrame:
-    """key, order, score of events (key, at, order, vector) along each key in order of (at, order).
-
-    Events wait in the key's state until the watermark has passed them and are then scored in order; those that come
-    later than the watermark are dropped. State: the membranes and the waiting events of one key."""
-    rows = events.select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(order).alias("order"), F.col("vector").cast("array<double>").alias("vector")).withWatermark("at", delay)
-
-    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"mem1": None, "mem2": None, "wait": []}
-        mark = state.getCurrentWatermarkMs()
-        for frame in frames:
-            times = frame["at"].astype("datetime64[us]").astype("int64") // 1000
-            held["wait"] += [[int(t), int(o), list(map(float, v))] for t, o, v in zip(times, frame["order"], frame["vector"]) if t >= mark]
-        held["wait"].sort(key=lambda e: e[:2])
-        cells = Cells(net)
-        if held["mem1"] is not None:
-            cells.mem1, cells.mem2 = np.array(held["mem1"]), np.array(held["mem2"])
-        ready = [e for e in held["wait"] if e[0] < mark]
-        out = []
-        for _, o, v in ready:
-            cells.step(net.fc1 @ np.array(v))
-            out.append((group[0], o, membrane_score(cells)))
-        held = {"mem1": cells.mem1.tolist(), "mem2": cells.mem2.tolist(), "wait": held["wait"][len(ready) :]}
-        state.update((json.dumps(held),))
-        if held["wait"]:
-            state.setTimeoutTimestamp(max(held["wait"][0][0] + 1, mark + 1))
-        if out:
+class Membranes(StatefulProcessor):
+    """Scores of one key's events in order. Events wait in list state until the watermark has passed them; a timer then
+    scores what is ready and carries the membranes on in value state. A key starts anew after a long gap, and its
+    state goes when the watermark has passed that gap."""
+
+    def __init__(self, net: Net, idle_ms: int | None = None):
+        self.net, self.idle_ms = net, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cells = handle.getValueState("cells", "mem1 array<double>, mem2 array<double>, last bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, pos bigint, vector array<double>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        mark, first = timerValues.getCurrentWatermarkInMs(), None
+        for frame in rows:
+            at = frame["at"].astype("datetime64[us]").astype("int64")
+            own = (at >= 1000 * mark) & frame["vector"].notna()
+            kept = frame[own].assign(at=at[own])
+            if len(kept):
+                self.waiting.appendList([(int(t), int(o), [float(x) for x in v]) for t, o, v in zip(kept["at"], kept["pos"], kept["vector"])])
+                first = int(kept["at"].min()) if first is None else min(first, int(kept["at"].min()))
+        if first is not None:
+            self.handle.registerTimer(max(first // 1000, mark) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2]) if self.waiting.exists() else []
+        ready = [e for e in held if e[0] < 1000 * mark]
+        state = self.cells.get() if self.cells.exists() else None
+        if ready:
+            cells, out, last = Cells(self.net), [], None
+            if state is not None:
+                cells.mem1, cells.mem2, last = np.array(state[0]), np.array(state[1]), state[2]
+            for at, pos, vector in ready:
+                if self.idle_ms is not None and last is not None and at - last >= 1000 * self.idle_ms:
+                    cells = Cells(self.net)
+                last = at
+                cells.step(self.net.fc1 @ np.array(vector))
+                out.append((key[0], pos, membrane_score(cells)))
+            self.cells.update((cells.mem1.tolist(), cells.mem2.tolist(), ready[-1][0]))
+            rest = held[len(ready) :]
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(rest[0][0] // 1000 + 1)
+            else:
+                self.waiting.clear()
+                if self.idle_ms is not None:
+                    self.handle.registerTimer(max(ready[-1][0] // 1000 + self.idle_ms, mark + 1))
             yield pd.DataFrame(out, columns=["key", "order", "score"])
+        elif not held and state is not None and self.idle_ms is not None and state[2] // 1000 + self.idle_ms <= mark:
+            self.cells.clear()
 
+    def close(self) -> None:
+        pass
+
+
+def carry_membranes(events: DataFrame, net: Net, key: str, at: str, order: str, delay: str = "10 minutes", idle_ms: int | None = None) -> DataFrame:
+    """key, order, score of a stream of events (key, at, order, vector) along each key in order of (at, order); those that
+    come later than the watermark and those without a vector are dropped, a null order counts as -1. A key without events for idle_ms starts anew. To be started by
+    ``with_state_store``."""
+    rows = events.select(F.col(key).alias("key"), F.col(at).alias("at"), F.coalesce(order, F.lit(-1)).cast("long").alias("pos"), F.col("vector").cast("array<double>").alias("vector")).withWatermark("at", delay)
     kind = dict(rows.dtypes)["key"]
-    return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, `order` long, score double", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("key").transformWithStateInPandas(Membranes(net, idle_ms), f"key {kind}, `order` long, score double", "Append", "EventTime")
+
+
+def with_state_store(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """What start starts, with the state store that keyed state and timers need; the session's own setting comes back once
+    the query has taken it over."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return start()
+    finally:
+        spark.conf.set(name, own) if own else spark.conf.unset(name)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows a query has dropped, since they came after the watermark."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
 
 
 def drift(scored: DataFrame, at: str, by: str, width: str, slide: str | None = None, delay: str = "1 hour") -> DataFrame:

@@ -159,7 +159,8 @@ def test_stream_carries_membranes_like_a_batch(spark, tmp_path):
         out.extend(map(tuple, batch.collect()))
 
     def run():
-        jobs.carry_membranes(stream, net, "user", "ts", "event_id").writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        found = jobs.carry_membranes(stream, net, "user", "ts", "event_id").writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        jobs.with_state_store(spark, found.start).awaitTermination()
 
     # two files cut by time, the second one starting before the watermark of the first has gone far
     early = F.col("ts") < F.lit(start + timedelta(minutes=22))
@@ -170,6 +171,30 @@ def test_stream_carries_membranes_like_a_batch(spark, tmp_path):
     assert sorted((k, o, round(s, 9)) for k, o, s in out) == want
 
 
+def test_late_rows_are_dropped_and_idle_keys_forgotten(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start, net = datetime(2024, 1, 1), lif.random_net(1, 4, 2, 1)
+    at = lambda minutes: start + timedelta(minutes=minutes)
+    files = [[(1, at(0), 1), (1, at(1), 2), (2, at(1), 3), (None, at(2), 4)], [(1, at(90), 5), (2, at(40), 6)], [(1, at(2), 7), (3, at(300), 8)], [(1, at(310), None), (2, at(900), 9)], [(9, at(2000), 10)]]
+    for rows in files:
+        spark.createDataFrame([(*r, [0.8] if r[2] else None) for r in rows], "user long, ts timestamp, event_id long, vector array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user long, ts timestamp, event_id long, vector array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = []
+    found = jobs.carry_membranes(stream, net, "user", "ts", "event_id", "1 minute", idle_ms=60 * 60_000).writeStream.foreachBatch(lambda b, n: out.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "state"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    jobs.with_state_store(spark, found.trigger(availableNow=True).start).awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+    got = {o: (k, round(s, 9)) for k, o, s in out}
+    # 7 is late; 2's membranes have not been forgotten at minute 40, but at 900
+    assert set(got) == {1, 2, 3, 4, 5, 6, 8, 9}
+    cells, want = lif.Cells(net), []
+    for _ in range(2):
+        cells.step(net.fc1 @ np.array([0.8]))
+        want.append(round(lif.membrane_score(cells), 9))
+    assert got[1] == (1, want[0]) and got[2] == (1, want[1]) and got[3] == (2, want[0]) and got[6] == (2, want[1]) and got[9] == (2, want[0]) and got[4] == (None, want[0])
+
+
 CODE = "import os\n\n\nclass Box:\n    def put(self, item):\n        for part in item:\n            if part:\n                self.seen = os.path.join(part, helper(part, len(item), self.seen))\n        return self\n\n\ndef helper(a, b, c):\n    return a or b or c\n"
 
 
