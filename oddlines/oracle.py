@@ -333,3 +333,54 @@ SELECT event_id, round(coalesce(n_le, 0) / (SELECT count(*) FROM e)::DOUBLE, 9)
 SQL["streamed_sequences"] = SQL["event_sequences"]
 SQL["appended_drift"] = """WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY])::TIMESTAMP AS start, event_type, value FROM events)
 SELECT start, event_type, count(*) AS n, round(avg((value >= 50)::INT), 6) AS flag_rate, round(avg(value), 6) AS mean_score FROM w GROUP BY ALL"""
+_SQUASH = "(greatest(1 / (1 + exp(-4 * ({m} - 1))) - {r}, 0) / (1 - {r} + 1e-6::DOUBLE))"
+_OVER = "(greatest(({m} > 1)::INT - {r}, 0) / (1 - {r}))"
+_RATED = (("a", "0.25::DOUBLE"), ("b", "0.125::DOUBLE"), ("c", "0.375::DOUBLE"))
+_EXCESS = {kind: [shape.format(m=m, r=r) for m, r in _RATED] for kind, shape in (("membrane", _SQUASH), ("spike", _OVER))}
+SQL["event_excess"] = f"""{_CELLS}
+SELECT event_id, round(least(1, 0.25::DOUBLE * ({_EXCESS["membrane"][0]} + {_EXCESS["membrane"][1]}) + 0.5::DOUBLE * {_EXCESS["membrane"][2]}), 6)::DOUBLE AS membrane,
+  round(least(1, 0.3::DOUBLE * ({_EXCESS["spike"][0]} + {_EXCESS["spike"][1]}) + 0.4::DOUBLE * {_EXCESS["spike"][2]}), 6)::DOUBLE AS spike FROM r"""
+# 25 steps; bits 1 and 2 of a step come from the first 32-bit words of one md5
+SQL["isolated_events"] = """WITH RECURSIVE e AS (
+  SELECT event_id, least(greatest(value / 100, 0), 1) AS x, (event_type = 'error')::INT::DOUBLE AS y FROM events
+), d AS (
+  SELECT event_id, t, (('0x' || substr(h, 1, 8))::BIGINT / 4294967296::DOUBLE < x)::INT AS u, (('0x' || substr(h, 9, 8))::BIGINT / 4294967296::DOUBLE < y)::INT AS v
+  FROM (SELECT *, md5('7:' || event_id || ':' || t || ':0') AS h FROM e, (SELECT unnest(range(25)) AS t))
+), r AS (
+  SELECT event_id, -1::BIGINT AS t, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, 0::DOUBLE AS total FROM e
+  UNION ALL
+  SELECT event_id, t, a, b, c, total + (0.5::DOUBLE + t / 48::DOUBLE) * (0.35::DOUBLE * ((a > 1)::INT + (b > 1)::INT) + 0.3::DOUBLE * (c > 1)::INT) FROM (
+    SELECT event_id, t, total, a, b, 0.9::DOUBLE * pc + 0.7::DOUBLE * (a > 1)::INT + 0.6::DOUBLE * (b > 1)::INT - (pc > 1)::INT AS c FROM (
+      SELECT d.event_id, d.t, r.total, r.c AS pc, 0.9::DOUBLE * r.a + (0.9::DOUBLE * u + 0.3::DOUBLE * v) - (r.a > 1)::INT AS a, 0.9::DOUBLE * r.b + (0.2::DOUBLE * u + 0.8::DOUBLE * v) - (r.b > 1)::INT AS b
+      FROM r JOIN d ON d.event_id = r.event_id AND d.t = r.t + 1))
+)
+SELECT event_id, round(least(1, total / 18.75::DOUBLE), 6)::DOUBLE AS score FROM r WHERE t = 24"""
+SQL["whitened_covariance"] = " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", {float(a == b)}::DOUBLE AS covariance" for i, a in enumerate(_LEXICAL) if i for b in _LEXICAL[i:])
+
+
+def _fitted(passes: int) -> str:
+    """One recursion along all users' events for each pass, with traces; each pass reads the weights of the one before."""
+    w = ("w00", "w01", "w10", "w11", "v0", "v1")
+    fade, parts = "exp(-1 / 20::DOUBLE)", []
+    start = dict(zip(w, (0.9, 0.3, 0.2, 0.8, 0.7, 0.6)))
+    parts.append("""e AS (
+  SELECT user_id, least(greatest(value / 100, 0), 1) AS x, (event_type = 'error')::INT::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
+), n AS (SELECT count(DISTINCT user_id) + max((user_id IS NULL)::INT) AS n FROM events)""")
+    parts.append("g0 AS (SELECT " + ", ".join(f"{v}::DOUBLE AS {name}" for name, v in start.items()) + ")")
+    # potentiation: a spike times the trace before it; depression: a trace after times the input
+    sums = {"w00": ("sa * px", "qa * x"), "w01": ("sa * py", "qa * y"), "w10": ("sb * px", "qb * x"), "w11": ("sb * py", "qb * y"), "v0": ("sc * qa", "qc * sa"), "v1": ("sc * qb", "qc * sb")}
+    for p in range(passes):
+        parts.append(f"""r{p} AS (
+  SELECT user_id, 0::BIGINT AS k, 0::DOUBLE AS x, 0::DOUBLE AS y, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, 0 AS sa, 0 AS sb, 0 AS sc, 0::DOUBLE AS px, 0::DOUBLE AS py, 0::DOUBLE AS qa, 0::DOUBLE AS qb, 0::DOUBLE AS qc FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, x, y, a, b, c, sa, sb, (c > 1)::INT, px * {fade} + x, py * {fade} + y, qa * {fade} + sa, qb * {fade} + sb, qc * {fade} + (c > 1)::INT FROM (
+    SELECT user_id, k, x, y, a, b, 0.9::DOUBLE * pc + (v0 * (a > 1)::INT + v1 * (b > 1)::INT) - (pc > 1)::INT AS c, (a > 1)::INT AS sa, (b > 1)::INT AS sb, px, py, qa, qb, qc FROM (
+      SELECT e.user_id, e.k, e.x, e.y, 0.9::DOUBLE * r.a + (w00 * e.x + w01 * e.y) - (r.a > 1)::INT AS a, 0.9::DOUBLE * r.b + (w10 * e.x + w11 * e.y) - (r.b > 1)::INT AS b, r.c AS pc, v0, v1, px, py, qa, qb, qc
+      FROM r{p} r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.k = r.k + 1, g{p}))
+), g{p + 1} AS (
+  SELECT """ + ", ".join(f"least(greatest(any_value({name}) * 0.999::DOUBLE + (0.005::DOUBLE * sum({pot}) - 0.02::DOUBLE * sum({dep}) * any_value({name})) / any_value(n), 0), 1) AS {name}" for name, (pot, dep) in sums.items()) + f" FROM r{p}, g{p}, n WHERE k > 0)")
+    cells = ((0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 0, 1))
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT {layer} AS layer, {i} AS i, {j} AS j, round({name}, 6) AS weight FROM g{passes}" for (layer, i, j), name in zip(cells, w))
+
+
+SQL["fitted_weights"] = _fitted(6)

@@ -455,9 +455,8 @@ def stored_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of a small net after six passes of plasticity over the events of all users."""
-    rows = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.array(F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)), (F.col("event_type") == "error").cast("double")).alias("vector"))
-    net = lif.fit(rows, TINY, "user_id", ["ts", "event_id"])
-    cells = [(layer, i, j, round(float(w[i, j]), 9)) for layer, w in enumerate((net.fc1, net.fc2)) for i, j in np.ndindex(*w.shape)]
+    net = lif.fit(_event_vectors(spark, sf_dir), TINY, "user_id", ["ts", "event_id"])
+    cells = [(layer, i, j, round(float(w[i, j]), 6)) for layer, w in enumerate((net.fc1, net.fc2)) for i, j in np.ndindex(*w.shape)]
     return spark.createDataFrame(cells, "layer int, i int, j int, weight double")
 
 
@@ -561,6 +560,32 @@ def event_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "event_id", F.round("score", 6).alias("score"))
 
 
+def event_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membrane and spike scores of the tiny net over fixed firing rates."""
+    net = lif.Net(TINY.fc1, TINY.fc2, np.array([0.25, 0.125]), np.array([0.375]))
+    rows, order = written(_event_vectors(spark, sf_dir), "events"), ["ts", "event_id"]
+    both = [lif.score_sequences(rows, net, "user_id", order, mode=m).select("event_id", F.round("score", 6).alias(m)) for m in ("membrane", "spike")]
+    return both[0].join(both[1], "event_id")
+
+
+def isolated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate-coded scores of the tiny net for each event by itself."""
+    return lif.isolated_scores(_event_vectors(spark, sf_dir), TINY, ["event_id"]).select("event_id", F.round("score", 6).alias("score"))
+
+
+def whitened_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariances of whitened features before they are clamped, in units of their mean variance: the identity."""
+    names = _LEXICAL[1:]  # documents have no nesting
+    rows = vectors(spark, sf_dir).select(*names)
+    mean, w = lif.fit_whitening(rows, list(names))
+    made = rows.select(*[sum((F.col(f) - float(m)) * float(x) for f, m, x in zip(names, mean, row)).alias(f) for f, row in zip(names, w)])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    one = made.agg(*[F.covar_samp(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    unit = sum(F.col(f"{f}|{f}") for f in names) / len(names)
+    listed = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), (F.round(F.col(f"{a}|{b}") / unit, 4) + 0.0).alias("covariance")) for a, b in pairs])
+    return one.select(F.explode(listed).alias("x")).select("x.*")
+
+
 def event_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lif.baselines(_event_vectors(spark, sf_dir), TINY, "user_id", ["ts", "event_id"]).select("layer", "neuron", F.round("rate", 9).alias("rate"))
 
@@ -585,6 +610,6 @@ QUERIES: dict[str, Query] = {
         top_repo_lines, summary_order, label_statistics, deviation_threshold, threshold_sweep, evaluation, accuracy_threshold, curated_sample, corpus_counts, histograms, first_events, binary_labels,
         marker_counts, marker_spans, clean_spans, drawn_negatives, balanced_samples, unpivoted_turns, span_checks, unflagged_files, changed_lines, review_lines, worse_functions, pr_summaries, pr_comments, pr_reports,
         event_sequences, streamed_sequences, event_drift, streamed_drift, appended_drift, code_line_features, code_function_features, code_lineage, code_linear_scores, code_sequence_scores, code_function_scores, model_diagnostics, stored_percentiles, fitted_weights,
-        read_corpus, read_json_lines, read_pairs, reports_as_json, repaired_code, listed_files, marked_texts, combined_sets, check_counts, kept_files, event_spikes, event_baselines, answered_submissions,
+        read_corpus, read_json_lines, read_pairs, reports_as_json, repaired_code, listed_files, marked_texts, combined_sets, check_counts, kept_files, event_spikes, event_excess, isolated_events, whitened_covariance, event_baselines, answered_submissions,
     )
 }

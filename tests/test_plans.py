@@ -142,6 +142,41 @@ def test_sequences_do_not_depend_on_partitions(spark):
     assert lif.fit_whitening(df.select(*[F.col("vector")[i].alias(f"v{i}") for i in range(3)]).limit(50), ["v0", "v1", "v2"]) is None
 
 
+def test_lockstep_equals_single_steps_over_any_batches():
+    rng = np.random.default_rng(12)
+    net = lif.random_net(5, 16, 6, 3)
+    keys = [k for k in range(40) for _ in range(int(rng.integers(1, 30)))]
+    inputs = rng.random((len(keys), 5)) * 2
+    want, last, cells = [], None, None
+    for k, x in zip(keys, inputs):
+        if k != last:
+            last, cells = k, lif.Cells(net)
+        cells.step(net.fc1 @ x)
+        want.append(lif.membrane_score(cells))
+    for size in (1, 7, 100, len(keys)):
+        lock, got = lif.Lockstep(net), np.zeros(len(keys))
+        for at in range(0, len(keys), size):
+            for rows, state, _, _ in lock.steps(keys[at : at + size], inputs[at : at + size]):
+                got[at + rows] = lif._membranes(net, state[0], state[1])
+        assert np.allclose(got, want) and lock.sequences == 40
+
+
+def test_fit_shuffles_its_sequences_once(spark):
+    df = spark.createDataFrame([(k, i, [0.5, 0.1]) for k in range(6) for i in range(4)], "key long, i long, vector array<double>")
+    kept = lif.laid_out(df, "key", ["i"])
+    plan = lif._partial(kept, lif.random_net(2, 3, 2, 4), fit=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(layer" in plan  # of sums only
+
+
+def test_draws_do_not_hang_on_layout(spark):
+    df = spark.range(200).select("id", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.9, 1.0)]).alias("v"))
+    draws = [df.repartition(n).select("id", lif.rate_coded(["id"], F.col("v"), 5, 25, 7).alias("d")) for n in (1, 5)]
+    one, many = (sorted(map(tuple, d.collect())) for d in draws)
+    assert one == many
+    share = [np.mean([(x >> f) & 1 for _, d in one for x in d]) for f in range(5)]
+    assert share[0] == 0 and share[4] == 1 and np.allclose(share[1:4], [0.25, 0.5, 0.9], atol=0.03)
+
+
 def test_stream_carries_membranes_like_a_batch(spark, tmp_path):
     from datetime import datetime, timedelta
 
