@@ -10,8 +10,9 @@ equal priors.
 
 Training takes a bounded sample of the labelled documents: of each language's distinct texts, chosen by a hash of the
 text, about ``max_train_docs`` texts and ``max_train_chars`` characters at most, and one in any case. One task builds one
-language's tree, of at most ``max_nodes`` (context, byte) pairs of three bytes of context or more; the trees (12 bytes a
-pair) go to the executors as one broadcast. Texts are scored whole, in slices, so memory does not grow with them.
+language's tree, which these bounds keep small: 12 bytes a (context, byte) pair and 1 kB, some 10 kB for a label of one
+short text. The trees go to the executors as one broadcast. Texts are scored whole, in slices, so memory does not grow
+with them.
 
 Defined results: a null text, a text without a letter and any text where nothing was learnt get ``und`` with score 0;
 ties go to the smaller language name; repeated rows get the same result each; an empty table gives an empty result; a null
@@ -80,37 +81,26 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
 
 
-def _dense(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities (contexts x 256) of a context's next byte from its counts and the shorter context's probabilities."""
-    n, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-    seen = counts > 0
-    left = np.where(seen, 0, lower)
-    total = left.sum(axis=1, keepdims=True)
-    escape = np.where(total > 0, kinds / np.maximum(n + kinds, 1), 0)
-    out = np.where(seen, counts * (1 - escape) / np.maximum(n, 1), left * escape / np.where(total > 0, total, 1))
-    return np.where(n > 0, out, lower)
-
-
 @dataclass(frozen=True)
 class Tree:
-    """Code lengths in bits. short: of a byte (low 8 bits) after one byte (high 8 bits). nodes, contexts: for each order
-    from 2 to DEPTH sorted keys and code lengths, of (context, byte) pairs and of a context's escape."""
+    """Code lengths in bits. base: of a byte without context. nodes, contexts: for each order from 1 to DEPTH sorted keys and
+    code lengths, of (context, byte) pairs and of a context's escape."""
 
-    short: np.ndarray
+    base: np.ndarray
     nodes: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
         out, open_ = np.zeros(len(keys), np.float32), np.arange(len(keys))
-        for order in range(DEPTH, 1, -1):
+        for order in range(DEPTH, 0, -1):
             left = keys[open_]
             context = _context(left, order)
-            at, hit = _find(self.nodes[order - 2][0], _coded(context, left))
-            out[open_[hit]] += self.nodes[order - 2][1][at[hit]]
+            at, hit = _find(self.nodes[order - 1][0], _coded(context, left))
+            out[open_[hit]] += self.nodes[order - 1][1][at[hit]]
             open_, context = open_[~hit], context[~hit]
-            at, hit = _find(self.contexts[order - 2][0], context)
-            out[open_[hit]] += self.contexts[order - 2][1][at[hit]]
-        out[open_] += self.short[_coded(_context(keys[open_], 1), keys[open_]).astype(np.int64)]
+            at, hit = _find(self.contexts[order - 1][0], context)
+            out[open_[hit]] += self.contexts[order - 1][1][at[hit]]
+        out[open_] += self.base[(keys[open_] & np.uint64(255)).astype(np.int64)]
         return out
 
 
@@ -119,35 +109,29 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(at, n, len(found))
 
 
-def build_tree(keys: np.ndarray, n: np.ndarray, grow: int = 4, max_nodes: int = 400_000) -> Tree:
+def build_tree(keys: np.ndarray, n: np.ndarray, grow: int = 4) -> Tree:
     """The tree of counted keys (as keys_of gives them)."""
-    levels, kept = [], None
-    while kept is None or kept > max_nodes:
-        grow, kept, levels = grow * (1 if kept is None else 2), 0, []
-        for order in range(2, DEPTH + 1):
-            code, c = _summed(_coded(_context(keys, order), keys), n)
-            context, at, kinds = np.unique(code >> np.uint64(8), return_inverse=True, return_counts=True)
-            total = np.bincount(at, c, len(context))
-            stays = total >= (grow if order > 2 else 1)
-            kept += int(stays[at].sum()) if order > 2 else 0
-            own = np.cumsum(stays) - 1
-            levels.append((code[stays[at]], c[stays[at]], own[at][stays[at]], context[stays], total[stays], kinds[stays]))
-    one = np.zeros((256, 256))
-    pair, c = _summed(_coded(_context(keys, 1), keys), n)
-    one[(pair >> np.uint64(8)).astype(int), (pair & np.uint64(255)).astype(int)] = c
-    first = _dense(one, np.repeat(_dense(one.sum(axis=0)[None, :], np.full((1, 256), 1 / 256)), 256, axis=0))
+    counts = np.bincount((keys & np.uint64(255)).astype(np.int64), n, 256)
+    kinds = np.count_nonzero(counts)
+    escape = kinds / (counts.sum() + kinds) if 0 < kinds < 256 else 0.0
+    base = np.where(counts > 0, counts * (1 - escape) / max(counts.sum(), 1), escape / max(256 - kinds, 1)) if kinds else np.full(256, 1 / 256)
     nodes, contexts = [], []
-    for order, (code, c, own, context, total, kinds) in enumerate(levels, 2):
-        share = c / (total + kinds)[own]
+    for order in range(1, DEPTH + 1):
+        code, c = _summed(_coded(_context(keys, order), keys), n)
+        context, at, kinds = np.unique(code >> np.uint64(8), return_inverse=True, return_counts=True)
+        total = np.bincount(at, c, len(context))
+        stays = total >= (grow if order > 2 else 1)
+        own = (np.cumsum(stays) - 1)[at][stays[at]]
+        code, c, context, total, kinds = code[stays[at]], c[stays[at]], context[stays], total[stays], kinds[stays]
         shorter = _coded(code >> np.uint64(16), code)
-        if order == 2:
-            below = first.ravel()[shorter.astype(np.int64)]
+        if order == 1:
+            below = base[(code & np.uint64(255)).astype(np.int64)]
         else:  # a symbol seen after a context was seen after the shorter one, which is kept where the longer one is
             below = np.exp2(-nodes[-1][1][_find(nodes[-1][0], shorter)[0]].astype(np.float64))
         left = np.maximum(1 - np.bincount(own, below, len(context)), 1e-9)
-        nodes.append((code, -np.log2(share).astype(np.float32)))
+        nodes.append((code, -np.log2(c / (total + kinds)[own]).astype(np.float32)))
         contexts.append((context, (np.log2(left) - np.log2(kinds / (total + kinds))).astype(np.float32)))
-    return Tree(-np.log2(first).astype(np.float32).ravel(), nodes, contexts)
+    return Tree(-np.log2(base).astype(np.float32), nodes, contexts)
 
 
 @dataclass(frozen=True)
@@ -205,9 +189,9 @@ def _sample(rows: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
     return met.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
-def train(rows: DataFrame, max_train_docs: int = 2_000, max_train_chars: int = 4_000_000, grow: int = 4, max_nodes: int = 400_000) -> Model:
+def train(rows: DataFrame, max_train_docs: int = 2_000, max_train_chars: int = 4_000_000, grow: int = 4) -> Model:
     """The model of rows (text, lang); those with a null are left out."""
-    rows = modest_batches(rows).filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
+    rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,12 +201,13 @@ def train(rows: DataFrame, max_train_docs: int = 2_000, max_train_chars: int = 4
                     yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(keys)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
     def build(group: pa.Table) -> pa.Table:
-        tree = build_tree(group["code"].to_numpy().view(np.uint64), group["n"].to_numpy().astype(np.float64), grow, max_nodes)
+        tree = build_tree(group["code"].to_numpy().view(np.uint64), group["n"].to_numpy().astype(np.float64), grow)
         return pa.table({"lang": group["lang"][:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     counted = _sample(rows, max_train_docs, max_train_chars).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # a group is one language's counts, at most max_train_chars rows or a single text's; the driver gets a tree a language
-    found = sorted(counted.groupBy("lang").applyInArrow(build, "lang string, tree binary").collect())
+    with modest_batches(rows.sparkSession):
+        found = sorted(counted.groupBy("lang").applyInArrow(build, "lang string, tree binary").collect())
     return Model([r["lang"] for r in found], [pickle.loads(r["tree"]) for r in found])
 
 
@@ -230,7 +215,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """doc_id, lang_pred, score and the columns named in keep, which may name the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in keep if c != text_col]
-    rows = modest_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *others)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *others)
     types = {f.name: f.dataType.simpleString() for f in docs.select(*keep).schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -319,7 +319,12 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest linked doc_id) and kept."""
-    docs = modest_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    with modest_batches(docs.sparkSession):
+        return _near_duplicates(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text")), hub_rounds)
+
+
+def _near_duplicates(docs: DataFrame, hub_rounds: int) -> DataFrame:
+    # all that goes to Python is written before this returns
     rows = stash(_sketched(docs), "sketches")
     # a class is named by its smallest id
     full = rows.filter("key IS NOT NULL")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import modest_batches
+from .shared import small_batches
 from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int =
         encode = encoder(tokenizer_path).encode
 
         def rows() -> Iterator[tuple[int, bytes]]:
-            for batch in batches:
+            for batch in small_batches(batches, 256):
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     yield doc, encode(text.as_py()) + end
 
@@ -131,11 +131,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int =
                 out.append((doc, start, length, total, base + n, at, ids))
                 at += length
             held += at
-            if held >= 1 << 20:
+            if held >= 1 << 18:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
                 out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
 
-    rows = modest_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, SCHEMA)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,16 +112,21 @@ def numbered(df: DataFrame, label: str, name: str, columns: tuple[str, ...]) ->
     return placed.join(order, "_path").select(*columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_at")).alias(name))
 
 
-def modest_batches(df: DataFrame) -> DataFrame:
-    """df, whose session sends at most 1,024 rows or some 4 MB of it to Python at once. What crosses is held several times
-    over (in the JVM's buffers, on the way, in the worker), by each task of an executor, and Spark has this setting for a
-    session only. A session that asks for less keeps its own."""
-    conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", 1024), ("maxBytesPerBatch", 4 << 20)):
-        own = _bytes(conf.get(f"spark.sql.execution.arrow.{name}", None))
-        if own <= 0 or own > most:
-            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-    return df
+@contextmanager
+def modest_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, the session sends at most 1,024 rows or some 4 MB to Python at once, since what crosses is held several
+    times over (in the JVM's buffers, on the way, in the worker) by each task. For jobs that end within it: Spark has this
+    setting for a session only, which gets its own back. A session that asks for less keeps it."""
+    names = {f"spark.sql.execution.arrow.{name}": most for name, most in (("maxRecordsPerBatch", 1024), ("maxBytesPerBatch", 4 << 20))}
+    own = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, most in names.items():
+            if not 0 < _bytes(own[name]) <= most:
+                spark.conf.set(name, str(most))
+        yield
+    finally:
+        for name, value in own.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _bytes(value: str | None) -> int:

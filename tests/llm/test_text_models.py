@@ -53,7 +53,7 @@ def test_code_lengths_equal_a_plain_ppm():
             assert abs(np.exp2(-tree.costs(keys).astype(float)).sum() - 1) < 1e-4
 
 
-def test_slices_add_up_and_trees_are_bounded(monkeypatch):
+def test_slices_add_up_and_small_trees_are_small(monkeypatch):
     rnd = random.Random(4)
     text = " ".join("".join(rnd.choices("abcdefé", k=rnd.randint(1, 9))) for _ in range(3000))
     tree = _tree([text])
@@ -61,8 +61,8 @@ def test_slices_add_up_and_trees_are_bounded(monkeypatch):
     monkeypatch.setattr(langid, "_SLICE", 100)
     parts = langid.Model(["x"], [tree]).code_lengths([text, "abc", text])
     assert np.allclose(whole, parts) and abs(whole[0, 0] - whole[2, 0]) < 1e-6
-    small = _tree([text], max_nodes=500)
-    assert sum(len(k) for k, _ in small.nodes[1:]) <= 500 < sum(len(k) for k, _ in tree.nodes[1:])
+    small = _tree(["One short text of a label that nobody else has."])
+    assert sum(x.nbytes for pair in [*small.nodes, *small.contexts] for x in pair) + small.base.nbytes < 20_000
 
 
 def test_small_languages_and_copies_stay_in_the_model(spark):
