@@ -36,11 +36,11 @@ from .shared import hot_join, numbered, small_batches, stash
 LENGTH = 100
 GRAM = 24
 #: Bytes of contexts that are sorted at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Contexts of one anchor that go to one place.
 HOT = 4096
-#: Bytes of texts that are looked at at once; below 2 ** 24, which an anchor's place has to fit.
-PIECE = 1 << 20
+#: Bytes of texts that are looked at at once, few enough for a processor's cache; below 2 ** 24, which an anchor's place has to fit.
+PIECE = 1 << 17
 _PLACE = np.uint64((1 << 24) - 1)
 _ANCHOR = "key long, row long, lo long, stretches long"
 _CONTEXT = "key long, place long, places long, context binary, doc_id long, row long, lo long"
