@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,17 +26,49 @@ def seeded(*parts: Column | str, seed: int = 42) -> Column:
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (file_id, line, …) with the shortest span (file_id, span_id, start, end) around them, ties to the smaller
-    span_id; points without one are dropped. Spans are laid out by lines, so that the join is one of equal keys."""
-    laid = spans.select("file_id", "span_id", "start", "end", F.explode(F.sequence("start", "end")).alias("line"))
-    best = laid.groupBy("file_id", "line").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("length"), "span_id", "start", "end")).alias("span"))
-    return points.join(best, ["file_id", "line"]).select(*points.columns, F.col("span.span_id"), F.col("span.start"), F.col("span.end"))
+    span_id; points without one are dropped.
+
+    One sweep over each file's starts and points in order, with the open spans on a heap: the shortest is on top, and spans
+    that have ended leave when they get there. State is the spans that are open at one line, not a row for each line."""
+    ids, others = dict(spans.dtypes)["span_id"], [c for c in points.columns if c not in ("file_id", "line")]
+    none = lambda df, c, to: F.lit(None).cast(dict(df.dtypes)[c]).alias(to)
+    starts = spans.select("file_id", F.col("start").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("end").cast("long").alias("_end"), F.col("span_id").alias("_span"), none(points, "line", "line"), *[none(points, c, c) for c in others])
+    met = points.select("file_id", F.col("line").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), F.lit(None).cast(ids).alias("_span"), "line", *others)
+    rows = starts.unionByName(met).repartition("file_id").sortWithinPartitions("file_id", "_at", "_kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held = object(), []
+        for batch in batches:
+            kept, found = [], []
+            for i, (f, at, kind, end, span) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("file_id", "_at", "_kind", "_end", "_span")])):
+                if f != file:
+                    file, held = f, []
+                if kind == 0:
+                    heapq.heappush(held, (end - at, span, at, end))
+                    continue
+                while held and held[0][3] < at:
+                    heapq.heappop(held)
+                if held:
+                    kept.append(i)
+                    found.append(held[0])
+            own = batch.take(pa.array(kept, pa.int64()))
+            types = [batch.schema.field("_span").type, pa.int32(), pa.int32()]
+            made = [pa.array([x[j] for x in found], t) for j, t in zip((1, 2, 3), types)]
+            yield pa.RecordBatch.from_arrays([*[own.column(c) for c in points_columns], *made], names=[*points_columns, "span_id", "start", "end"])
+
+    points_columns = points.columns
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema], f"span_id {ids}, start int, `end` int"])
+    return rows.mapInArrow(run, schema)
 
 
 def clean_spans(spans: DataFrame, points: DataFrame) -> DataFrame:
-    """Spans that hold none of the points."""
-    laid = spans.select("file_id", "span_id", F.explode(F.sequence("start", "end")).alias("line"))
-    hit = laid.join(points.select("file_id", "line"), ["file_id", "line"], "left_semi").select("file_id", "span_id").distinct()
-    return spans.join(hit, ["file_id", "span_id"], "left_anti")
+    """Spans that hold none of the points: the first point from a span's start on lies after its end. One sort of each
+    file's starts and points, backwards."""
+    starts = spans.select("file_id", F.col("start").alias("_at"), F.lit(None).cast("int").alias("_point"), F.struct(*spans.columns).alias("_span"))
+    met = points.select("file_id", F.col("line").cast(dict(spans.dtypes)["start"]).alias("_at"), F.col("line").cast("int").alias("_point"), F.lit(None).cast(starts.schema["_span"].dataType).alias("_span"))
+    from_here = Window.partitionBy("file_id").orderBy(F.desc("_at"), F.col("_point").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nearest = starts.unionByName(met).withColumn("_next", F.last("_point", ignorenulls=True).over(from_here))
+    return nearest.filter(F.col("_span").isNotNull() & (F.col("_next").isNull() | (F.col("_next") > F.col("_span.end")))).select("_span.*")
 
 
 def negatives(positives: DataFrame, clean: DataFrame, seed: int = 42) -> DataFrame:

@@ -142,6 +142,46 @@ def test_sequences_do_not_depend_on_partitions(spark):
     assert lif.fit_whitening(df.select(*[F.col("vector")[i].alias(f"v{i}") for i in range(3)]).limit(50), ["v0", "v1", "v2"]) is None
 
 
+def test_innermost_and_clean_spans_equal_brute_force(spark):
+    rnd = random.Random(5)
+    spans = []
+    for f in ("a", "b", None):
+        for i in range(60):
+            start = rnd.randint(1, 80)
+            spans.append((f, i, start, start + rnd.choice([0, 1, 3, 30])))
+    points = [(rnd.choice(["a", "b", "c", None]), rnd.randint(1, 120), f"m{i}") for i in range(90)]
+    s = spark.createDataFrame(spans, "file_id string, span_id long, start int, end int")
+    p = spark.createDataFrame(points, "file_id string, line int, marker string")
+    want = []
+    for f, line, m in points:
+        around = [(e - b, i, b, e) for g, i, b, e in spans if g == f and b <= line <= e]
+        if around:
+            want.append((f, line, m, *min(around)[1:]))
+    found = labels.innermost(p, s)
+    assert found.columns == ["file_id", "line", "marker", "span_id", "start", "end"]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key) and len(want) > 40
+    clean = [x for x in spans if not any(g == x[0] and x[2] <= line <= x[3] for g, line, _ in points)]
+    assert sorted(map(tuple, labels.clean_spans(s, p).collect()), key=key) == sorted(clean, key=key) and clean
+
+
+@pytest.mark.parametrize("layout", [{}, {"indent": 1}, {"separators": (",", ":")}, {"ensure_ascii": False}])
+def test_one_large_array_is_read_in_parts(spark, tmp_path, layout):
+    import json
+
+    rnd = random.Random(7)
+    texts = ["", '"', "\\", '\\"', 'x", ', '", "', "a\nb\\\\", "é中\u2028", "[1, {}]", "'"] + ["".join(rnd.choices('ab"\\\n ,[]é', k=rnd.randint(0, 40))) for _ in range(400)]
+    (tmp_path / "c.json").write_text(json.dumps(texts, **layout), encoding="utf-8")
+    own = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        read = files.json_corpus(spark, str(tmp_path / "c.json"))
+        assert [r["code"] for r in read.orderBy("pos").collect()] == texts
+        assert spark.read.option("lineSep", '"').text(str(tmp_path / "c.json")).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", own)
+
+
 def test_lockstep_equals_single_steps_over_any_batches():
     rng = np.random.default_rng(12)
     net = lif.random_net(5, 16, 6, 3)
