@@ -412,6 +412,54 @@ def test_totals_and_quantiles_over_ranges(spark):
         assert r["n"] == len(own) and abs(r["p95"] - np.percentile(own, 95)) < 1e-9 and r["p50_low"] == own[(len(own) - 1) // 2]
 
 
+def test_review_by_the_net_with_function_scores_of_their_own(spark):
+    from oddlines.operators import features, parse
+    from oddlines.plans import model
+    from oddlines.queries import _CLASS_HEAD, _CLASS_TAIL
+
+    item = "            if item.part == 7:\n                self.seen[1] = note(self.total)\n"
+    old, new = _CLASS_HEAD + item + _CLASS_TAIL, _CLASS_HEAD + 3 * item + _CLASS_TAIL
+    sides = lambda *rows: spark.createDataFrame(rows, "pr_id long, path string, code string")
+    head, base = sides((1, "a.py", new), (1, "b.py", CODE), (2, "a.py", new), (2, "gone.py", CODE)), sides((1, "a.py", old), (1, "b.py", CODE), (2, "a.py", old), (2, "gone.py", CODE))
+    diff = "--- a/a.py\n+++ b/a.py\n@@ -14,0 +15,4 @@\n+" + (2 * item).rstrip("\n").replace("\n", "\n+") + "\n"
+    diffs = spark.createDataFrame([(1, diff), (2, diff)], "pr_id long, diff string")
+    status = spark.createDataFrame([(2, "a.py", "added"), (2, "gone.py", "removed")], "pr_id long, path string, status string")
+    lines = features.line_features(parse.parse_files(spark.createDataFrame([("new", new), ("old", old)], "file_id string, code string")), context=True).persist()
+    net, reference = model.calibrate(lines, lif.random_net(13, 8, 4, 3))
+    reference = spark.createDataFrame(reference.collect())
+    known = {(r["file_id"], r["function"]): r["function_score"] for r in model.function_scores(lines, net, reference).collect()}
+    comments, worse, summaries = review.review_changes(
+        diffs, head, base, lambda rows: model.sequence(rows, net, reference, threshold=0.0), 0.0, -1.0, 10, 10, lambda rows, keep: model.function_scores(rows, net, reference, keep=keep), status
+    )
+    told = {(r["pr_id"], r["line"]): r["body"] for r in comments.collect()}
+    assert set(told) == {(p, i) for p in (1, 2) for i in range(15, 19)}
+    score, before = known["new", "fill"], known["old", "fill"]
+    assert all(f"function-level score `{score:.2f}`" in body and "Inside `fill`" in body for body in told.values())
+    # of an added file nothing is known from before
+    assert all(("before your changes" in body) == (p == 1) for (p, _), body in told.items())
+    moved = {(r["pr_id"], r["path"], r["function"]): (r["function_score"], r["function_score_before"]) for r in worse.collect()}
+    assert moved[1, "a.py", "fill"] == (score, before) and {k[:2] for k in moved} == {(1, "a.py"), (1, "b.py")}
+    assert {r["pr_id"]: r["files_touched"] for r in summaries.collect()} == {1: 2, 2: 1}
+    lines.unpersist()
+
+
+def test_a_folder_is_scanned_in_one_call(spark, tmp_path):
+    from oddlines.plans import model
+    from oddlines.plans.scan import scan
+
+    for name, code in (("a.py", CODE), ("pkg/b.py", "def f(:\n    pass\n"), ("pkg/empty.py", ""), ("pkg/deep.py", "-" * 200_000 + "1"), ("dist/c.py", CODE), ("notes.txt", "x")):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text(code)
+    good, bad = files.source_tree(spark, str(tmp_path / "t"))
+    found = scan(good.withColumn("repo", F.lit("t")), bad, lambda rows: model.linear(rows, 0.3))
+    summaries = {r["path"]: (r["n_lines"], r["n_flagged"]) for r in found.summaries.collect()}
+    assert summaries == {"a.py": (8, 1), "pkg/b.py": (2, 1)}
+    top = {(r["path"], r["line"]): r for r in found.top.collect()}
+    assert set(top) == {("a.py", 8), ("pkg/b.py", 1)} and top["pkg/b.py", 1]["rank"] == 1 and top["a.py", 8]["context"]["function"] == "put"
+    assert [(r["path"], r["error"].split(":")[0] in ("RecursionError", "MemoryError")) for r in found.failed.collect()] == [("pkg/deep.py", True)]
+    assert {(r["repo"], r["path"]): r["n_flagged"] for r in found.totals.collect()} == {("t", "a.py"): 1, ("t", "pkg/b.py"): 1, ("t", None): 2, (None, None): 2}
+
+
 def test_touched_files_by_status(spark):
     head = spark.createDataFrame([(1, "a.py", "h"), (1, "b.py", "h"), (1, "c.py", "h"), (1, "d.txt", "h")], "pr_id long, path string, code string")
     base = head.withColumn("code", F.lit("b"))
