@@ -11,7 +11,8 @@ its own, and numpy unpacks one document or the whole block at once. Beside it st
 and the ids of its shard before it, by which a reader finds documents without opening other blocks.
 
 Defined results: a null or empty text has its end id alone; repeated ids are documents of their own, by text; null ids
-come first; an empty table gives an empty dataset; columns of other names are ignored.
+come first; rows that tie in id and text are one after the other; a text of any length is encoded whole, into a block of
+its own if it fills one; an empty table gives an empty dataset; columns of other names are ignored.
 """
 
 from __future__ import annotations

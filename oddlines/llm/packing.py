@@ -7,7 +7,8 @@ filled windows are drained: the emptiest are cut to fill the fullest, and the la
 two, which need no padding. Every task packs what it reads, so nothing is shuffled; memory is that of the open windows.
 
 Defined results: a null or empty text gives its end id alone; repeated rows are documents of their own; an empty table
-gives no pieces; columns of other names are ignored. Sequence ids are unique: the task's number times 2**40, counted on.
+gives no pieces; columns of other names are ignored. A text of any length is encoded whole and cut into as many windows
+as it fills; documents that tie for a level go to it in the order of reading. Sequence ids are unique: the task's number times 2**40, counted on.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ gives one span, from the start of its first hot window to the end of its last. S
 
 Spans are ``kind:start:end`` in code points, end exclusive. Defined results: a null text is an empty one and has no
 spans; ties of the start go by kind in the order of ``KINDS``; repeated rows are scanned each; empty tables give empty
-results; columns of other names are ignored.
+results; columns of other names are ignored. Texts are scanned whole, of whatever length, each within one row.
 """
 
 from __future__ import annotations
