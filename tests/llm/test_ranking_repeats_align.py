@@ -206,3 +206,39 @@ def test_alignment_equals_brute_force(spark, tokenizers, block_bytes):
 
 def test_alignment_of_an_empty_table(spark):
     assert align.align(spark.createDataFrame([], DOCS), public_path(A), public_path(B)).collect() == []
+
+
+# ---- the registered queries over the small tables
+
+SF = "/root/testdata/sf0.001"
+
+
+def _documents():
+    import duckdb
+
+    return duckdb.connect().execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY ALL").fetchall()
+
+
+def test_op11_equals_sql(spark):
+    import duckdb
+    from oddlines.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    want = con.execute(SQL["op11_ranked_search"])
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, QUERIES["op11_ranked_search"](spark, SF).select(*names).collect())) == sorted(want.fetchall())
+
+
+def test_op12_equals_brute_force(spark):
+    from oddlines.llm.queries import QUERIES
+
+    assert sorted(map(tuple, QUERIES["op12_repeats"](spark, SF).collect())) == sorted(_kept(_documents(), 100))
+
+
+def test_op13_equals_brute_force(spark, tokenizers):
+    from oddlines.llm.queries import QUERIES
+
+    columns = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum")
+    assert sorted(map(tuple, QUERIES["op13_alignment"](spark, SF).select(*columns).collect())) == sorted(_aligned(_documents(), tokenizers))
