@@ -46,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     docs = numbered(docs, "dedup-rows", ROW, COLUMNS)
     found = neardup.near_duplicates(docs, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
     first = F.min(F.struct("doc_id", ROW)).alias("first")
-    kept = found.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first).select(f"first.{ROW}")
+    kept = stash(found.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first).select(f"first.{ROW}"), "dedup-kept")
     return docs.join(kept, ROW, "left_semi").select(*COLUMNS)
 
 

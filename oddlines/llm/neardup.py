@@ -177,19 +177,23 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _stars(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges (a, b), distinct and with a > b, and whether each a has one edge and is no b: all are stars
+    around their smallest id then."""
+    up, down = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ids = up.unionByName(down).groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    n, most = ids.agg(F.sum("up"), F.max(F.col("up") + F.col("down"))).first()
+    return n or 0, (most or 0) <= 1
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """id and root, the smallest id reachable, of all ids in edges (a, b); alternating large and small stars."""
     edges = stash(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(mark) == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
-        before = tuple(mark)
+    while not (found := _stars(edges))[1]:
         # large star: each node's larger neighbours are tied to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = hot_join(both.filter("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = hot_join(both.filter("b > a"), least, "a", "b", n=found[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stash(large.filter("a != b").distinct(), label)
         discard(edges)
         # small star: each node and its smaller neighbours are tied to the smallest of them
@@ -197,6 +201,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = stash(small.filter("a != b").distinct(), label)
         discard(large)
+    ends = edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
+    roots = stash(edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(ends), "roots")
+    discard(edges)
+    return roots
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -333,7 +341,7 @@ def _near_duplicates(docs: DataFrame, hub_rounds: int) -> DataFrame:
     named = classes.select("key", F.col("id").alias("rep"))
     classes = classes.drop("key")
     members = stash(_open_buckets(_rooted(_bucketed(classes), None)), "members")
-    links, roots = [], None
+    roots = None
     for turn in range(hub_rounds + 1):
         # each round keeps only rows of buckets that still hold different components
         rest = members if roots is None else stash(_open_buckets(_rooted(members, roots)), "members")
@@ -343,11 +351,9 @@ def _near_duplicates(docs: DataFrame, hub_rounds: int) -> DataFrame:
         found = stash(found, "links")
         members = rest
         if not found.isEmpty():
-            links.append(found)
-            every = links[0]
-            for more in links[1:]:
-                every = every.unionByName(more)
-            roots = components(every)
+            # earlier links count by the stars that they gave
+            known = found if roots is None else found.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+            roots = components(known)
     # classes of rows that repeat an id with another text are tied by their common name
     placed = hot_join(full.select("id", "n", "key"), named, "key", "id").select("id", "n", "rep")
     placed = stash(placed.unionByName(rows.filter("key IS NULL").select("id", "n", F.col("id").alias("rep"))), "placed")

@@ -71,10 +71,10 @@ def running(rows: DataFrame, order: list[str], **sums: str) -> DataFrame:
     return met.select(*rows.columns, *[(F.col(out) + F.col(f"_{out}")).alias(out) for out in sums])
 
 
-def _hot(rows: DataFrame, key: str) -> DataFrame | None:
+def _hot(rows: DataFrame, key: str, n: int | None = None) -> DataFrame | None:
     """key and _places, into how many parts its rows go, of the keys that hold more than a 10,000th of rows (at least
-    64 rows), so 10,000 keys at most; None without such keys."""
-    heavy = max(64, rows.count() // 10_000)
+    64 rows), so 10,000 keys at most; None without such keys. n: the number of rows, where it is known."""
+    heavy = max(64, (rows.count() if n is None else n) // 10_000)
     found = rows.groupBy(key).agg(F.ceil(F.count("*") / heavy).cast("int").alias("_places")).filter("_places > 1").collect()
     return F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(key, F.lit(0).alias("_places")).schema)) if found else None
 
@@ -89,11 +89,11 @@ def dealt(rows: DataFrame, key: str, spread_by: str) -> DataFrame:
     return rows.withColumn("_place", F.lit(0)) if hot is None else _deal(rows, hot, key, spread_by)
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", like: DataFrame | None = None) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", like: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """left joined to right on key, where a key may hold much of left and little of right: the rows of such keys are
     dealt by spread_by over several places, to each of which right's rows of that key go. like has left's keys, as
-    often, and is read for the counts."""
-    hot = _hot(left if like is None else like, key)
+    often, and is read for the counts. n: the number of left's rows, where it is known."""
+    hot = _hot(left if like is None else like, key, n)
     if hot is None:
         return left.join(right, key, how)
     copied = right.join(hot, key, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1))).drop("_places")

@@ -77,6 +77,21 @@ def test_chain_of_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 99, 99: 99, 70: 70, 80: 70, 90: 70}
 
 
+def test_stars_end_the_component_search_at_once(spark, monkeypatch):
+    written = []
+    stash = neardup.stash
+    monkeypatch.setattr(neardup, "stash", lambda df, label: written.append(label) or stash(df, label))
+    stars = [(10 * i + j, 10 * i) for i in range(5) for j in range(1, 10)]
+    got = {r["id"]: r["root"] for r in neardup.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i: i - i % 10 for i in range(50)}
+    assert len(written) <= 2  # the edges and the result, no round of its own
+    written.clear()
+    hubs = [(10 * i + j, 10 * i + 5) for i in range(5) for j in range(10)]
+    got = {r["id"]: r["root"] for r in neardup.components(spark.createDataFrame(hubs, "a long, b long")).collect()}
+    assert got == {i: i - i % 10 for i in range(50)}
+    assert len(written) <= 4  # one round
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(4)
     a, b = (np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64)) for _ in range(2))
