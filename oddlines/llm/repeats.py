@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import hot_join, numbered, small_batches, stash
+from .shared import discard, hot_join, numbered, small_batches, stash, tidy_shuffles
 
 LENGTH = 100
 GRAM = 24
@@ -286,7 +286,9 @@ def _copies(docs: DataFrame, length: int) -> DataFrame:
     same = stash(docs.select("row", "doc_id", F.octet_length("data").cast("long").alias("size"), F.unhex(F.sha2("data", 256)).alias("digest")), "repeats-digests")
     firsts = same.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.row").alias("first"))
     found = hot_join(same.select("row", "size", "digest"), firsts, "digest", "row").filter("row != first")
-    return stash(found.select("row", F.lit(0).cast("long").alias("lo"), (F.col("size") - length).alias("hi")), "repeats-copies")
+    found = stash(found.select("row", F.lit(0).cast("long").alias("lo"), (F.col("size") - length).alias("hi")), "repeats-copies")
+    discard(same)
+    return found
 
 
 def _met(found: DataFrame, repeated: DataFrame, hot: int) -> DataFrame:
@@ -301,13 +303,14 @@ def _met(found: DataFrame, repeated: DataFrame, hot: int) -> DataFrame:
 
 def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
     """row, lo, hi: runs of stretches (length bytes from lo on, to those from hi on) that occur earlier. docs: row, doc_id,
-    data."""
+    data. What a step has written goes once the next one is written."""
     long = docs.filter(F.octet_length("data") >= length)
     copies = _copies(long, length)
     found = find_anchors(long, length, gram, piece)
     repeated = stash(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "repeats-anchors")
     lists = F.collect_list(F.struct("key", "n", "lo", "stretches")).alias("contexts")
-    live = _met(found, repeated, hot).groupBy("row").agg(lists).join(copies.select("row"), "row", "left_anti")
+    live = stash(_met(found, repeated, hot).groupBy("row").agg(lists).join(copies.select("row"), "row", "left_anti"), "repeats-live")
+    discard(repeated)
     names = [c.split()[0] for c in _CONTEXT.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +328,7 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     contexts = _packed(long).join(live, "row").mapInArrow(cut, _CONTEXT)
     marks = stash(sort_contexts(contexts, length, block_bytes), "repeats-marks")
+    discard(live)
     spread = marks.filter("stretch IS NOT NULL")
     earlier = F.row_number().over(Window.partitionBy("stretch").orderBy("doc_id", "row", "lo"))
     second = spread.withColumn("nth", earlier).filter("nth > 1").select("row", "lo", "hi")
@@ -334,9 +338,11 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """One row per document: its bytes, how many are removed in how many runs, and the digest of what is kept (with texts,
     also the kept bytes)."""
-    rows = numbered(docs, "repeats-rows", "row", (id_col, text_col))
-    rows = rows.select("row", F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    marks = repeated_stretches(rows, length, gram, hot, block_bytes, piece).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    with tidy_shuffles(docs.sparkSession):
+        rows = numbered(docs, "repeats-rows", "row", (id_col, text_col))
+        rows = rows.select("row", F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+        found = repeated_stretches(rows, length, gram, hot, block_bytes, piece)
+    marks = found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]
     types = [*[pa.int64()] * 4, pa.string(), *[pa.binary()] * texts]

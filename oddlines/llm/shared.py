@@ -112,6 +112,19 @@ def numbered(df: DataFrame, label: str, name: str, columns: tuple[str, ...]) ->
     return placed.join(order, "_path").select(*columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_at")).alias(name))
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, a job's shuffle files go as soon as it has ended; else they stay until the driver happens to collect its
+    garbage, and the disk holds those of all jobs so far. For jobs that end within it; the session gets its own setting back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, "true")
+        yield
+    finally:
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
+
+
 @contextmanager
 def modest_batches(spark: SparkSession) -> Iterator[None]:
     """Within it, the session sends at most 1,024 rows or some 4 MB to Python at once, since what crosses is held several

@@ -130,6 +130,35 @@ def test_repeats_of_an_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_repeats_leave_no_shuffle_files_of_ended_jobs(spark):
+    import gc
+    import time
+
+    def shuffled():
+        return {f.getName() for f in _files() if f.getName().startswith("shuffle_")}
+
+    def _files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return [found.apply(i) for i in range(found.size())]
+
+    rnd = random.Random(5)
+    docs = _texts(rnd, 60, ["".join(rnd.choices("abcdefgh ", k=300)) for _ in range(4)])
+    df = spark.createDataFrame([(*d, "x") for d in docs], DOCS)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own, before = spark.conf.get(name, None), shuffled()
+    gc.disable()
+    try:
+        found = repeats.remove_repeats(df)
+    finally:
+        gc.enable()
+    for _ in range(50):  # files are deleted in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(name, None) == own
+    assert sorted(map(tuple, found.collect())) == sorted(_kept(docs, 100))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_suffix_array_is_sorted(seed):
     rnd = random.Random(seed)
