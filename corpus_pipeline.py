@@ -26,20 +26,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddlines.llm import langid, mixing, neardup, packing, secrets
-from oddlines.llm.shared import numbered, stash, table
+from oddlines.llm.shared import modest_batches, numbered, stash, table
 from oddlines.llm.tokens import public_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_SCORE = 0.5
 #: A row's own key within a stage.
 ROW = "row_key"
+#: Pieces of text that a worker keeps when it packs, since it goes on to other stages with them.
+MAX_PIECES = 50_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
+    docs = numbered(docs, "language-rows", ROW, COLUMNS)
     model = langid.train(docs.filter(~langid.held_out()).select("text", "lang"))
-    found = langid.predict(docs, model, keep=("text", "lang", "source", "n_chars"))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    found = langid.predict(docs.select(ROW, "text"), model, id_col=ROW)
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)
+    with modest_batches(spark):  # the texts come from the table again, not from Python
+        dropped = stash(found.filter(~known).select(F.col("doc_id").alias(ROW)), "language-dropped")
+    return docs.join(dropped, ROW, "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +71,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select(*COLUMNS), public_path("byte_bpe_50k.json"))
+    with modest_batches(spark):
+        return stash(packing.pack(docs.select(*COLUMNS), public_path("byte_bpe_50k.json"), max_pieces=MAX_PIECES), "packed")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

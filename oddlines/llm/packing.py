@@ -112,12 +112,15 @@ def pack_partition(rows: Iterator[tuple[int, bytes]], window: int) -> Iterator[l
     yield from packer.drain()
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
+def pack(
+    docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", max_pieces: int = 200_000
+) -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
+    max_pieces bounds what a worker keeps of pieces of text that it has met, not what it encodes."""
     end = int(end_id).to_bytes(_WIDTH, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path, max_pieces).encode
 
         def rows() -> Iterator[tuple[int, bytes]]:
             for batch in small_batches(batches, 256):

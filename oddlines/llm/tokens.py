@@ -119,9 +119,9 @@ class PieceEncoder(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each file and Python worker."""
-    return PieceEncoder(path)
+def encoder(path: str, max_pieces: int = 200_000) -> PieceEncoder:
+    """One encoder for each file, bound and Python worker."""
+    return PieceEncoder(path, max_pieces)
 
 
 def public_path(name: str) -> str:

@@ -110,3 +110,27 @@ def test_each_stage_on_odd_tables(spark):
                     assert set(ids) <= {0, 2, 3} and all(r["text"] for r in got)
                 else:
                     assert set(ids) == {0, 1, 2, 3}
+
+
+def test_python_gets_modest_batches(spark, tmp_path, monkeypatch):
+    """What crosses to Python counts in an executor's memory several times over: a file of many rows is sent in parts."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.repeat(batch.num_rows, batch.num_rows)], names=["doc_id", "length"])
+
+    def predict(docs, model, id_col="doc_id", keep=()):
+        seen = docs.select(id_col).mapInArrow(sizes, "doc_id long, length long")
+        seen = seen.selectExpr("doc_id", "if(length > 1024, 'und', 'en') AS lang_pred", "1D AS score")
+        return seen.join(docs.withColumnRenamed(id_col, "doc_id"), "doc_id") if keep else seen
+
+    rows = spark.range(5_000).selectExpr("id AS doc_id", "'the house' AS text", "'en' AS lang", "'a' AS source", "9L AS n_chars")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/rows")
+    docs = spark.read.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(corpus_pipeline.langid, "predict", predict)
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda d, *a, **b: d.select("doc_id").mapInArrow(sizes, "doc_id long, length long"))
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert corpus_pipeline.identify_language(spark, docs, SF).count() == 5_000
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).groupBy().max("length").first()[0] <= 1024
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == own
