@@ -29,7 +29,7 @@ def scan(
     """Scans files (repo, path, code); unread (path, error) are failures that reading has met already. Files are parsed once
     and lines scored once; reasons and contexts are made for the lines that are shown."""
     own = files.select("repo", "path", "code", F.concat_ws(":", "repo", "path").alias("file_id"))
-    parsed = written(parse.parse_files(own, keep=("repo", "path")), "scan-parsed")
+    parsed = written(parse.parse_files(own, keep=("repo", "path"), wanted=("lines", "structures")), "scan-parsed")
     scored = written(score(features.line_features(parsed, ("repo", "path"), context=True)), "scan-scored")
     taken = parsed.filter("error IS NULL").select("file_id", "repo", "path")
     shown = scored.withColumn("flag", F.col("flag") & (F.round("score", 4) >= min_score))
