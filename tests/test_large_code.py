@@ -51,3 +51,8 @@ def test_simple_lines_have_the_tokens_of_the_library(line, monkeypatch):
 
 def test_function_features_write_nothing(spark):
     assert "FileScan parquet" in plan(found := queries.code_function_features(spark, SF)) and "/lineitem.parquet" in plan(found) and "MapInArrow" in plan(found)
+
+
+def test_line_features_need_no_lambdas(spark):
+    found = plan(queries.code_line_features(spark, SF))
+    assert "/lineitem.parquet" in found and found.split("MapInArrow")[0].count("lambda") == 0
