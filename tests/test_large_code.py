@@ -66,3 +66,7 @@ def test_labels_with_the_tree_equal_later_ones(spark):
     code = "async def f(x):\n    for a, *b in x:\n        while (y := g(\n                a)):\n            if y: pass\n    async with z: pass\n    try: pass\n    except (A, B[1]): pass\n    except: pass\n    match x:\n        case 1: pass\n"
     early, late = parse.parse_one("f", code, ("spans", "structures", "labels")), parse.parse_one("f", code, ("spans", "structures"))
     assert [x[5] for x in early["structures"]] == [parse.label(x[0], x[1], x[4]) for x in late["structures"]] and len(early["structures"]) == 9
+
+
+def test_linear_scores_need_no_lambdas(spark):
+    assert "lambda" not in plan(queries.code_linear_scores(spark, SF)).split("MapInArrow")[0]
