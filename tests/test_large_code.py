@@ -70,3 +70,9 @@ def test_labels_with_the_tree_equal_later_ones(spark):
 
 def test_linear_scores_need_no_lambdas(spark):
     assert "lambda" not in plan(queries.code_linear_scores(spark, SF)).split("MapInArrow")[0]
+
+
+def test_checks_walk_no_tree(monkeypatch):
+    monkeypatch.setattr(parse, "tree_facts", None)
+    assert parse.parse_one("f", "x = 1\n", ())["parse_ok"] and not parse.parse_one("f", "x = (\n", ())["parse_ok"]
+    assert parse.parse_one("f", "-" * 200_000 + "1", ())["error"].startswith(("RecursionError", "MemoryError"))
