@@ -76,3 +76,13 @@ def test_checks_walk_no_tree(monkeypatch):
     monkeypatch.setattr(parse, "tree_facts", None)
     assert parse.parse_one("f", "x = 1\n", ())["parse_ok"] and not parse.parse_one("f", "x = (\n", ())["parse_ok"]
     assert parse.parse_one("f", "-" * 200_000 + "1", ())["error"].startswith(("RecursionError", "MemoryError"))
+
+
+def test_first_that_parses_looks_no_further(spark):
+    rows = spark.createDataFrame([(1, "x = 1\n", "y = 2\n"), (2, "x = (", "x = 1\n"), (3, "x = (", "x = ("), (4, None, "x")], "id int, a string, b string")
+    got = {r["id"]: (r["a_parses"], r["b_parses"]) for r in parse.first_that_parses(rows, ("a", "b")).collect()}
+    assert got == {1: (True, None), 2: (False, True), 3: (False, False), 4: (True, None)}
+
+
+def test_repaired_code_groups_once(spark):
+    assert plan(queries.repaired_code(spark, SF)).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
