@@ -86,3 +86,7 @@ def test_first_that_parses_looks_no_further(spark):
 
 def test_repaired_code_groups_once(spark):
     assert plan(queries.repaired_code(spark, SF)).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_class_function_features_need_no_lambdas(spark):
+    assert "lambda" not in plan(queries.class_function_features(spark, SF)).split("MapInArrow")[0]
