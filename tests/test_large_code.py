@@ -90,3 +90,12 @@ def test_repaired_code_groups_once(spark):
 
 def test_class_function_features_need_no_lambdas(spark):
     assert "lambda" not in plan(queries.class_function_features(spark, SF)).split("MapInArrow")[0]
+
+
+def test_call_depths_come_with_functions():
+    depths = {f[1]: f[8] for f in parse.parse_one("f", "def a(): b()\ndef b(): x.c()\ndef c(): d(); a()\ndef d(): e()\ndef e(): f()\ndef f(): f()\n", ("lines",))["functions"]}
+    assert depths == {"a": 4, "b": 4, "c": 3, "d": 2, "e": 1, "f": 0}
+
+
+def test_class_line_features_need_no_lambdas(spark):
+    assert "lambda" not in plan(queries.class_line_features(spark, SF)).split("MapInArrow")[0]
