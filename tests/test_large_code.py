@@ -99,3 +99,7 @@ def test_call_depths_come_with_functions():
 
 def test_class_line_features_need_no_lambdas(spark):
     assert "lambda" not in plan(queries.class_line_features(spark, SF)).split("MapInArrow")[0]
+
+
+def test_class_lineage_labels_come_with_the_tree(spark):
+    assert "ArrowEvalPython" not in plan(queries.class_lineage(spark, SF))
