@@ -103,3 +103,22 @@ def test_class_line_features_need_no_lambdas(spark):
 
 def test_class_lineage_labels_come_with_the_tree(spark):
     assert "ArrowEvalPython" not in plan(queries.class_lineage(spark, SF))
+
+
+def test_review_joins_both_sides_once_and_keeps_no_features(spark, monkeypatch):
+    from oddlines.plans import review
+
+    kept, plans, own = {}, {}, review.written
+
+    def written(df, label):
+        kept[label], plans[label] = df.columns, plan(df)
+        return own(df, label)
+
+    monkeypatch.setattr(review, "written", written)
+    queries.pr_reports(spark, SF)
+    assert "review-parsed" not in kept and "token_entropy" not in kept["review-scored"] and "score" in kept["review-scored"]
+    assert plans["review-scored"].split("Initial Plan")[-1].count("Join") == 1
+
+
+def test_chains_of_nested_spans():
+    assert parse.chains([(0, 1, 9), (1, 2, 5), (2, 2, 4), (3, 3, 4), (4, 4, 4), (5, 7, 7)], 10)[1:] == [[0], [1, 0], [3, 1, 0], [4, 3, 1], [1, 0], [0], [5, 0], [0], [0], []]
