@@ -122,3 +122,13 @@ def test_review_joins_both_sides_once_and_keeps_no_features(spark, monkeypatch):
 
 def test_chains_of_nested_spans():
     assert parse.chains([(0, 1, 9), (1, 2, 5), (2, 2, 4), (3, 3, 4), (4, 4, 4), (5, 7, 7)], 10)[1:] == [[0], [1, 0], [3, 1, 0], [4, 3, 1], [1, 0], [0], [5, 0], [0], [0], []]
+
+
+def test_comments_keep_lineages_of_flagged_lines_only(spark, monkeypatch):
+    from oddlines.plans import review
+
+    kept, own = {}, review.written
+    monkeypatch.setattr(review, "written", lambda df, label: kept.setdefault(label, own(df, label)))
+    queries.pr_comments(spark, SF)
+    assert kept["review-scored"].filter("lineage IS NOT NULL AND NOT (flag AND side = 'head')").count() == 0
+    assert kept["review-scored"].filter("flag AND side = 'head' AND lineage IS NULL").count() == 0
