@@ -132,3 +132,14 @@ def test_comments_keep_lineages_of_flagged_lines_only(spark, monkeypatch):
     queries.pr_comments(spark, SF)
     assert kept["review-scored"].filter("lineage IS NOT NULL AND NOT (flag AND side = 'head')").count() == 0
     assert kept["review-scored"].filter("flag AND side = 'head' AND lineage IS NULL").count() == 0
+
+
+def test_submissions_are_parsed_without_bodies(spark, monkeypatch):
+    from oddlines.streaming import jobs
+
+    kept, own = {}, jobs.written
+    monkeypatch.setattr(jobs, "written", lambda df, label: kept.setdefault(label, own(df, label)))
+    batch = spark.createDataFrame([("1", "python", "def f(x):\n    return x\n")], "file_id string, language string, code string")
+    analyses, refused = jobs.answer_submissions(batch)
+    assert kept["submissions"].selectExpr("size(bodies) AS n", "size(lines) AS m").first() == (0, 2)
+    assert analyses.count() == 1 and refused.count() == 0
